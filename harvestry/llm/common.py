@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 #: Characters of text handled at once inside a Python worker; bounds its memory whatever the Arrow batch holds.
 SUB_BATCH_CHARS = 8_000_000
-#: Entries of a worker's word cache before it is emptied.
-CACHE_ENTRIES = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,21 +113,25 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-class WordIds(dict):
-    """Word (bytes) -> 64-bit hash, cached up to a bound."""
+def batch_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of a batch of texts (null: empty): each row's bounds, every word's index, the distinct words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    found = lists.flatten().dictionary_encode()
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    index, distinct = found.indices.to_numpy(), found.dictionary.cast(pa.binary()).to_pylist()
+    if b"" in distinct:  # white space at a text's ends
+        keep = index != distinct.index(b"")
+        bounds = np.concatenate(([0], np.cumsum(keep)))[bounds]
+        index = index[keep]
+    return bounds, index, distinct
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-
-_IDS = WordIds()
-
-
-def word_ids(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_IDS.__getitem__, found), np.uint64, len(found))
+def batch_word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's bounds and a 64-bit hash of every word."""
+    bounds, index, distinct = batch_words(column)
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    return bounds, ids[index] if len(index) else np.empty(0, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -154,6 +156,14 @@ def shingle_hashes(ids: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def batch_shingles(column: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
+    """The shingle hashes of each text (not distinct), computed over the whole batch at once."""
+    bounds, ids = batch_word_ids(column)
+    run = shingle_hashes(ids, k) if len(ids) >= k else np.empty(0, np.uint64)
+    ends = bounds.tolist()
+    return [run[a : b - k + 1] if b - a >= k else shingle_hashes(ids[a:b], k) for a, b in zip(ends, ends[1:])]  # noqa: B905
+
+
 def held_out(doc_id: int | None) -> bool:
     """Whether crc32 of the id as text is a multiple of 5: never learned from."""
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
