@@ -46,6 +46,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def statistics(column: pa.Array) -> np.ndarray:
     """A row of STATISTICS for each text."""
+    texts = column
     column = pc.fill_null(column, "").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
@@ -54,7 +55,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     kinds = _CLASS[data]
     share = [_sums(kinds == k, offsets) / size for k in range(7)]
     pipes = _sums(data == 124, offsets) / size
-    bounds, index, distinct = batch_words(column.cast(pa.large_string()).cast(pa.string()))
+    bounds, index, distinct = batch_words(texts)
     index = index.astype(np.int64)
     n = np.diff(bounds)
     some = np.maximum(n, 1)

@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
 Fit, on the bounded sample of labelled documents: each word's log-odds between toxic and other documents under an
-informative Dirichlet prior (the pooled counts), kept where its z-score is significant. Every other word costs DRIFT.
+informative Dirichlet prior (the pooled counts), kept where its z-score is significant. A word counts once a text, so
+that a long or repetitive text weighs no more than another. Every other word costs DRIFT.
 The linear-time scan for all maximal-scoring segments then runs over every word of every text. A segment's score S in
 a text of n words has the extreme-value tail 1 - exp(-K n exp(-lambda S)): lambda solves sum p exp(lambda s) = 1 over
 the word scores of clean documents, K is fitted to their highest segments. A document's statistic adds up the
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from . import labelled
 from .common import Workspace, batch_words, map_arrow
 
-PRIOR = 500.0  # pseudo-count of the whole prior
-MIN_Z = 3.29  # two-sided 0.001
+PRIOR = 1.0  # weight of the whole prior, as a multiple of the toxic class's count
+MIN_Z = 4.5  # about one in 300,000
 LEXICON = 20_000  # words kept at most, by z; bounds the model that is sent to the executors
 DRIFT = 0.1
 E_VALUE = 0.05
@@ -97,10 +98,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def count():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             bounds, index, distinct = batch_words(batch["text"])
-            toxic = np.repeat(np.array(batch["y"].to_pylist(), bool), np.diff(bounds))
-            n1 = np.bincount(index[toxic], minlength=len(distinct))
-            n0 = np.bincount(index[~toxic], minlength=len(distinct))
-            return pa.RecordBatch.from_arrays([pa.array([w.strip(EDGES) for w in distinct], pa.binary()), pa.array(n1, pa.int64()), pa.array(n0, pa.int64())], ["word", "toxic", "other"])
+            bare = pa.array([w.strip(EDGES) for w in distinct], pa.binary()).dictionary_encode()
+            words = len(bare.dictionary)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            once = np.unique(row * words + bare.indices.to_numpy()[index])
+            toxic = np.array(batch["y"].to_pylist(), bool)[once // max(words, 1)]
+            n1 = np.bincount(once[toxic] % max(words, 1), minlength=words)
+            n0 = np.bincount(once[~toxic] % max(words, 1), minlength=words)
+            return pa.RecordBatch.from_arrays([bare.dictionary, pa.array(n1, pa.int64()), pa.array(n0, pa.int64())], ["word", "toxic", "other"])
 
         return run
 
@@ -108,8 +113,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n1, n0 = (x or 0 for x in counts.agg(F.sum("y1"), F.sum("y0")).first())
     if not n1 or not n0:
         return Model()
-    prior = (F.col("y1") + F.col("y0")) * F.lit(PRIOR / (n1 + n0))
-    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + PRIOR) - F.col(y) - prior))
+    weight = PRIOR * n1
+    prior = (F.col("y1") + F.col("y0")) * F.lit(weight / (n1 + n0))
+    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + weight) - F.col(y) - prior))
     scored = counts.withColumn("score", odds("y1", n1) - odds("y0", n0)).withColumn("z", F.col("score") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior)))
     rows = scored.where((F.col("z") >= MIN_Z) & (F.length("word") > 0)).orderBy(F.desc("z"), "word").limit(LEXICON).select("word", "score", "y0").collect()
     lexicon = {bytes(r.word): r.score for r in rows if r.score > 0}
