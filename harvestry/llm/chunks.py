@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,18 +61,21 @@ class Store:
 
     def runs(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, sizes and the ids that they point into; a string may stand more than once."""
-        new = list(dict.fromkeys(s for s in strings if s not in self._at))
-        if len(self._at) + len(new) > self._limit:
+        at = np.fromiter(map(self._at.get, strings, repeat(-1)), np.int64, len(strings))
+        missing = np.flatnonzero(at < 0)
+        if len(self._at) + len(missing) > self._limit:
             self._clear()
-            new = list(dict.fromkeys(strings))
-        if new:
+            missing = np.arange(len(strings))
+        if len(missing):
+            absent = [strings[k] for k in missing.tolist()]
+            new = list(dict.fromkeys(absent))
             flat, sizes = self._encode(new)
             self._starts = np.concatenate((self._starts, np.cumsum(sizes) - sizes + len(self._flat)))
             self._sizes = np.concatenate((self._sizes, sizes))
             self._flat = np.concatenate((self._flat, flat))
             first = len(self._at)
             self._at.update(zip(new, range(first, first + len(new)), strict=True))
-        at = np.fromiter(map(self._at.__getitem__, strings), np.int64, len(strings))
+            at[missing] = np.arange(first, first + len(new)) if len(new) == len(absent) else np.fromiter(map(self._at.__getitem__, absent), np.int64, len(absent))
         return self._starts[at], self._sizes[at], self._flat
 
 
@@ -87,25 +91,24 @@ class Encoder:
         """Ids of the pieces, and the number of ids of each run of ``counts`` pieces."""
         if not pieces:
             return np.empty(0, np.uint32), np.zeros(len(counts), np.int64)
-        known = pa.array(pieces, pa.large_string()).dictionary_encode()
-        index = known.indices.to_numpy()
-        starts, lengths, flat = self._pieces.runs(known.dictionary.to_pylist())
-        total = np.concatenate(([0], np.cumsum(lengths[index])))
+        starts, lengths, flat = self._pieces.runs(pieces)
+        total = np.concatenate(([0], np.cumsum(lengths)))
         ends = np.cumsum(counts)
-        return gather(starts[index], lengths[index], flat), total[ends] - total[ends - counts]
+        return gather(starts, lengths, flat), total[ends] - total[ends - counts]
 
     def _encode_alone(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = list(map(self._findall, strings))
         return self._encode_found([x for pieces in found for x in pieces], np.fromiter(map(len, found), np.int64, len(found)))
 
     def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Of strings that begin with a space. No piece runs over the border of two such, where a non-space follows the
-        space, so they are cut as one text."""
-        if any(len(p) == 1 or p[1].isspace() for p in parts):
-            return self._encode_alone(parts)
-        pieces = self._findall("".join(parts))
+        """Of strings before each of which a space stands. No piece runs over the border of two such, where a non-space
+        follows the space, so they are cut as one text."""
+        text = " " + " ".join(parts)
+        if _BEFORE_SPACE.search(text):
+            return self._encode_alone([" " + p for p in parts])
+        pieces = self._findall(text)
         ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        upto = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))), side="right")
+        upto = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1), side="right")
         return self._encode_found(pieces, np.diff(upto, prepend=0))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +118,10 @@ class Encoder:
         words = dictionary.to_pylist()
         begin = bounds[:-1]
         firsts = [words[k] for k in index[begin].tolist()]  # no space in front
-        starts, sizes, flat = self._parts.runs([" " + w for w in words])
+        starts, sizes, flat = self._parts.runs(words)
         per_word = sizes[index]
         first_word = starts[index]
-        odd = [k for k, w in enumerate(words) if not w or w[0].isspace()]
+        odd = [k for k, w in enumerate(words) if not w or w[0].isspace()] if _BEFORE_SPACE.search(" " + " ".join(words)) else []
         if odd:  # a space before white space: the rows where that is no safe cut are taken whole
             flag = np.zeros(len(words), bool)
             flag[odd] = True

@@ -50,7 +50,9 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
     sections: list[bytes] = []
     planes = []
     for k in range(levels - 1, -1, -1):
-        bits = (x >> x.dtype.type(k)) & x.dtype.type(1) != 0
+        if k == 7:
+            x = x.astype(np.uint8)  # only the low byte's planes are left
+        bits = (x & x.dtype.type(1 << k)).astype(bool)
         packed = np.packbits(bits)
         ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK_BITS // 8), dtype=np.int64) if len(packed) else np.empty(0, np.int64)
         blocks = [pack(packed[a : a + BLOCK_BITS // 8].tobytes()) for a in range(0, len(packed), BLOCK_BITS // 8)]
@@ -153,14 +155,17 @@ class Reader:
 
     def tokens(self) -> np.ndarray:
         """All ids in order: the planes' stable partitions undone from the last to the first."""
-        x = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        levels = len(self.planes)
+        x = np.zeros(self.n, np.uint8)
         for level in range(len(self.planes) - 1, -1, -1):
             p, places = self.planes[level], self._places[level]
             packed = b"".join(self._unpack(self._data[a:b]) for a, b in zip(places, places[1:]))  # noqa: B905
             bits = np.unpackbits(np.frombuffer(packed, np.uint8), count=self.n).view(bool)
+            if level == levels - 9:  # the low byte is whole
+                x = x.astype(np.uint16 if levels <= 16 else np.uint32)
             out = np.empty_like(x)
             out[~bits] = x[: p["zeros"]]
-            out[bits] = x[p["zeros"] :] | x.dtype.type(1 << (len(self.planes) - 1 - level))
+            out[bits] = x[p["zeros"] :] | x.dtype.type(1 << (levels - 1 - level))
             x = out
         return x.astype("<u4")
 
