@@ -2,18 +2,21 @@
 
 1. Every text's set of distinct 5-word shingles (64-bit hashes) gives a MinHash signature and a digest of the set.
    Rows with equal sets are one class; only classes are compared.
-2. Signatures are cut into bands. Each bucket links its members to its smallest member (a star: one candidate a row).
-3. A candidate pair's signatures are compared batch by batch. After each batch the posterior probability that the
-   similarity reaches the threshold (uniform prior: a beta distribution) is compared with the chosen miss probability;
-   a pair below it is pruned. Survivors are confirmed on their full sets.
-4. Confirmed links make components. In every bucket that still holds several components, the members outside the
-   smallest member's component are compared in the same way with the members of other components. Pairs whose
-   classes are connected already need no check: their link would change nothing. So every pair that shares a bucket is
+2. The signatures' first entries are cut into bands. Each bucket links its members to its smallest member (a star: one
+   candidate a row), and the confirmed links make components.
+3. In every bucket that still holds several components, members of different components are compared by their
+   signatures in blocks of at most CELL members: none against all of a bucket whose members one component holds, none
+   where the set sizes rule a link out, and each pair in its first common bucket only. Only pairs that pass become rows.
+   Pairs within one component need no check: their link would change nothing. So every pair that shares a bucket is
    connected, or was compared.
+4. A comparison looks at the signatures batch by batch. After each batch the posterior probability that the similarity
+   reaches the threshold (uniform prior: a beta distribution) is compared with the chosen miss probability; a pair below
+   it is pruned. Survivors are looked at with 32-bit shingle hashes, and confirmed on their full sets.
 
 At similarity 0.75 a pair shares no bucket with probability (1 - 0.75 ** ROWS) ** BANDS (2e-5), and is then pruned
-wrongly with at most MISS. Null and empty texts have no shingle and are linked with nothing; a null id gives a null
-component and is kept. Repeated rows each keep a row, with equal results. Other columns are ignored.
+wrongly with probability MISS at most (both fall steeply above). Null and empty texts have no shingle and are linked
+with nothing; a null id gives a null component and is kept. Repeated rows each keep a row, with equal results; rows that share an id but not a text are
+linked by any of their texts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ from .common import Workspace, batch_shingles, map_arrow, mix
 from .graph import components
 
 ROWS, BANDS = 5, 40
+ENTRIES = 320  # of a signature; the first ROWS * BANDS make the bands
 NUMERATOR, DENOMINATOR = 75, 100
-MISS = 1e-6
-BATCH = 25  # signature entries compared between two looks at the posterior
+MISS = 1e-3
+BATCH = 32  # signature entries compared between two looks at the posterior
+CELL = 512  # members of a bucket that are compared as one block
 
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary"
 
@@ -43,19 +48,19 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
 
 
-def minhash(sets: list[np.ndarray], n: int = ROWS * BANDS) -> np.ndarray:
-    """n minima of 32-bit multiply-add hashes of each non-empty set: a row of uint32 a set."""
+def minhash(sets: list[np.ndarray], n: int = ENTRIES) -> np.ndarray:
+    """The low 16 bits of n minima of 32-bit multiply-add hashes of each non-empty set: a row a set."""
     a, b = _seeds(n)
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     starts = np.cumsum(sizes) - sizes
-    out = np.empty((n, len(sets)), np.uint32)
+    out = np.empty((n, len(sets)), "<u2")
     h = np.empty_like(x)
     for k in range(n):
         np.multiply(x, a[k], out=h)
         h += b[k]
         h ^= h >> np.uint32(15)
-        np.minimum.reduceat(h, starts, out=out[k])
+        out[k] = np.minimum.reduceat(h, starts)
     return np.ascontiguousarray(out.T)
 
 
@@ -100,7 +105,7 @@ def _posterior_tail(matches: int, n: int, threshold: float) -> float:
 
 
 @functools.cache
-def needed_matches(n: int = ROWS * BANDS, batch: int = BATCH, miss: float = MISS) -> list[tuple[int, int]]:
+def needed_matches(n: int = ENTRIES, batch: int = BATCH, miss: float = MISS) -> list[tuple[int, int]]:
     """After so many entries a pair needs so many matches, or it is pruned."""
     threshold = NUMERATOR / DENOMINATOR
     out = []
@@ -119,8 +124,7 @@ def survivors(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            width = ROWS * BANDS
-            sa, sb = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(-1, width) for c in ("sa", "sb"))
+            sa, sb = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(-1, ENTRIES) for c in ("sa", "sb"))
             at, matches, seen = np.arange(len(sa)), np.zeros(len(sa), np.int64), 0
             for upto, need in steps:
                 matches = matches + (sa[at, seen:upto] == sb[at, seen:upto]).sum(1)
@@ -133,20 +137,81 @@ def survivors(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return map_arrow(near, make, "a bigint, b bigint", None)
 
 
-def verify(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
-    """The pairs whose full sets reach the threshold. docs: id, text of the classes' representatives."""
-    left = work.write(survivors(pairs, sigs), "survivors")
+def _cross(batch: pa.RecordBatch) -> list[tuple[int, int]]:
+    """Surviving pairs of different components between the two cells of each row."""
+    out: list[tuple[int, int]] = []
+    steps = needed_matches()
+    for row in batch.to_pylist():
+        sides = []
+        for c in ("x", "y"):
+            cell = row[c]
+            sides.append((np.array([m["id"] for m in cell]), np.array([m["component"] for m in cell]), np.array([m["n"] for m in cell]), np.frombuffer(b"".join(m["sig"] for m in cell), "<u2").reshape(-1, ENTRIES)))
+        (ia, ca, na, sa), (ib, cb, nb, sb) = sides
+        for k in range(len(ia)):
+            at = np.flatnonzero((cb != ca[k]) & (np.minimum(nb, na[k]) * DENOMINATOR >= np.maximum(nb, na[k]) * NUMERATOR))
+            if row["same"]:
+                at = at[at > k]
+            matches, seen = np.zeros(len(at), np.int64), 0
+            for upto, need in steps:
+                if not len(at):
+                    break
+                matches = matches + (sb[at, seen:upto] == sa[k, seen:upto]).sum(1)
+                keep = matches >= need
+                at, matches, seen = at[keep], matches[keep], upto
+            if len(at):
+                shared = (sb[at, : ROWS * BANDS] == sa[k, : ROWS * BANDS]).reshape(len(at), BANDS, ROWS).all(2)
+                at = at[shared.argmax(1) == row["band"]]
+                out += [(min(int(ia[k]), b), max(int(ia[k]), b)) for b in ib[at].tolist()]
+    return out
+
+
+def cross_survivors(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in a common bucket that pass the Bayesian test.
+
+    members: hash, band, id, component, main (the component of the bucket's head) of the buckets with several.
+    """
+    rows = members.join(sigs, "id").withColumn("size", F.floor(F.log("n") / math.log(DENOMINATOR / NUMERATOR)).cast("int")).withColumn("outer", F.col("component") != F.col("main"))
+    key = ["hash", "band", "size", "outer"]
+    parts = rows.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(CELL)).cast("int").alias("parts"))
+    rows = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("bigint")).cast("int"))
+    cells = rows.groupBy(*key, "part").agg(F.collect_list(F.struct("id", "component", "n", "sig")).alias("cell"), F.min("component").alias("low"), F.max("component").alias("high"))
+    x = cells.select("hash", "band", "size", "outer", "part", F.col("cell").alias("x"), "low", "high")
+    y = cells.select("hash", "band", F.col("size").alias("size2"), F.col("outer").alias("outer2"), F.col("part").alias("part2"), F.col("cell").alias("y"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    first, second = F.struct("size", "outer", "part"), F.struct("size2", "outer2", "part2")
+    pairs = x.join(y, ["hash", "band"]).where((first <= second) & (F.col("size2") <= F.col("size") + 1) & ~((F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2"))))
+    pairs = pairs.select("band", "x", "y", (first == second).alias("same"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if found := _cross(batch.slice(k, 1)):
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], ["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
+def verify(left: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
+    """The surviving pairs whose full sets reach the threshold. docs: doc_id, text.
+
+    The sets travel as 32-bit hashes first; only pairs near the threshold there or above are joined with the full sets.
+    """
+    left = work.write(left, "survivors")
     if left.isEmpty():
         return left
     wanted = left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct()
     sets = work.write(shingle_sets(docs.join(wanted, "doc_id", "left_semi")), "sets")
-    a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb"))
-    both = left.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("xa", "xb")).cast("bigint")
-    union = F.size("xa") + F.size("xb") - F.col("common")
-    links = work.write(both.select("a", "b", common.alias("common"), "xa", "xb").where(F.col("common") * DENOMINATOR >= union * NUMERATOR).select("a", "b"), "links")
-    work.drop(left, sets)
+
+    def check(pairs: DataFrame, hashes, percent: int) -> DataFrame:
+        a = sets.select(F.col("doc_id").alias("a"), hashes.alias("xa"))
+        b = sets.select(F.col("doc_id").alias("b"), hashes.alias("xb"))
+        common = F.size(F.array_intersect("xa", "xb")).cast("bigint")
+        both = pairs.join(a, "a").join(b, "b").select("a", "b", common.alias("common"), (F.size("xa") + F.size("xb")).alias("both"))
+        return both.where(F.col("common") * DENOMINATOR >= (F.col("both") - F.col("common")) * percent).select("a", "b")
+
+    short = F.array_distinct(F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int")))
+    near = work.write(check(left, short, NUMERATOR - 1), "near")
+    links = work.write(check(near, F.col("shingles"), NUMERATOR), "links")
+    work.drop(left, near, sets)
     return links
 
 
@@ -162,28 +227,27 @@ def classes(docs: DataFrame) -> DataFrame:
     # rows that repeat an id with another text: only the one whose set the class has
     sigs = sigs.where("d1 = e1 and d2 = e2").groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).withColumnRenamed("doc_id", "id")
     sigs = work.write(sigs, "sigs")
+    rows = work.write(signed.select("doc_id", "n_shingles", "d1", "d2"), "rows")
+    work.drop(signed)
 
-    pieces = [F.substring("sig", 1 + 4 * ROWS * k, 4 * ROWS) for k in range(BANDS)]
-    bands = sigs.select("id", F.posexplode(F.array(*[F.xxhash64(p, F.lit(k)) for k, p in enumerate(pieces)])).alias("band", "hash")).select("id", "hash")
-    buckets = bands.groupBy("hash").agg(F.min("id").alias("head"), F.count("*").alias("members")).where("members > 1").select("hash", "head")
-    members = work.write(bands.join(buckets, "hash"), "members")
-    texts = docs.join(sigs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    width = 2 * ROWS
+    pieces = [F.substring("sig", 1 + width * k, width) for k in range(BANDS)]
+    bands = sigs.select("id", F.posexplode(F.array(*[F.xxhash64(p, F.lit(k)) for k, p in enumerate(pieces)])).alias("band", "hash"))
+    buckets = bands.groupBy("hash", "band").agg(F.min("id").alias("head"), F.count("*").alias("members")).where("members > 1").select("hash", "band", "head")
+    members = work.write(bands.join(buckets, ["hash", "band"]), "members")
 
     stars = members.where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = verify(stars, sigs, texts, work)
+    links = verify(survivors(stars, sigs), docs, work)
     first = work.write(components(links, work), "first")
 
-    # members with their component; buckets that hold more than one
+    # members with their component, and those of the buckets that hold more than one
     node = first.select(F.col("node").alias("id"), "component")
     placed = members.join(node, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = work.write(placed, "placed")
-    heads = placed.where("id = head").select("hash", F.col("component").alias("main"))
-    mixed = placed.join(heads, "hash").where("component != main").select("hash").distinct()
-    inside = placed.join(mixed, "hash").join(heads, "hash")
-    outer = inside.where("component != main").select("hash", F.col("id").alias("x"), F.col("component").alias("cx"))
-    cross = outer.join(inside.where("id != head").select("hash", F.col("id").alias("y"), F.col("component").alias("cy"), "main"), "hash").where("cx != cy and (cy = main or x < y)")
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = verify(cross, sigs, texts, work)
+    heads = placed.where("id = head").select("hash", "band", F.col("component").alias("main"))
+    placed = work.write(placed.join(heads, ["hash", "band"]), "placed")
+    mixed = placed.where("component != main").select("hash", "band").distinct()
+    inside = placed.join(mixed, ["hash", "band"]).select("hash", "band", "id", "component", "main")
+    more = verify(cross_survivors(inside, sigs), docs, work)
 
     def named(links: DataFrame) -> DataFrame:
         for c in ("a", "b"):
@@ -197,7 +261,6 @@ def classes(docs: DataFrame) -> DataFrame:
 
     # back to every row: its set's class, the class's component
     of_set = sets.join(total.withColumnRenamed("node", "id"), "id", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    rows = signed.select("doc_id", "n_shingles", "d1", "d2")
     linked = rows.where("n_shingles > 0 and doc_id is not null").join(of_set, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
