@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,7 +155,6 @@ def message_matches(documents: DataFrame, where: dict, json: str = "json") -> Da
 
 def resolve_links(rows: DataFrame, columns: list[str], base: Column | str) -> DataFrame:
     """Relative links of the columns made absolute."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def resolved(link: pd.Series, against: pd.Series) -> pd.Series:

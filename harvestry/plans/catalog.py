@@ -1,4 +1,5 @@
 """Registered queries and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
