@@ -360,5 +360,9 @@ def merged_headers(*maps: Column) -> Column:
     for m in maps:
         entries = F.filter(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))), lambda e: e["value"].isNotNull())
         new = F.map_from_entries(F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
-        out = F.map_concat(F.map_filter(out, lambda k, _, new=new: ~F.array_contains(F.map_keys(new), k)), new)
+        out = _laid_over(out, new)
     return out
+
+
+def _laid_over(old: Column, new: Column) -> Column:
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
