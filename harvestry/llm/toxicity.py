@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     weight = PRIOR * n1
     prior = (F.col("y1") + F.col("y0")) * F.lit(weight / (n1 + n0))
     odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + weight) - F.col(y) - prior))
-    scored = counts.withColumn("score", odds("y1", n1) - odds("y0", n0)).withColumn("z", F.col("score") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior)))
+    scored = counts.where("y1 + y0 > 0").withColumn("score", odds("y1", n1) - odds("y0", n0)).withColumn("z", F.col("score") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior)))
     rows = scored.where((F.col("z") >= MIN_Z) & (F.length("word") > 0)).orderBy(F.desc("z"), "word").limit(LEXICON).select("word", "score", "y0").collect()
     lexicon = {bytes(r.word): r.score for r in rows if r.score > 0}
     if not lexicon:

@@ -1,0 +1,454 @@
+"""Every operator against a brute-force version or the library that it must equal, and the awkward cases."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers.models import Unigram
+
+from harvestry.llm import bpe, chunks, common, counts, decontaminate, graph, neardup, quality, revisits, toxicity, vafile, wavelet, wrappers
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+RNG = random.Random(5)
+BITS = ["a", "aa", " ", "  ", "\n", "\t", " ", "é", "漢", "'s", "'ll", "1", "23", ".", "..", "b", "the", " th", "ation", " ", "<|endoftext|>", "x" * 40, "\r", "ab", "aba", "\0", "\x85", " ", "<unk>", "<0x41>", "▁", "𝄞"]
+TEXTS = ["".join(RNG.choice(BITS) for _ in range(RNG.randint(0, 30))) for _ in range(1500)] + [" ", "  ", "   ", " a", "a ", "a  ", "", " \n", None, "long " * 30_000]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, "en", "s", 0) for k, t in enumerate(TEXTS)] + [(3, TEXTS[3], "en", "s", 0), (None, "no id", "en", "s", 0)]
+    return spark.createDataFrame(rows, DOCS).withColumn("score", F.lit(1)).withColumn("n_tokens", F.lit("x")).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def ids_of(flat, sizes):
+    return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+
+# ---- token ids -------------------------------------------------------------------------------------------------
+
+
+def reference_bpe():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.RANKS_FILE), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_tiktoken_and_decodes(docs, empty):
+    ref = reference_bpe()
+    want = Counter()
+    for r in docs.collect():
+        ids = ref.encode_ordinary(r.text or "")
+        want[r.doc_id, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+    assert Counter(map(tuple, bpe.encode_decode(docs, P.path(bpe.RANKS_FILE), digests=True).collect())) == want
+    plain = {r.doc_id: r for r in bpe.encode_decode(docs, P.path(bpe.RANKS_FILE)).collect()}
+    assert bytes(plain[0].decoded) == (TEXTS[0] or "").encode()
+    assert bpe.encode_decode(empty, P.path(bpe.RANKS_FILE)).count() == 0
+
+
+def test_merge_order_of_overlaps():
+    coder = bpe._coder(P.path(bpe.RANKS_FILE), P.PATTERN)
+    ref = reference_bpe()
+    words = ["a" * n for n in range(1, 40)] + ["".join(RNG.choice("abc") for _ in range(RNG.randint(1, 25))) for _ in range(500)]
+    got = ids_of(*coder.replay([w.encode() for w in words]))
+    assert got == [ref.encode_single_piece(w.encode()) if hasattr(ref, "encode_single_piece") else ref.encode_ordinary(w) for w in words] or got == [ref._encode_single_piece(w.encode()) for w in words]
+
+
+def test_small_caches_change_nothing():
+    coder = bpe._coder(P.path(bpe.RANKS_FILE), P.PATTERN)
+    tight = chunks.Encoder(coder.pattern.findall, coder.replay_strings, 50)
+    column = pa.array(TEXTS[:400])
+    assert ids_of(*tight.encode(column.slice(7, 90))) == ids_of(*coder.encoder.encode(column.slice(7, 90)))
+    assert ids_of(*tight.encode(column)) == ids_of(*coder.encoder.encode(column))
+
+
+def test_library_encoder_equals_library():
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert ids_of(*wavelet._tokenizer(P.path("byte_bpe_50k.json")).encode(pa.array(TEXTS))) == [tok.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+
+
+def test_wavelet_matrix():
+    ids = np.array([RNG.choice([0, 5, 7, 50_000, 300, 301]) for _ in range(150_001)], "<u4")
+    r = wavelet.Reader(wavelet.build(ids, [1, None, 3], [100_000, 1, 50_000]))
+    assert (r.tokens() == ids).all() and r.doc_ids == [1, None, 3]
+    assert [r.access(i) for i in (0, 65_535, 65_536, 150_000)] == ids[[0, 65_535, 65_536, 150_000]].tolist()
+    for t in (0, 301, 50_000, 9, 70_000):
+        at = np.flatnonzero(ids == t)
+        assert r.count(t) == len(at) and r.count(t, 70_000, 140_001) == ((at >= 70_000) & (at < 140_001)).sum()
+        for j in (0, len(at) // 2, len(at) - 1) if len(at) else ():
+            assert r.select(t, j) == at[j]
+    with pytest.raises(IndexError):
+        r.select(9, 0)
+    none = wavelet.Reader(wavelet.build(np.empty(0, "<u4"), [], []))
+    assert none.n == 0 and len(none.tokens()) == 0
+
+
+def test_token_index(docs, empty, monkeypatch):
+    monkeypatch.setattr(wavelet, "FILE_TOKENS", 5000)
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = wavelet.token_index(docs, P.path("byte_bpe_50k.json")).collect()
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+    at, want = 0, Counter()
+    for d, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want[d, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))] += 1
+        at += len(ids)
+    assert Counter(map(tuple, got)) == want
+    assert wavelet.token_index(empty, P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_counts_equal_unigram(docs):
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    tok = Tokenizer(Unigram([(m.id_to_piece(k), m.get_score(k)) for k in range(m.vocab_size())], 0, True))
+    tok.pre_tokenizer = pre_tokenizers.Metaspace()
+    got = Counter((r.doc_id, r.n_tokens) for r in counts.token_counts(docs, P.path("piece_bpe_32k.model")).collect())
+    assert got == Counter((r.doc_id, len(tok.encode(r.text or "").tokens)) for r in docs.collect())
+
+
+def test_counts_ties_and_runs_without_bytes():
+    vocabulary = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("aa", -2.0), ("▁a", -2.0), ("b", -1.0)]
+    tok = Tokenizer(Unigram(vocabulary, 0, False))
+    tok.pre_tokenizer = pre_tokenizers.Metaspace()
+    c = counts.Counter(vocabulary, 0, False)
+    for text in ("aaa", "a aa", "xx a", "axxb", "aaaa b"):
+        assert c.texts(pa.array([text]))[0].tolist() == [len(tok.encode(text).tokens)], text
+
+
+# ---- near duplicates -------------------------------------------------------------------------------------------
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[k : k + 5]) for k in range(len(w) - 4)))
+    head = {i: i for i in sets}
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    own = sorted(sets)
+    for a in range(len(own)):
+        for b in range(a):
+            x, y = sets[own[a]], sets[own[b]]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                p, q = find(own[a]), find(own[b])
+                head[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def test_near_duplicates_equal_brute_force(spark, empty):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "tu", "re"]) for _ in range(rng.randint(1, 4)))
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.choice([3, 6, 40, 120]))]
+        for _ in range(rng.randint(1, 14)):
+            copy = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append(" ".join(copy).upper() if rng.random() < 0.2 else " ".join(copy))
+    rows += [None, "", "  ", "one", "ONE", "one two three four", "one two three four five", "one two three four five"]
+    numbered = [(k * 7 % 1009, t) for k, t in enumerate(rows)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in numbered] + [(None, "one two", "en", "s", 0)], DOCS).withColumn("id", F.lit(1)).withColumn("hash", F.lit(2))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(frame).collect()}
+    assert got.pop(None) == (1, None, True)
+    assert got == brute_components(numbered)
+    assert neardup.classes(empty).count() == 0
+    twice = neardup.classes(frame.union(frame)).where("doc_id is not null")
+    assert Counter((r.doc_id, r.component_id) for r in twice.collect()) == Counter({(i, v[1]): 2 for i, v in got.items()})
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    """With cells of a few members a bucket is compared over many cells; the result must not change."""
+    monkeypatch.setattr(neardup, "CELL", 3)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(w if rng.random() > 0.035 else f"x{rng.random()}" for w in base)) for k in range(90)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_signature_estimates_similarity():
+    x = np.random.default_rng(1).integers(0, 2**63, 1100).astype(np.uint64)
+    a, b = neardup.minhash([x[:1000], x[100:]], 4000)
+    assert abs((a == b).mean() - 900 / 1100) < 0.03
+    steps = neardup.needed_matches()
+    assert steps[-1][0] == neardup.ENTRIES and all(a < b for (_, a), (_, b) in zip(steps, steps[1:], strict=False))
+
+
+def test_components(spark):
+    links = [(k, k + 1) for k in range(60)] + [(100, 200), (300, 100), (5, 5), (7, 6)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long"), common.Workspace(spark, "t")).collect()}
+    assert got == {**{k: 0 for k in range(61)}, 100: 100, 200: 100, 300: 100}
+
+
+# ---- classifiers -----------------------------------------------------------------------------------------------
+
+
+def brute_segments(scores):
+    """All maximal segments by the recursive definition: the best segment (longest for ties at its ends is avoided by
+    taking the shortest), then left and right of it."""
+    best = None
+    for a in range(len(scores)):
+        total = 0
+        for b in range(a, len(scores)):
+            total += scores[b]
+            if total > 0 and (best is None or (total, -(b - a)) > (best[2] + 1e-12, -(best[1] - best[0]))):
+                best = (a, b, total)
+    if best is None:
+        return []
+    a, b, _ = best
+    return brute_segments(scores[:a]) + [best] + [(x + b + 1, y + b + 1, s) for x, y, s in brute_segments(scores[b + 1 :])]
+
+
+def test_maximal_segments_equal_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        scores = [-0.1 if rng.random() < 0.6 else rng.choice([0.05, 0.3, 1.7, 2.3]) + rng.random() / 50 for _ in range(rng.randint(1, 22))]
+        at = [k for k, s in enumerate(scores) if s > 0]
+        got = toxicity.segments(at, [scores[k] for k in at])
+        assert [(a, b, round(s, 9)) for a, b, s in got] == [(a, b, round(s, 9)) for a, b, s in brute_segments(scores)]
+
+
+def labelled_corpus(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    rows, labels = [], []
+    for k in range(1200):
+        toxic, poor = k % 6 == 0, k % 5 == 1
+        text = [rng.choice(words) for _ in range(rng.randint(20, 120))]
+        if toxic:
+            for _ in range(4):
+                text[rng.randrange(len(text))] = rng.choice(["vile,", "Scum", "idiot!"])
+        if poor:
+            text = [rng.choice(words)] * 60 if rng.random() < 0.5 else [w.upper() + "!!" for w in text]
+        rows.append((k, " ".join(text) + ".", "en", "s", 0))
+        labels.append((k, int(not poor), int(toxic)))
+    rows += [(5000, None, "en", "s", 0), (5001, "", "en", "s", 0), (5002, "scum " * 20_000, "en", "s", 0), (None, "x", "en", "s", 0), (7, rows[7][1], "en", "s", 0)]
+    return spark.createDataFrame(rows, DOCS).withColumn("statistics", F.lit(1)).withColumn("y", F.lit(0)), spark.createDataFrame(labels + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+
+
+def test_classifiers_on_held_out_rows(spark, empty):
+    docs, labels = labelled_corpus(spark)
+    truth = {r.doc_id: r for r in labels.where("doc_id is not null and quality is not null").collect()}
+    tox = toxicity.fit(docs, labels)
+    found = toxicity.score(docs, tox)
+    good = quality.fit(docs, labels)
+    scores = {"toxic": ({r.doc_id: r.score for r in found.collect()}, 0.5), "quality": ({r.doc_id: r.score for r in quality.score(docs, good).collect()}, 0.3)}
+    for name, (got, limit) in scores.items():
+        held = [k for k in truth if common.held_out(k)]
+        assert len(held) > 150 and sum((got[k] >= limit) == bool(truth[k][name]) for k in held) / len(held) > 0.95
+        assert set(got) == {*truth, 5000, 5001, 5002, None} and all(0 <= s <= 1 for s in got.values())
+    assert found.where("doc_id = 5002").first().score > 0.9
+    assert set(tox.lexicon) == {b"vile", b"scum", b"idiot"}
+    kept = toxicity.keep_clean(docs, tox)
+    assert kept.columns == docs.columns and kept.where("doc_id = 5002").count() == 0 and kept.where("doc_id = 5000").count() == 1
+    kept = quality.keep_good(docs, good)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    nothing = labels.where("false")
+    assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, nothing)).collect()} == {1 / (1 + np.exp(30))}
+    assert {round(r.score, 6) for r in quality.score(docs, quality.fit(docs, nothing)).collect()} == {1.0}
+    assert toxicity.score(empty, tox).count() == 0 and quality.score(empty, good).count() == 0
+
+
+def test_held_out_rule(spark):
+    got = {r.id: r.h for r in spark.range(50).select("id", common.held_out_column("id").alias("h")).collect()}
+    assert got == {k: zlib.crc32(str(k).encode()) % 5 == 0 for k in range(50)}
+
+
+def test_statistics_of_slices_and_empty_texts():
+    column = pa.array([t for t in TEXTS[:200]] + [None, "", "\n\n"])
+    whole = quality.statistics(column)
+    parts = np.concatenate([quality.statistics(column.slice(0, 77)), quality.statistics(column.slice(77))])
+    assert np.array_equal(whole, parts) and np.isfinite(whole).all()
+
+
+# ---- decontamination -------------------------------------------------------------------------------------------
+
+
+def test_leaks_are_found_and_clean_texts_left(spark, empty):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 5))) for _ in range(700)]
+    sentence = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    items = [(k, f"{sentence(rng.randint(8, 30))} {sentence(6)}") for k in range(60)]
+    items += [(100, items[0][1]), (101, None), (102, ""), (103, "zz")]
+    rows, want = [], set()
+    for k in range(400):
+        text = sentence(rng.randint(0, 900)).split()
+        for i, t in rng.sample(items[:60], rng.choice([0, 0, 1, 2])):
+            text += (t.upper() if rng.random() < 0.3 else t).split() + sentence(rng.choice([1, 40, 300])).split()
+            want.add((k, i))
+            if i == 0:
+                want.add((k, 100))
+        rows.append((k, "\n".join(text), "en", "s", 0))
+    rows += [(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, items[5][1].rpartition(". ")[0], "en", "s", 0), (3, rows[3][1], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("item_id", F.lit(1)).repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    # every pair by looking for the whole item in the text
+    joined = {k: b" " + b" ".join(decontaminate.bare(w) for w in common.words(t or "")) + b" " for k, t, *_ in rows}
+    brute = {(k, i) for k, t in joined.items() for i, item in items if item and b" " + b" ".join(decontaminate.bare(w) for w in common.words(item)) + b" " in t}
+    assert want <= brute
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == brute
+    left = decontaminate.keep_uncontaminated(docs, bench)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {k for k, *_ in rows} - {k for k, _ in brute}
+    assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
+
+
+def test_retrieval_equals_exhaustive_scores(monkeypatch):
+    rng = random.Random(6)
+    words = [f"t{k}" for k in range(80)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(3, 15)))) for k in range(50)]
+    index = decontaminate.Index.build(items)
+    windows = [sorted({index.vocabulary[w.encode()] for w in rng.sample(words, rng.randint(1, 40)) if w.encode() in index.vocabulary}) for _ in range(60)]
+    w = np.repeat(np.arange(60), [len(x) for x in windows])
+    t = np.array([y for x in windows for y in x])
+    got = {(a, b): round(s, 9) for a, b, s in zip(*(x.tolist() for x in index.retrieve(w, t, 0.35)), strict=True)}
+    want = {}
+    for k, x in enumerate(windows):
+        scores = defaultdict(float)
+        for term in x:
+            for j in range(index.starts[term], index.starts[term + 1]):
+                scores[int(index.item[j])] += float(index.impact[j])
+        want.update({(k, i): round(s, 9) for i, s in scores.items() if s >= 0.35})
+    assert got == want and got
+
+
+def test_shards_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x a b c d e f g h y", "en", "s", 0)], DOCS)
+    bench = spark.createDataFrame([(k, "a b c d e f g h" if k == 7 else f"q{k} r{k} s{k} t{k}") for k in range(30)], "item_id long, text string")
+    one = decontaminate.contaminated(docs, bench).select("doc_id", "item_id").collect()
+    parts = decontaminate.shards(bench, 4)
+    assert len(parts) == 8 and sum(len(p.items) for p in parts) == 30
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["x a b c d e f g h y"]})
+    assert [(r[0], r[1]) for p in parts for r in decontaminate.find(batch, p)] == [tuple(r) for r in one] == [(1, 7)]
+
+
+# ---- search ----------------------------------------------------------------------------------------------------
+
+
+def brute_search(rows, queries, k):
+    vectors = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = {}
+    for q, a in vectors:
+        if q in queries:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in vectors if i != q and len(a) == len(b))[:k]
+            out[q] = [(i, -s) for s, i in scored]
+    return out
+
+
+def test_search_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(vafile, "QUERY_ROWS", 7)
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(0, 0.2, 8)]) for k in range(300)]
+    rows += [(300 + k, rows[20][1]) for k in range(90)] + [(400, None), (401, [None] * 8), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, [0.0] * 8), (405, [1e13] * 8), (406, [1.0, 2.0]), (420, [3.0, -1.0]), (None, [0.0] * 8)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("rank", F.lit(1)).repartition(4)
+    got = defaultdict(list)
+    for r in sorted(vafile.top_k(frame, frame.where("vec_id % 20 = 0")).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.vec_id, r.score))
+        assert r["rank"] == len(got[r.query_id])
+    want = {q: v for q, v in brute_search(rows, {k for k in range(0, 421, 20)}, 20).items() if v}
+    assert dict(got) == want
+    assert vafile.top_k(frame.where("false"), frame.where("false")).count() == 0
+
+
+# ---- pages -----------------------------------------------------------------------------------------------------
+
+PAGE = (
+    '<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header><p>Site</p></header><nav><ul>{menu}</ul></nav><div class="ad">Buy</div>'
+    '<div class="cookie-notice">We use</div><article><h1>Title &amp; more</h1><p><b>Bold start<br><p>Second&nbsp;&#8211;  para\n here</p>{body}<form><label>x</label></form></article><aside>Side</aside><div id="comments"><p>First!</p></div><footer>&copy; x'
+)
+
+
+def page(menu=3, paragraphs=2):
+    return PAGE.format(menu="".join(f"<li><a href=/{k}>m{k}</a></li>" for k in range(menu)), body="".join(f"<p>para {k}</p>" for k in range(paragraphs)))
+
+
+def test_main_text(spark):
+    rows = [(k, f"https://a.test/{k}", page(k % 5, k % 4)) for k in range(40)] + [(50, "https://b.test/", "<body><nav>m</nav><div class=post-body><p>Only text<p>and more</div><footer>f"), (51, None, "<p>plain"), (52, "bad url", None), (53, "https://a.test/x", ""), (1, "https://a.test/1", page(1, 1))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x")).withColumn("host", F.lit("y"))
+    got = defaultdict(list)
+    for r in wrappers.main_text(frame).collect():
+        got[r.page_id].append(r.text)
+        assert r.n_chars == len(r.text)
+    for k in range(40):
+        want = "\n\n".join(["Title & more", "Bold start", "Second – para here", *[f"para {j}" for j in range(k % 4)]])
+        assert got[k] == [want] * (2 if k == 1 else 1)
+    assert got[50] == ["Only text\n\nand more"] and got[51] == ["plain"] and got[52] == [""] and got[53] == [""]
+    assert wrappers.main_text(frame.where("false")).count() == 0
+
+
+def test_wrapper_covers_all_structures():
+    streams = [wrappers.fold(tuple(wrappers.blocks(page(m, p))[0])) for m in range(5) for p in range(4)]
+    wrapper = wrappers.infer([(s, 1) for s in streams])
+    flat = list(wrappers._symbols(wrapper))
+    for s in streams:
+        rest = iter(flat * 3)
+        assert all(x in flat for x in wrappers._symbols(s)) and all(x in rest for x in wrappers._symbols(s))
+    assert any(isinstance(n, tuple) and n[2] for n in wrapper) and any(isinstance(n, tuple) and n[1] for n in wrapper)
+
+
+def test_fold_and_align():
+    assert wrappers.fold(("<li", "#", ">li", "<li", "#", ">li")) == ((("<li", "#", ">li"), False, True),)
+    a, b = ("<p", "#", ">p"), ("<p", "#", ">p", "<hr", ">hr")
+    assert wrappers.align(a, b) == ("<p", "#", ">p", (("<hr", ">hr"), True, False)) == wrappers.align(b, a)
+    many, once = wrappers.fold(a + a + a), a
+    assert wrappers.align(many, once) == many
+
+
+# ---- revisits --------------------------------------------------------------------------------------------------
+
+
+def test_revisits_equal_brute_force(spark):
+    rng = random.Random(1)
+    kind = "record_id long, url string, ts long, status int, etag string, last_modified string, headers map<string,string>, digest string"
+    rows = []
+    for k in range(600):
+        url = rng.choice(["http://A.test:80/x?b=2&a=1&utm_source=q#f", "http://a.test/x?a=1&b=2", "https://b.test", "https://b.test:443/", "junk", None]) if rng.random() < 0.9 else f"http://c.test/{k % 7}"
+        status = rng.choice([200, 304, 304, 404])
+        rows.append((k, url, rng.randint(0, 120) if k % 97 else None, status, rng.choice([None, '"1"', 'W/"1"', '"2"']), rng.choice([None, "d1", "d2"]), rng.choice([None, {"ETag": '"9"', "Content-Length": "5", "X-A": str(k)}, {"x-a": "q", "X-A": "p", "Date": "t"}]), f"g{k}"))
+    frame = spark.createDataFrame(rows, kind).withColumn("found", F.lit(1)).repartition(4)
+    canon = {r.url: r.c for r in frame.select("url", revisits.canonical_url(F.col("url")).alias("c")).distinct().collect()}
+    assert canon["http://A.test:80/x?b=2&a=1&utm_source=q#f"] == canon["http://a.test/x?a=1&b=2"] == "http://a.test/x?a=1&b=2" and canon["https://b.test"] == canon["https://b.test:443/"] == "https://b.test/"
+    lower = lambda h: {k.lower(): v for k, v in sorted((h or {}).items())}
+    want = {}
+    for r in rows:
+        if r[3] != 304:
+            continue
+        earlier = [o for o in rows if o[3] == 200 and r[1] is not None and o[1] is not None and canon[o[1]] == canon[r[1]] and r[2] is not None and o[2] is not None and o[2] < r[2]]
+        o = max(earlier, key=lambda o: (o[2], o[0]), default=None)
+        bare = lambda e: e.removeprefix("W/")
+        if o is None:
+            outcome = "missing"
+        elif r[4] is not None and o[4] is not None:
+            outcome = "resolved" if bare(r[4]) == bare(o[4]) else "mismatch"
+        elif r[5] is not None and o[5] is not None:
+            outcome = "resolved" if r[5] == o[5] else "mismatch"
+        else:
+            outcome = "unverified"
+        headers = {**lower(o[6]), **{k: v for k, v in lower(r[6]).items() if k not in revisits.FIXED}} if outcome == "resolved" else None
+        want[r[0]] = (o[0] if o else None, outcome, headers, o[7] if outcome == "resolved" else None)
+    for ranges in (1, 4, 50):
+        got = {r.record_id: (r.refers_to, r.outcome, r.headers, r.digest) for r in revisits.resolve(frame, ranges).collect()}
+        assert got == want
+    assert revisits.resolve(frame.where("false")).count() == 0
