@@ -37,6 +37,7 @@ ENTRIES = 320  # of a signature; the first ROWS * BANDS make the bands
 NUMERATOR, DENOMINATOR = 75, 100
 MISS = 1e-3
 BATCH = 32  # signature entries compared between two looks at the posterior
+SIEVE_BITS = 26  # at most 8 MB
 CELL = 512  # members of a bucket that are compared as one block
 
 SIGNED = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary"
@@ -83,19 +84,42 @@ def signatures(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), make, SIGNED)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its shingle hashes (sorted longs)."""
+def sieve(wanted: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the wanted ids (doc_id): bits as uint64 words. Its size is bounded whatever is wanted: beyond
+    the bound it lets more others through, never fewer of the wanted."""
+    bits = 1 << min(SIEVE_BITS, max(16, (16 * size).bit_length()))
+    h = F.xxhash64("doc_id")
+    places = F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))))
+    words = wanted.select(places.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("m"))
+    out = np.zeros(bits >> 6, np.uint64)
+    rows = words.toArrow()
+    out[rows["w"].to_numpy()] = rows["m"].to_numpy().view(np.uint64)
+    return out, bits
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and its shingle hashes (sorted longs) of the wanted documents. A Bloom filter of their ids goes to the
+    texts, so that only sets are shuffled, not texts."""
+    words, bits = sieve(wanted, wanted.count())
+    keyed = docs.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
 
     def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.unique(s).view(np.int64) for s in batch_shingles(batch["text"])]
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            h = batch["h"].to_numpy().view(np.uint64)
+            hit = np.ones(len(h), bool)
+            for place in (h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)):
+                hit &= (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) != 0
+            at = pa.array(np.flatnonzero(hit))
+            if not len(at):
+                return None
+            sets = [np.unique(s).view(np.int64) for s in batch_shingles(batch["text"].take(at))]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
-            return pa.RecordBatch.from_arrays([batch["doc_id"], lists], ["doc_id", "shingles"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
+            return pa.RecordBatch.from_arrays([batch["doc_id"].take(at), lists], ["doc_id", "shingles"])
 
         return work
 
-    return map_arrow(docs, make, "doc_id bigint, shingles array<bigint>")
+    return map_arrow(keyed, make, "doc_id bigint, shingles array<bigint>").join(wanted, "doc_id", "left_semi")
 
 
 def _posterior_tail(matches: int, n: int, threshold: float) -> float:
@@ -199,7 +223,8 @@ def verify(left: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
     if left.isEmpty():
         return left
     wanted = left.select(F.col("a").alias("doc_id")).union(left.select(F.col("b").alias("doc_id"))).distinct()
-    sets = work.write(shingle_sets(docs.join(wanted, "doc_id", "left_semi")), "sets")
+    wanted = work.write(wanted, "wanted")
+    sets = work.write(shingle_sets(docs, wanted), "sets")
 
     def check(pairs: DataFrame, hashes, percent: int) -> DataFrame:
         a = sets.select(F.col("doc_id").alias("a"), hashes.alias("xa"))
@@ -211,7 +236,7 @@ def verify(left: DataFrame, docs: DataFrame, work: Workspace) -> DataFrame:
     short = F.array_distinct(F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int")))
     near = work.write(check(left, short, NUMERATOR - 1), "near")
     links = work.write(check(near, F.col("shingles"), NUMERATOR), "links")
-    work.drop(left, near, sets)
+    work.drop(left, near, sets, wanted)
     return links
 
 
