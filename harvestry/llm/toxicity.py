@@ -2,7 +2,7 @@
 
 Fit, on the bounded sample of labelled documents: each word's log-odds between toxic and other documents under an
 informative Dirichlet prior (the pooled counts), kept where its z-score is significant. A word counts once a text, so
-that a long or repetitive text weighs no more than another. Every other word costs DRIFT.
+that a long or repetitive text weighs no more than another, and once among near copies. Every other word costs DRIFT.
 The linear-time scan for all maximal-scoring segments then runs over every word of every text. A segment's score S in
 a text of n words has the extreme-value tail 1 - exp(-K n exp(-lambda S)): lambda solves sum p exp(lambda s) = 1 over
 the word scores of clean documents, K is fitted to their highest segments. A document's statistic adds up the
@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled
-from .common import Workspace, batch_words, map_arrow
+from .common import Workspace, batch_shingles, batch_words, map_arrow
 
 PRIOR = 1.0  # weight of the whole prior, as a multiple of the toxic class's count
-MIN_Z = 4.5  # about one in 300,000
+MIN_Z = 4.0  # one in 30,000
 LEXICON = 20_000  # words kept at most, by z; bounds the model that is sent to the executors
 DRIFT = 0.1
 E_VALUE = 0.05
@@ -93,7 +93,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from the labelled documents that aren't held out. What reaches the driver is bounded by LEXICON words
     and three numbers for each of the sample's documents."""
     work = Workspace(docs.sparkSession, "toxicity")
-    known = work.write(labelled.sample(docs, labels, "toxic"), "sample")
+
+
+    def mark():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            marks = [int(x.min().view(np.int64)) if len(x) else 0 for x in batch_shingles(batch["text"])]
+            return pa.RecordBatch.from_arrays([batch["text"], batch["y"], pa.array(marks, pa.int64())], ["text", "y", "mark"])
+
+        return run
+
+    known = work.write(map_arrow(labelled.sample(docs, labels, "toxic"), mark, "text string, y int, mark bigint"), "sample")
 
     def count():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -109,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
         return run
 
-    counts = work.write(map_arrow(known, count, "word binary, toxic bigint, other bigint").groupBy("word").agg(F.sum("toxic").alias("y1"), F.sum("other").alias("y0")), "counts")
+    # near copies share their smallest shingle, mostly: one of them is counted, or its rare words would look significant
+    counts = work.write(map_arrow(known.dropDuplicates(["mark", "y"]), count, "word binary, toxic bigint, other bigint").groupBy("word").agg(F.sum("toxic").alias("y1"), F.sum("other").alias("y0")), "counts")
     n1, n0 = (x or 0 for x in counts.agg(F.sum("y1"), F.sum("y0")).first())
     if not n1 or not n0:
         return Model()
