@@ -521,6 +521,62 @@ def cookie_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded.cookie_headers(calls, jar.coalesce(1)).select("id", "cookie")
 
 
+@query("SELECT DISTINCT 'https://x.test/' || r_name || '.js' AS script, 'https://x.test/' || r_name || '.js.map' AS map, true AS own FROM region")
+def source_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source maps of scripts."""
+    scripts = table(spark, sf_dir, "region").select(F.concat(F.lit("https://x.test/"), "r_name", F.lit(".js?v=1")).alias("url"))
+    return requests.source_map_hints(scripts, "https://x.test/")
+
+
+@query("SELECT 'https://x.test/' || CAST(n_nationkey AS VARCHAR) AS url, CASE WHEN n_nationkey % 3 = 0 THEN 403 ELSE 200 END AS status, n_nationkey % 3 = 1 AS is_json, n_nationkey % 3 = 0 AS blocked, n_nationkey % 3 = 2 AS embedded FROM nation")
+def response_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What captured responses are: JSON, a block, a page with embedded data."""
+    k = F.col("n_nationkey") % 3
+    responses = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("https://x.test/"), F.col("n_nationkey").cast("string")).alias("url"), F.when(k == 0, 403).otherwise(200).alias("status"), F.create_map(F.lit("server"), F.lit("x")).alias("headers"),
+        F.when(k == 1, json_of("n_name")).when(k == 2, F.lit('<html><script id="__NEXT_DATA__">{}</script></html>')).otherwise("<html>no</html>").alias("body"),
+    )
+    return diagnose.probe(responses).select("url", "status", "is_json", "blocked", "embedded")
+
+
+@query("SELECT p_partkey AS page_id, unnest(['window:__INITIAL_STATE__', 'ldjson']) AS source FROM part")
+def embedded_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which embedded sources a page has."""
+    pages = _rendered(spark, sf_dir, lambda j: F.concat(F.lit("<script>window.__INITIAL_STATE__ = "), j, F.lit(';</script><script type="application/ld+json">'), j, F.lit("</script>")))
+    return embedded.discovered(pages, ("page_id",)).select("page_id", "source")
+
+
+@query("SELECT c_custkey AS page_id, 'i' AS selector, 'text' AS attr FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_custkey, 'b', 'title' FROM customer WHERE c_mktsegment = 'BUILDING'")
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where pages hold a text, in elements and attributes."""
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit('<div><p><i>It is '), "c_mktsegment", F.lit('</i></p><b title="'), "c_mktsegment", F.lit('">x</b></div>')).alias("html"))
+    return discovery.find_text(pages, "building").select("page_id", "selector", "attr")
+
+
+@query("SELECT r_regionkey AS page_id, 'title' AS field, CASE WHEN r_regionkey % 2 = 0 THEN 'ok' ELSE 'moved' END AS status FROM region UNION ALL SELECT r_regionkey, 'price', CASE WHEN r_regionkey % 2 = 0 THEN 'ok' ELSE 'lost' END FROM region")
+def selector_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of redesigned pages found again by what they looked like; a price that is gone stays lost."""
+    nation = table(spark, sf_dir, "nation")
+    new = F.col("n_regionkey") % 2 == 1
+    card = F.concat(F.lit("<li class=card>"), F.when(new, F.concat(F.lit("<h4 class=name><a href=/x>"), "n_name", F.lit("</a></h4>"))).otherwise(F.concat(F.lit("<h3><a href=/x>"), "n_name", F.lit("</a></h3><p class=price>€ "), F.col("n_nationkey").cast("string"), F.lit("</p>"))), F.lit("</li>"))
+    pages = nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(card)), "").alias("cards")).select(F.col("n_regionkey").alias("page_id"), F.lit("https://x.test/").alias("url"), F.concat(F.lit("<ul>"), "cards", F.lit("</ul>")).alias("html"))
+    fields = {"title": "h3 a", "price": "p.price"}
+    healthy = "<ul>" + "".join(f"<li class=card><h3><a href=/x>Name {k}</a></h3><p class=price>€ {k}</p></li>" for k in range(5)) + "</ul>"
+    memory = discovery.fingerprint(healthy, fields, "li.card")
+    return discovery.health(pages, fields, "li.card", memory).where("field <> ''").select("page_id", "field", "status")
+
+
+@query("SELECT n_name AS name FROM nation")
+def scroll_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of a scrolled list that overlap: every row once, in the order in which it was first seen."""
+    nation = table(spark, sf_dir, "nation")
+    shown = nation.select("n_name", "n_nationkey", F.explode(F.sequence(F.floor(F.col("n_nationkey") / 5), F.floor(F.col("n_nationkey") / 5) + 2)).alias("round"))
+    html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("<li class=row>"), x["n_name"], F.lit("</li>"))), "")
+    pages = shown.groupBy("round").agg(html.alias("html")).select(F.col("round").alias("page_id"), F.lit("https://x.test/").alias("url"), F.concat(F.lit("<ul>"), "html", F.lit("</ul>")).alias("html"), "round")
+    recipe = {"version": 1, "name": "feed", "strategy": "dom", "pages": {"type": "scroll", "start": "https://x.test/"}, "items": {"container": "li.row"}, "fields": {"name": ":scope"}}
+    return compile_recipe(recipe, Sources(pages=pages)).select("name")
+
+
 # ---- whole recipes ---------------------------------------------------------------------------------------------
 
 

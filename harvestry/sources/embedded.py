@@ -160,6 +160,26 @@ def discover(html: str) -> list[tuple[str, str, int]]:
     return out
 
 
+def discovered(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """A row for each embedded source of each page: its name, shape and size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("source", pa.string()), ("shape", pa.string()), ("size", pa.int64())]))
+        for batch in batches:
+            found = [[{"source": s, "shape": t, "size": n} for s, t, n in discover(h or "")] for h in batch["html"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in keep], pa.array(found, kind)], [*keep, "found"])
+
+    kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
+    return pages.select(*keep, "html").mapInArrow(run, f"{kinds}, found array<struct<source:string,shape:string,size:bigint>>").select(*keep, F.inline("found"))
+
+
+def peek(html: str, source, path: str = "", depth: int = 2, longest: int = 2000) -> dict:
+    """Shape and JSON text (cut at a length) of one path of an embedded source."""
+    value = jsonpath.get(read(html, source), path)
+    text = "null" if value is jsonpath.MISSING else json.dumps(jsonpath.plain(value), ensure_ascii=False)
+    return {"shape": shape(None if value is jsonpath.MISSING else value, depth), "json": text if len(text) <= longest else text[: longest - 1] + "…", "truncated": len(text) > longest}
+
+
 def shape(value, depth: int = 2):
     """A sketch of a value's type: keys and lengths down to a depth."""
     if value is None:
