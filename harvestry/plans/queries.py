@@ -253,8 +253,10 @@ def star_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT s_suppkey, n_name AS nation, CAST(1 AS BIGINT) AS hits FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lookup into another table of the same document, found by a key in a list."""
-    nations = table(spark, sf_dir, "nation").agg(F.sort_array(F.collect_list(F.struct(F.array(F.col("n_nationkey").cast("string"), F.lit("x")).alias("ids"), F.col("n_name").alias("name")))).alias("nations"))
-    docs = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(nations)).select("s_suppkey", json_of(F.col("nations"), row=F.struct("s_nationkey")).alias("json"))
+    nation = table(spark, sf_dir, "nation")
+    nations = nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct(F.array(F.col("n_nationkey").cast("string"), F.lit("x")).alias("ids"), F.col("n_name").alias("name")))).alias("nations"))
+    supplier = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(nations, "n_regionkey")
+    docs = supplier.select("s_suppkey", json_of(F.col("nations"), row=F.struct("s_nationkey")).alias("json"))
     look = {"in": "nations", "where": "ids", "equals": "s_nationkey"}
     return rows.json_rows(docs, {"nation": {"path": "name", "lookup": look}, "hits": {"path": "name", "lookup": look, "transform": "count"}}, "row", keep=("s_suppkey",)).select("s_suppkey", "nation", "hits")
 
