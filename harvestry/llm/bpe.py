@@ -27,7 +27,7 @@ from .common import map_arrow
 
 NONE = np.int64(1 << 40)  # the rank of a pair that doesn't merge
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-CACHE_PARTS = 500_000
+CACHE_PARTS = 200_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -195,6 +195,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str = public_tokeni
                 return pa.RecordBatch.from_arrays([batch["doc_id"], n, *sha], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             return pa.RecordBatch.from_arrays([batch["doc_id"], n, pa.array(id_runs, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
+        work.caches = (bpe.encoder,)
         return work
 
     return map_arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), make, DIGESTS if digests else SCHEMA)

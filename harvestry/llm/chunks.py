@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 
 _BEFORE_SPACE = re.compile(r" (?=\s|\Z)")
 _UNSAFE = re.compile(r"(?:(?<=\s)|(?<![\s\S])) (?=\s|\Z)")
+#: An ASCII part without apostrophe and white space, so without a piece that depends on its neighbours.
+_PLAIN = re.compile(r"[!-&(-~]+").fullmatch
 
 
 def safe(text: str) -> bool:
@@ -53,9 +55,9 @@ class Store:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
         self._encode, self._limit = encode, limit
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self._at: dict[str, int] = {}
         self._flat, self._starts, self._sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -64,7 +66,7 @@ class Store:
         at = np.fromiter(map(self._at.get, strings, repeat(-1)), np.int64, len(strings))
         missing = np.flatnonzero(at < 0)
         if len(self._at) + len(missing) > self._limit:
-            self._clear()
+            self.clear()
             missing = np.arange(len(strings))
         if len(missing):
             absent = [strings[k] for k in missing.tolist()]
@@ -82,11 +84,15 @@ class Store:
 class Encoder:
     """Texts -> ids, given how distinct pieces are encoded and how a string is cut into pieces."""
 
-    def __init__(self, findall: Callable[[str], list[str]], encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int):
-        self._findall = findall
+    def __init__(self, findall: Callable[[str], list[str]], encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int, uncut: bool = False):
+        self._findall, self._encode_pieces, self._uncut = findall, encode_pieces, uncut
         self._pieces = Store(encode_pieces, limit)
         self._parts = Store(self._encode_parts, limit)
 
+    def clear(self) -> None:
+        self._pieces.clear()
+        self._parts.clear()
+
     def _encode_found(self, pieces: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, and the number of ids of each run of ``counts`` pieces."""
         if not pieces:
@@ -103,6 +109,10 @@ class Encoder:
     def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Of strings before each of which a space stands. No piece runs over the border of two such, where a non-space
         follows the space, so they are cut as one text."""
+        if self._uncut:
+            plain = [k for k, p in enumerate(parts) if p.isascii() and _PLAIN(p)]
+            if len(plain) * 2 > len(parts):
+                return self._encode_plain(parts, plain)
         text = " " + " ".join(parts)
         if _BEFORE_SPACE.search(text):
             return self._encode_alone([" " + p for p in parts])
@@ -111,6 +121,18 @@ class Encoder:
         upto = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1), side="right")
         return self._encode_found(pieces, np.diff(upto, prepend=0))
 
+    def _encode_plain(self, parts: list[str], plain: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts of which most need no cutting (the places of those are given)."""
+        flat, counts = self._encode_pieces([" " + parts[k] for k in plain])
+        mask = np.ones(len(parts), bool)
+        mask[plain] = False
+        other = np.flatnonzero(mask)
+        more, others = self._encode_parts([parts[k] for k in other.tolist()]) if len(other) else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        sizes, starts = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+        sizes[plain], sizes[other] = counts, others
+        starts[plain], starts[other] = np.cumsum(counts) - counts, len(flat) + np.cumsum(others) - others
+        return gather(starts, sizes, np.concatenate((flat, more))), sizes
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after another (uint32) and each row's number of ids; null is the empty text."""
         column = pc.fill_null(column, "")

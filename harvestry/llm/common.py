@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text handled at once inside a Python worker; bounds its memory whatever the Arrow batch holds.
-SUB_BATCH_CHARS = 8_000_000
+SUB_BATCH_CHARS = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,14 +96,30 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for part in sub_batches(batch, text) if text else [batch]:
-                if part.num_rows and (out := work(part)) is not None:
-                    yield out
+        try:
+            for batch in batches:
+                for part in sub_batches(batch, text) if text else [batch]:
+                    if part.num_rows and (out := work(part)) is not None:
+                        yield out
+                    release()
+        finally:
+            release(getattr(work, "caches", ()))
 
     return df.mapInArrow(run, schema)
 
 
+def release(caches=()) -> None:
+    """Gives a task's memory back before the worker process takes the next task: workers live as long as the executor,
+    and what their allocators keep would add up over the operators of a pipeline."""
+    for c in caches:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def texts(column: pa.Array) -> list[str]:
     """Values as strings; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

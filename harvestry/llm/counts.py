@@ -24,7 +24,7 @@ from .common import map_arrow
 
 META = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 SCHEMA = "doc_id bigint, n_tokens bigint, n_words bigint"
 
 
@@ -42,6 +42,9 @@ class Counter:
         self.byte_fallback = byte_fallback and all(f"<0x{b:02X}>" in self.pieces for b in range(256))
         self._known: dict[str, int] = {}
 
+    def clear(self) -> None:
+        self._known.clear()
+
     def _matches(self, text: str) -> list[list[tuple[int, float]]]:
         ends: list[list[tuple[int, float]]] = [[] for _ in range(len(text) + 1)]
         for end, match in self.automaton.iter(text):
@@ -145,6 +148,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             tokens, number = counter.texts(batch["text"])
             return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(tokens, pa.int64()), pa.array(number, pa.int64())], ["doc_id", "n_tokens", "n_words"])
 
+        work.caches = (counter,)
         return work
 
     return map_arrow(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), make, SCHEMA)
