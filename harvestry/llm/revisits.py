@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import below
+
 #: Fields that a 304 never updates in a stored response (RFC 9111, section 3.2, and framing fields).
 FIXED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that name a visit, not a resource.
@@ -68,8 +70,7 @@ def resolve(records: DataFrame, ranges: int | None = None) -> DataFrame:
     cuts = []
     if ranges > 1:
         cuts = sorted({c for c in records.agg(F.percentile_approx(F.col("ts").cast("bigint"), [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []})
-    span = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("ts"))) if cuts else F.lit(0)
-    own = own.withColumn("span", span)
+    own = own.withColumn("span", below(F.col("ts"), cuts))
     response = F.struct("record_id", "etag", "last_modified", "headers", "digest")
     is_full = F.col("status") == 200
 

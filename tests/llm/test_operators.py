@@ -271,6 +271,13 @@ def test_classifiers_on_held_out_rows(spark, empty):
     assert toxicity.score(empty, tox).count() == 0 and quality.score(empty, good).count() == 0
 
 
+def test_below(spark):
+    for cuts in ([], [5], [1, 3, 3, 9], list(range(0, 200, 7))):
+        got = [r.n for r in spark.range(-2, 210).select(common.below(F.col("id"), cuts).alias("n")).collect()]
+        assert got == [sum(c < v for c in cuts) for v in range(-2, 210)]
+    assert spark.range(1).select(common.below(F.lit(None).cast("bigint"), [1, 2]).alias("n")).first().n == 0
+
+
 def test_held_out_rule(spark):
     got = {r.id: r.h for r in spark.range(50).select("id", common.held_out_column("id").alias("h")).collect()}
     assert got == {k: zlib.crc32(str(k).encode()) % 5 == 0 for k in range(50)}
