@@ -30,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import Workspace, sub_batches
+from .common import Workspace, below, release, sub_batches
 
 MAGIC = b"WMX1"
 BLOCK_BITS = 1 << 16
 #: Tokens after which a shard's file is closed (at a document's end) and the next one begins.
 FILE_TOKENS = 4_000_000
 END_ID = 0
-CACHE_PARTS = 500_000
+SLICE_BYTES = 10_000_000  # of texts that are encoded together
+CACHE_PARTS = 400_000
 FILES = "shard bigint, seq bigint, path string, n_tokens bigint, n_docs bigint"
 SCHEMA = "doc_id bigint, shard bigint, seq bigint, at bigint, n_tokens bigint, ids_crc32 bigint"
 
@@ -59,7 +60,7 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> byt
         before = np.concatenate(([0], np.cumsum(ones)))
         planes.append({"zeros": int(len(x) - before[-1]), "sizes": [len(b) for b in blocks], "ones_before": before[:-1].tolist()})
         sections += blocks
-        x = np.concatenate((x[~bits], x[bits]))
+        x = np.concatenate((x.take(np.flatnonzero(~bits)), x.take(np.flatnonzero(bits))))  # faster than masks, whose branches can't be foreseen
     missing = [k for k, d in enumerate(doc_ids) if d is None]
     docs = pack(np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array(lengths, "<i8").tobytes())
     header = pack(json.dumps({"n": len(ids), "docs": len(doc_ids), "null_ids": missing, "docs_size": len(docs), "block_bits": BLOCK_BITS, "planes": planes}).encode())
@@ -164,8 +165,8 @@ class Reader:
             if level == levels - 9:  # the low byte is whole
                 x = x.astype(np.uint16 if levels <= 16 else np.uint32)
             out = np.empty_like(x)
-            out[~bits] = x[: p["zeros"]]
-            out[bits] = x[p["zeros"] :] | x.dtype.type(1 << (levels - 1 - level))
+            out[np.flatnonzero(~bits)] = x[: p["zeros"]]
+            out[np.flatnonzero(bits)] = x[p["zeros"] :] | x.dtype.type(1 << (levels - 1 - level))
             x = out
         return x.astype("<u4")
 
@@ -210,21 +211,29 @@ class LibraryEncoder:
         self._size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, k in vocabulary.items():
             self._size[k] = len(token)  # one letter a byte
-        self._encoder = chunks.Encoder(regex.compile(pattern).findall, self._pieces, CACHE_PARTS)
+        cut = regex.compile(pattern)
+        # where every ASCII token is one piece of the pattern, no merge runs over a border between ASCII pieces: such a
+        # part needs no cutting, but for an apostrophe, whose pieces depend on what follows
+        back = {ord(v): k for k, v in self._letters.items()}
+        ascii_tokens = [t for token in vocabulary if token not in self._added and (t := token.translate(back)).isascii()]
+        uncut = all(cut.findall(t) == [t] for t in ascii_tokens if "'" not in t and not t.isspace())
+        self._encoder = chunks.Encoder(cut.findall, self._pieces, CACHE_PARTS, uncut)
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        letters = b"\0".join(found).decode("latin1")
-        # the separator is no piece's byte unless a piece holds it; then every piece is mapped alone
-        if any(b"\0" in x for x in found):
-            runs = [x.decode("latin1").translate(self._letters) for x in found]
+        joined = "".join(pieces)
+        if joined.isascii() and joined.isprintable():  # but for the space such bytes are their own letters
+            runs, sizes = "\n".join(pieces).replace(" ", self._letters[32]).split("\n"), np.fromiter(map(len, pieces), np.int64, len(pieces))
         else:
-            runs = letters.translate(self._letters | {0: "\n"}).split("\n")
+            found = [p.encode("utf-8", "surrogatepass") for p in pieces]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            runs = [x.decode("latin1").translate(self._letters) for x in found]
         flat = np.concatenate([np.array(self._model.encode_batch_fast(["\n".join(runs[k : k + 2000])], add_special_tokens=False)[0].ids, np.uint32) for k in range(0, len(runs), 2000)])
         ends = np.searchsorted(np.cumsum(self._size[flat]), np.cumsum(sizes), side="left") + 1
         return flat, np.diff(ends, prepend=0)
 
+    def clear(self) -> None:
+        self._encoder.clear()
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another and each text's number of ids."""
         column = pc.fill_null(column, "")
@@ -264,8 +273,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, work: Workspace, n_shards
     cuts = sorted(set(cuts or []))
     keys = even_keys(spark, n_shards)
     # the shard is the number of cuts below the id; a shard's key sends it to a partition of its own
-    shard = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("bigint")
+    shard = below(F.col("doc_id"), cuts).cast("bigint")
     dealt = docs.withColumn("shard", shard).withColumn("key", F.element_at(F.array(*map(F.lit, keys)), (F.col("shard") + 1).cast("int")).cast("bigint"))
     dealt = dealt.repartition(n_shards, "key").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "text").select("shard", "doc_id", "text")
     root = work.path("shards")
@@ -285,7 +293,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, work: Workspace, n_shards
         coder = _tokenizer(tokenizer_path)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for part in sub_batches(batch, "text"):
+            for part in sub_batches(batch, "text", SLICE_BYTES):
                 flat, counts = coder.encode(part["text"])
                 at = 0
                 for s, d, size in zip(part["shard"].to_pylist(), part["doc_id"].to_pylist(), counts.tolist(), strict=True):
@@ -298,8 +306,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, work: Workspace, n_shards
                     doc_ids.append(d)
                     lengths.append(size + 1)
                     n += size + 1
+                release()
         if held:
             yield close()
+        release()  # the cache stays for the next task of this worker
 
     return work.write(dealt.mapInArrow(run, FILES), "files")
 
