@@ -44,7 +44,8 @@ def gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarra
     """flat[start : start + size] of each row, one after another."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    return flat[np.repeat((starts - (ends - sizes)).astype(kind), sizes) + np.arange(total, dtype=kind)]
 
 
 class Store:
@@ -110,7 +111,7 @@ class Encoder:
         """Of strings before each of which a space stands. No piece runs over the border of two such, where a non-space
         follows the space, so they are cut as one text."""
         if self._uncut:
-            plain = [k for k, p in enumerate(parts) if p.isascii() and _PLAIN(p)]
+            plain = [k for k, p in enumerate(parts) if _PLAIN(p)]
             if len(plain) * 2 > len(parts):
                 return self._encode_plain(parts, plain)
         text = " " + " ".join(parts)
@@ -143,7 +144,8 @@ class Encoder:
         starts, sizes, flat = self._parts.runs(words)
         per_word = sizes[index]
         first_word = starts[index]
-        odd = [k for k, w in enumerate(words) if not w or w[0].isspace()] if _BEFORE_SPACE.search(" " + " ".join(words)) else []
+        initials = pc.unique(pc.utf8_slice_codeunits(dictionary, 0, 1)).to_pylist()
+        odd = [k for k, w in enumerate(words) if not w or w[0].isspace()] if any(not c or c.isspace() for c in initials) else []
         if odd:  # a space before white space: the rows where that is no safe cut are taken whole
             flag = np.zeros(len(words), bool)
             flag[odd] = True
