@@ -70,9 +70,17 @@ def mapped(c: Column, table: dict, to: str = "string") -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), c.cast("string")), c.cast(to) if to == "string" else c.try_cast(to))
 
 
+def _once(c: Column, build) -> Column:
+    """build(c) with c evaluated once, however often the expression names it."""
+    return F.get(F.transform(F.array(c), build), F.lit(0))
+
+
 def _decimal_text(c: Column) -> Column:
     """An amount's text with its grouping marks removed and a point as decimal mark."""
-    t = F.regexp_replace(c, rf"{WS}|['’]", "")
+    return _once(F.regexp_replace(c, rf"{WS}|['’]", ""), _with_point)
+
+
+def _with_point(t: Column) -> Column:
     commas = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
     dots = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
     no_commas, no_dots = F.replace(t, F.lit(","), F.lit("")), F.replace(t, F.lit("."), F.lit(""))
@@ -97,15 +105,17 @@ UNITS = {"억": 1e8, "만": 1e4, "천": 1e3}
 
 def price(c: Column) -> Column:
     """The amount in a price's text as a double."""
-    s = strip(c.cast("string"))
+    return F.when(c.cast("string") != "", _once(strip(c.cast("string")), _price))
+
+
+def _price(s: Column) -> Column:
     sign = F.when(F.regexp_like(s, F.lit(r"^[-−]|^\(.*\)\z")), -1.0).otherwise(1.0)
     pieces = F.regexp_extract_all(s, F.lit(rf"([0-9][0-9,.]*{WS}*[억만천]?)"), 1)
     factor = lambda p: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), F.right(p, F.lit(1))), F.lit(1.0))
     summed = F.aggregate(pieces, F.lit(0.0), lambda a, p: a + F.coalesce(_amount(F.regexp_extract(p, "^([0-9][0-9,.]*)", 1)), F.lit(0.0)) * factor(p))
     first = F.regexp_extract(s, rf"([0-9](?:(?:[0-9.,'’]|{WS})*[0-9])?)", 1)
     return (
-        F.when(c.isNull() | (c.cast("string") == ""), F.lit(None).cast("double"))
-        .when(F.lower(s).isin(FREE), 0.0)
+        F.when(F.lower(s).isin(FREE), 0.0)
         .when(F.regexp_like(s, F.lit(rf"[0-9]{WS}*[억만천]")), sign * summed)
         .when(first != "", sign * _amount(first))
     )
@@ -189,19 +199,16 @@ def date(c: Column, tz: str = "Asia/Seoul", now: Column | None = None) -> Column
     """See ``_date``. Its many forms would exceed the size of a generated method, so it is evaluated as a lambda over a
     one-element array: only this expression is interpreted, the stage around it stays compiled."""
     now = F.current_timestamp() if now is None else now
-    return F.get(F.transform(F.array(c.cast("string")), lambda x: _date(x, tz, now)), F.lit(0))
+    return _once(c.cast("string"), lambda text: _once(strip(text), lambda s: _once(F.lower(s), lambda low: _date(text, s, low, tz, now))))
 
 
-def _date(c: Column, tz: str, now: Column) -> Column:
+def _date(text: Column, s: Column, low: Column, tz: str, now: Column) -> Column:
     """A time as ``yyyy-MM-dd HH:mm:ss`` in a zone (a day where only that is known); what is no date passes unchanged.
 
     Epoch numbers (seconds, milliseconds, microseconds by size), relative texts measured from ``now``, ISO texts, RFC
     1123, ``Mon D, YYYY``, ``YYYY. M. D.`` and texts with the offset in the middle are read; without a zone a text keeps
     its fields. The session's time zone plays no part where it is UTC, which the engine's sessions set.
     """
-    text = c
-    s = strip(text)
-    low = F.lower(s)
     local = lambda ts: F.date_format(F.from_utc_timestamp(ts, tz), SECONDS)
 
     n = F.when(F.regexp_like(s, F.lit(r"^[0-9]{9,}(\.[0-9]+)?\z")), s.try_cast("double"))
