@@ -14,8 +14,9 @@
    it is pruned. Survivors are looked at with 32-bit shingle hashes, and confirmed on their full sets.
 
 At similarity 0.75 a pair shares no bucket with probability (1 - 0.75 ** ROWS) ** BANDS (2e-5), and is then pruned
-wrongly with probability MISS at most (both fall steeply above). Null and empty texts have no shingle and are linked
-with nothing; a null id gives a null component and is kept. Repeated rows each keep a row, with equal results; rows that share an id but not a text are
+wrongly by any of the looks together with probability 8.4e-6 (lost(); both fall steeply above). Null and empty texts
+have no shingle and are linked with nothing; a null id gives a null component and is kept. Repeated rows each keep a
+row, with equal results; rows that share an id but not a text are
 linked by any of their texts. Other columns are ignored.
 """
 
@@ -35,7 +36,7 @@ from .graph import components
 ROWS, BANDS = 5, 40
 ENTRIES = 320  # of a signature; the first ROWS * BANDS make the bands
 NUMERATOR, DENOMINATOR = 75, 100
-MISS = 1e-3
+MISS = 1e-6  # at each look; lost() adds the looks up
 BATCH = 32  # signature entries compared between two looks at the posterior
 SIEVE_BITS = 26  # at most 8 MB
 CELL = 512  # members of a bucket that are compared as one block
@@ -139,6 +140,21 @@ def needed_matches(n: int = ENTRIES, batch: int = BATCH, miss: float = MISS) ->
     return out
 
 
+def lost(similarity: float) -> float:
+    """The probability that a pair of this similarity is pruned by any of the looks."""
+    live, seen, out = {0: 1.0}, 0, 0.0
+    for upto, need in needed_matches():
+        step = upto - seen
+        chance = [math.comb(step, j) * similarity**j * (1 - similarity) ** (step - j) for j in range(step + 1)]
+        after: dict[int, float] = {}
+        for matches, p in live.items():
+            for j, q in enumerate(chance):
+                after[matches + j] = after.get(matches + j, 0.0) + p * q
+        out += math.fsum(p for m, p in after.items() if m < need)
+        live, seen = {m: p for m, p in after.items() if m >= need}, upto
+    return out
+
+
 def survivors(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) that the sequential Bayesian test doesn't prune. sigs: id, n, sig."""
     left = sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))

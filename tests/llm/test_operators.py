@@ -196,6 +196,14 @@ def test_signature_estimates_similarity():
     assert steps[-1][0] == neardup.ENTRIES and all(a < b for (_, a), (_, b) in zip(steps, steps[1:], strict=False))
 
 
+def test_looks_together_keep_the_stated_bound():
+    """The looks' losses add up; at 1e-3 each, 0.66 % of the pairs at the threshold were pruned."""
+    assert neardup.lost(0.75) <= 8.4e-6 and neardup.lost(0.80) < 1e-7
+    rng = np.random.default_rng(5)
+    same = (rng.random((100_000, neardup.ENTRIES)) < 0.75).cumsum(1)
+    assert not np.any([same[:, upto - 1] < need for upto, need in neardup.needed_matches()], axis=0).sum() > 6
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 200), (300, 100), (5, 5), (7, 6)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long"), common.Workspace(spark, "t")).collect()}
