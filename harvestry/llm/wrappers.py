@@ -4,14 +4,20 @@ A page becomes a stream of block-level tags (class, id and role in their names,
 slots; inline markup belongs to the slot around it. Adjacent equal groups fold into repeated groups, so a list of any
 length is one ``( li # /li )+``. The distinct folded streams of a host, the most frequent first, are aligned one after
 another with the host's expression: what matches stays, what only one side has becomes optional, a group that stands
-once on one side and repeats on the other becomes repeated. No alternatives are ever made (union-free). The slots of
-the finished wrapper are kept or dropped by where they stand: inside the content element (``article``, else ``main``,
-else one named like content, else the slots under the element that holds most text), and in nothing that is a menu,
-header, footer, sidebar, notice, advert, form or reader comments. A page is then read by its host's wrapper.
+once on one side and repeats on the other becomes repeated. No alternatives are ever made (union-free). A text slot's symbol
+holds its ancestors, so every slot of the finished wrapper stands in one place. Each page's stream is matched against
+its host's wrapper, which gives every text of the page its slot, and the slot is kept or dropped for the whole host:
+
+* Kept is what stands inside the content element (``article``, else ``main``, else one named like content, else the
+  body; the first of them that a page has), and in nothing that is a menu, header, footer, form, hidden or named like a
+  sidebar, notice, advert or reader comments.
+* Inside the content a slot that holds the same text on all pages that have it is template text and dropped. That takes
+  PAGES pages of different content; copies and near copies of a page count once. Headings stay, unless all around them
+  in their element goes. No page becomes empty by this.
 
 Only distinct folded streams are gathered, a count each, pre-aggregated before they are shuffled: a host with a third
 of all pages costs as many rows as it has page structures. Wrappers are sent to all executors if they are small
-(checked), else joined by host. Null and empty pages give the empty text; urls that can't be parsed share one wrapper;
+(checked), else dealt to the pages by host, in SALTS parts a host. Null and empty pages give the empty text; urls that can't be parsed share one wrapper;
 repeated rows each keep a row. Other columns are ignored.
 """
 
@@ -21,6 +27,7 @@ import functools
 import html as html_entities
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,12 +38,14 @@ from pyspark.sql import functions as F
 from .common import Workspace, map_arrow
 
 SMALL = 4 << 20  # bytes of wrappers that are sent to every executor
-LONGEST = 4000  # symbols of a folded stream that take part in alignment; longer ones are read by their own structure
+SALTS = 16
+PAGES = 5  # pages of different content that must hold a text before it counts as the host's template
+RULES = ("article", "main", "name", "body")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head nav aside form button select option datalist input dialog menu object audio video canvas".split()) | RAW
+DROPPED = frozenset("head nav aside button select option datalist input dialog menu object audio video canvas".split()) | RAW
 #: A new one of these ends an open one (and what is open inside) up to the tags that bound it.
 ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th", "tfoot": "tbody tr td th"}
 BOUND = frozenset("table ul ol dl div section article main body html aside nav form".split())
@@ -47,6 +56,8 @@ NAMES = re.compile(
     re.I,
 )
 CONTENT = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|text|body)(?:$|[-_\s])", re.I)
+COMMENTS = re.compile(r"(?:^|[.#@\s])(?:comments?|comments-area|comment-?list|disqus(?:_thread)?|respond)(?:$|[.#@\s])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)""", re.S)
@@ -54,41 +65,44 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 
 
 @functools.lru_cache(maxsize=4096)
-def _symbol(name: str, rest: str) -> tuple[str, bool]:
-    """A tag's symbol for the expression, and whether it is dropped with all it holds."""
+def _symbol(name: str, rest: str) -> tuple[str, str]:
+    """A tag's symbol for the expression, and its mark: ! if it is dropped with all it holds, ? if its name says so."""
+    plain = "!" if name in DROPPED else "?" if name == "form" else ""
     if not rest.strip(" /\t\r\n"):
-        return name, name in DROPPED
+        return name, plain
     found = {k.lower(): html_entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)}
     named = " ".join(found.get(k, "") for k in ("class", "id")).strip()
     role = found.get("role", "").lower()
     drop = name in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or role in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I) is not None
     classes = " ".join(sorted(found.get("class", "").split()))
     symbol = name + (f".{classes}" if classes else "") + (f"#{re.sub(r'\d+', '0', found['id'])}" if found.get("id") else "") + (f"@{role}" if role else "")
-    return symbol, drop or (name not in ("body", "html", "article", "main") and NAMES.search(named) is not None)
+    if not drop and name not in ("body", "html", "article", "main") and NAMES.search(named):
+        plain = "?"
+    return symbol, "!" if drop else plain
 
 
-def stream(html: str) -> Iterator[tuple[str, str, bool]]:
-    """(symbol or text, kind, dropped): kinds are < (a block opens), > (it closes), # (text), b (inline, or a line break)."""
+def stream(html: str) -> Iterator[tuple[str, str, str]]:
+    """(symbol or text, kind, mark): kinds are < (a block opens), > (it closes), # (text), b (inline, or a line break)."""
     open_tags: list[tuple[str, str]] = []
 
-    def close(upto: int) -> Iterator[tuple[str, str, bool]]:
+    def close(upto: int) -> Iterator[tuple[str, str, str]]:
         while len(open_tags) > upto:
             _, symbol = open_tags.pop()
-            yield symbol, ">", False
+            yield symbol, ">", ""
 
     at, end = 0, len(html)
     while at < end:
         m = _TOKEN.match(html, at)
         at = m.end()
         if m["text"] is not None or m["cdata"] is not None:
-            yield m["text"] or m["cdata"], "#", False
+            yield m["text"] or m["cdata"], "#", ""
             continue
         if m["name"] is None:
             continue
         name = m["name"].lower()
         if m["end"]:
             if name in INLINE:
-                yield name, "b", False
+                yield name, "b", ""
                 continue
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == name:
@@ -98,22 +112,20 @@ def stream(html: str) -> Iterator[tuple[str, str, bool]]:
                     break
             else:
                 if name == "p":
-                    yield "p", "<", False
-                    yield "p", ">", False
+                    yield "p", "<", ""
+                    yield "p", ">", ""
             continue
         rest = m["rest"]
-        symbol, drop = _symbol(name, rest)
+        symbol, mark = _symbol(name, rest)
         if name in RAW and not rest.rstrip().endswith("/"):
             after = re.compile(rf"</{re.escape(name)}\s*(?:>|/|\Z)", re.I).search(html, at)
             at = html.find(">", after.start()) + 1 or end if after else end
-            yield symbol, "b" if name in ("svg", "math") else "<", True
+            yield symbol, "b" if name in ("svg", "math") else "<", "!"
             if name not in ("svg", "math"):
-                yield symbol, ">", False
+                yield symbol, ">", ""
             continue
         if name in INLINE or (name in VOID and name != "hr"):
-            if drop and name not in VOID and name not in ("a", "label"):
-                pass
-            yield name, "b", False
+            yield name, "b", ""
             continue
         if name in ENDS_P:
             for k in range(len(open_tags) - 1, -1, -1):
@@ -129,47 +141,46 @@ def stream(html: str) -> Iterator[tuple[str, str, bool]]:
                     yield from close(k)
                 elif open_tags[k][0] in BOUND:
                     break
-        yield symbol, "<", drop
+        yield symbol, "<", mark
         if name in VOID or rest.rstrip().endswith("/") and name not in ("p", "div", "article", "section"):
-            yield symbol, ">", False
+            yield symbol, ">", ""
         else:
             open_tags.append((name, symbol))
     yield from close(0)
 
 
-def blocks(html: str) -> tuple[list[str], list[str], list[tuple[str, ...]]]:
-    """The page's symbols, its texts (one for each # among the symbols) and their ancestors' symbols.
+def blocks(html: str) -> tuple[list[str], list[str]]:
+    """The page's symbols and its texts (one for each slot among the symbols).
 
-    A dropped element's symbol is marked by ! in front; text without any character but white space is no slot.
+    A slot's symbol is # and the symbols above it. An element's symbol has its mark in front; text without any character
+    but white space is no slot.
     """
-    symbols, texts, above, path, held = [], [], [], [], []
+    symbols, texts, path, held = [], [], [], []
 
     def text() -> None:
         if held:
             value = " ".join(html_entities.unescape("".join(held)).split())
             held.clear()
             if value:
-                symbols.append("#")
+                symbols.append("#" + "\x1f".join(path))
                 texts.append(value)
-                above.append(tuple(path))
 
-    for value, kind, drop in stream(html):
+    for value, kind, mark in stream(html):
         if kind == "#":
             held.append(value)
         elif kind == "b":
-            if value in ("br", "img", "wbr") and value != "wbr":
+            if value in ("br", "img"):
                 held.append(" ")
         elif kind == "<":
             text()
-            symbol = f"!{value}" if drop else value
-            path.append(symbol)
-            symbols.append(f"<{symbol}")
+            path.append(mark + value)
+            symbols.append(f"<{path[-1]}")
         else:
             text()
             if path:
                 symbols.append(f">{path.pop()}")
     text()
-    return symbols, texts, above
+    return symbols, texts
 
 
 # An expression is a tuple of nodes; a node is a symbol, or (body, optional, repeated) with a body of nodes.
@@ -243,6 +254,24 @@ def _wrap_like(nodes: tuple, other: tuple) -> tuple:
     return nodes
 
 
+def common(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence."""
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def align(a: tuple, b: tuple) -> tuple:
     """The union-free expression that covers both."""
     if a == b:
@@ -255,27 +284,15 @@ def align(a: tuple, b: tuple) -> tuple:
     tail = 0
     while tail < min(len(ca), len(cb)) - head and ca[len(ca) - 1 - tail] == cb[len(cb) - 1 - tail]:
         tail += 1
-    x, y = ca[head : len(ca) - tail], cb[head : len(cb) - tail]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    numbers: dict = {}
+    x, y = ([numbers.setdefault(v, len(numbers)) for v in c[head : len(c) - tail]] for c in (ca, cb))
     out = [_both(p, q) for p, q in zip(a[:head], b[:head], strict=True)]
-    i = j = 0
-    lone: list = []
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i] == y[j]:
-            out += _optional(lone)
-            lone = []
-            out.append(_both(a[head + i], b[head + j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            lone.append(a[head + i])
-            i += 1
-        else:
-            lone.append(b[head + j])
-            j += 1
-    out += _optional(lone)
+    i, j = head, head
+    for p, q in [(head + p, head + q) for p, q in common(x, y)] + [(len(a) - tail, len(b) - tail)]:
+        out += _optional(a[i:p]) + _optional(b[j:q])  # apart: a group of both sides' nodes would cover neither
+        if p < len(a) - tail:
+            out.append(_both(a[p], b[q]))
+        i, j = p + 1, q + 1
     out += [_both(p, q) for p, q in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)] if tail else []
     return tuple(out)
 
@@ -317,36 +334,24 @@ def _symbols(nodes: tuple) -> Iterator[str]:
 
 
 def _name(symbol: str) -> str:
-    return re.split(r"[.#@]", symbol.lstrip("<>!"), maxsplit=1)[0]
-
-
-def content_rule(wrapper: tuple) -> str:
-    """What bounds the content in pages of a wrapper: article, main, name or body."""
-    opened = {s[1:] for s in _symbols(wrapper) if s[0] == "<" and s[1] != "!"}
-    if any(_name(s) == "article" for s in opened):
-        return "article"
-    if any(_name(s) == "main" or s.endswith("@main") for s in opened):
-        return "main"
-    if any(_name(s) in ("div", "section", "td") and CONTENT.search(re.sub(r"[.#@]", " ", s.partition(_name(s))[2])) for s in opened):
-        return "name"
-    return "body"
+    return re.split(r"[.#@]", symbol.lstrip("<>!?"), maxsplit=1)[0]
 
 
 def _inside(path: tuple[str, ...], rule: str) -> int:
-    """Depth of the content element on a path, -1 if there is none."""
+    """Depth of the content element on a path, -1 if there is none, -2 if the whole body is content."""
+    if rule == "body":
+        return -2
     for k, s in enumerate(path):
         name = _name(s)
         if rule == "article" and name == "article" or rule == "main" and (name == "main" or s.endswith("@main")):
             return k
-        if rule == "name" and name in ("div", "section", "td") and CONTENT.search(re.sub(r"[.#@]", " ", s.partition(name)[2])):
+        if rule == "name" and s[0] not in "!?" and name in ("div", "section", "td") and CONTENT.search(re.sub(r"[.#@]", " ", s.partition(name)[2])):
             return k
-        if rule == "body":
-            return -2
-    return -2 if rule == "body" else -1
+    return -1
 
 
-def keeps(path: tuple[str, ...], rule: str) -> bool:
-    """Whether a slot below these elements is content."""
+def keeps(path: tuple[str, ...], rule: str, enclosing: frozenset | None) -> bool:
+    """Whether a slot below these elements is content; enclosing: the named elements that enclose content (None: all)."""
     depth = _inside(path, rule)
     if depth == -1:
         return False
@@ -356,20 +361,136 @@ def keeps(path: tuple[str, ...], rule: str) -> bool:
         name = _name(s)
         if name == "footer" or name == "header" and (depth < 0 or k < depth):
             return False
-        if rule == "article" and name == "article" and k > depth and depth >= 0 and NAMES.search(re.sub(r"[.#@]", " ", s)):
+        if s[0] == "?":
+            return False
+        if name == "article" and k > depth >= 0 and rule == "article" and NAMES.search(re.sub(r"[.#@]", " ", s)):
             return False
     return True
 
 
-def read(html: str, rule: str) -> str:
-    """A page's main text by its host's rule; a page without that content element is read by its own best one."""
-    _, texts, above = blocks(html)
-    order = ["article", "main", "name", "body"]
-    for r in [rule, *[x for x in order if x != rule]]:
-        kept = [t for t, p in zip(texts, above, strict=True) if keeps(p, r)]
-        if kept or r == "body":
-            return "\n\n".join(kept)
-    return ""
+def _named(path: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """The named elements above a slot that might enclose the content."""
+    return [path[: k + 1] for k, s in enumerate(path) if s[0] == "?" and not COMMENTS.search(s)]
+
+
+class Automaton:
+    """Matches streams with an expression. Sets of states are made as they come up, and kept."""
+
+    def __init__(self, wrapper: tuple):
+        self.symbols: list[str | None] = [None]  # of each state; None where nothing is read. State 0 is the end
+        self.next: list[list[int]] = [[]]
+        start = self._add(None, [self._build(wrapper, 0)])
+        self.start, self.sets = (start,), {}
+
+    def _add(self, symbol: str | None, targets: list[int]) -> int:
+        self.symbols.append(symbol)
+        self.next.append(targets)
+        return len(self.symbols) - 1
+
+    def _build(self, nodes: tuple, after: int) -> int:
+        for n in reversed(nodes):
+            if not isinstance(n, tuple):
+                after = self._add(n, [after])
+            elif n[2]:
+                loop = self._add(None, [])
+                inner = self._build(n[0], loop)
+                self.next[loop] += [inner, after]
+                after = loop if n[1] else inner
+            else:
+                inner = self._build(n[0], after)
+                after = self._add(None, [inner, after]) if n[1] else inner
+        return after
+
+    def _onward(self, states: tuple[int, ...]) -> tuple[dict, int | None]:
+        """By symbol, the states reached and from which they are; and from which the end is."""
+        if states not in self.sets:
+            seen, by_symbol, end = set(), {}, None
+            for state in states:
+                todo = self.next[state][::-1]
+                while todo:
+                    k = todo.pop()
+                    if k in seen:
+                        continue
+                    seen.add(k)
+                    if k == 0:
+                        end = state
+                    elif self.symbols[k] is None:
+                        todo += self.next[k][::-1]
+                    else:
+                        by_symbol.setdefault(self.symbols[k], {})[k] = state
+            self.sets[states] = {x: (tuple(v), v) for x, v in by_symbol.items()}, end
+        return self.sets[states]
+
+    def match(self, stream: list[str]) -> list[int] | None:
+        """The state that reads each symbol, None if the expression doesn't cover the stream."""
+        if len(self.sets) > 20_000:
+            self.sets.clear()
+        states, back = self.start, []
+        for x in stream:
+            found = self._onward(states)[0].get(x)
+            if found is None:
+                return None
+            states = found[0]
+            back.append(found[1])
+        at = self._onward(states)[1]
+        if at is None:
+            return None
+        out = []
+        for origin in reversed(back):
+            out.append(at)
+            at = origin[at]
+        return out[::-1]
+
+
+class Reader:
+    """A host's wrapper, and what is kept of its slots (facts: rows of _facts; none at first)."""
+
+    def __init__(self, wrapper: str, facts: list[dict] | None = None):
+        self.automaton = Automaton(_unpack(wrapper))
+        self.paths = {k: tuple(x[1:].split("\x1f")) if len(x) > 1 else () for k, x in enumerate(self.automaton.symbols) if x and x[0] == "#"}
+        facts = facts or []
+        self.enclosing = frozenset(tuple(f["element"].split("\x1f")) for f in facts if f["slot"] < 0 and 2 * f["own"] >= f["total"])
+        self.wide = {k: [keeps(p, r, None) for r in RULES] for k, p in self.paths.items()}
+        self.strict = {k: [keeps(p, r, self.enclosing) for r in RULES] for k, p in self.paths.items()}
+        self.named = {k: _named(p) for k, p in self.paths.items()}
+        self.template = self._template({f["slot"]: f for f in facts if f["slot"] >= 0})
+
+    def _template(self, facts: dict[int, dict]) -> set[int]:
+        """The slots that hold one text on all of enough different pages."""
+        same = {k for k, f in facts.items() if f["low"] == f["high"] and max((f[c] & (1 << 64) - 1).bit_count() for c in ("x", "y")) >= max(PAGES, min(f["n"] // 2, 24))}
+        around: dict[tuple, list] = {}
+        heading = {k for k, p in self.paths.items() if any(_name(s) in HEADINGS for s in p)}
+        for k in facts:
+            inner = max(_inside(self.paths[k], r) for r in RULES[:3])
+            for end in range(inner + 2, len(self.paths[k])):
+                around.setdefault(self.paths[k][:end], []).append(k)
+        gone = {p for p, slots in around.items() if all(k in same for k in slots) and any(k not in heading for k in slots)}
+        return {k for k in same if k not in heading or any(self.paths[k][:end] in gone for end in range(1, len(self.paths[k])))}
+
+    def place(self, html: str) -> tuple[list[int], list[str]]:
+        """The slots of a page, and its texts."""
+        symbols, texts = blocks(html)
+        states = self.automaton.match(symbols)
+        if states is None:
+            raise ValueError("a page isn't covered by its host's wrapper")
+        return [s for s, x in zip(states, symbols, strict=True) if x[0] == "#"], texts
+
+    def content(self, slots: list[int]) -> list[int]:
+        """The places of a page's content, before anything is known of its named elements."""
+        for r in range(len(RULES)):
+            if found := [k for k, s in enumerate(slots) if self.wide[s][r]]:
+                return found
+        return []
+
+    def read(self, html: str) -> str:
+        """A page's main text."""
+        slots, texts = self.place(html)
+        for keep, rules in ((self.strict, range(len(RULES))), (self.wide, range(2))):
+            for r in rules:
+                if found := [k for k, s in enumerate(slots) if keep[s][r]]:
+                    varying = [k for k in found if slots[k] not in self.template]
+                    return "\n\n".join(texts[k] for k in varying or found)
+        return ""
 
 
 def host(url: str = "url") -> Column:
@@ -377,6 +498,26 @@ def host(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def _pack(nodes: tuple) -> str:
+    """An expression as JSON: the distinct symbols, and the nodes with numbers for them."""
+    numbers: dict[str, int] = {}
+
+    def plain(n):
+        return [[plain(x) for x in n[0]], n[1], n[2]] if isinstance(n, tuple) else numbers.setdefault(n, len(numbers))
+
+    body = [plain(n) for n in nodes]
+    return json.dumps([list(numbers), body])
+
+
+def _unpack(packed: str) -> tuple:
+    symbols, body = json.loads(packed)
+
+    def node(n):
+        return (tuple(node(x) for x in n[0]), n[1], n[2]) if isinstance(n, list) else symbols[n]
+
+    return tuple(node(n) for n in body)
+
+
 def _streams(pages: DataFrame) -> DataFrame:
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -386,10 +527,8 @@ def _streams(pages: DataFrame) -> DataFrame:
                 if page:
                     own = tuple(blocks(page)[0])
                     if own not in folded:
-                        out = fold(own)
-                        folded[own] = json.dumps(out) if len(out) <= LONGEST else ""
-                    if folded[own]:
-                        found[h, folded[own]] += 1
+                        folded[own] = _pack(fold(own))
+                    found[h, folded[own]] += 1
             if not found:
                 return None
             keys = list(found)
@@ -400,42 +539,120 @@ def _streams(pages: DataFrame) -> DataFrame:
     return map_arrow(pages, make, "host string, stream string, n bigint", "html").groupBy("host", "stream").agg(F.sum("n").alias("n"))
 
 
-def _tuples(x):
-    return tuple(_tuples(y) for y in x) if isinstance(x, list) else x
-
-
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) and its content rule."""
+    """host and wrapper (packed). pages: host, html."""
 
     def per_host(key, rows):
-        streams = [(_tuples(json.loads(s)), int(n)) for s, n in zip(rows["stream"], rows["n"], strict=True)]
-        found = infer(streams)
         import pandas as pd
 
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(found)], "rule": [content_rule(found)]})
+        return pd.DataFrame({"host": [key[0]], "wrapper": [_pack(infer([(_unpack(s), int(n)) for s, n in zip(rows["stream"], rows["n"], strict=True)]))]})
 
-    own = pages.select(host().alias("host"), F.col("html").cast("string").alias("html"))
-    return _streams(own).groupBy("host").applyInPandas(per_host, "host string, wrapper string, rule string")
+    return _streams(pages).groupBy("host").applyInPandas(per_host, "host string, wrapper string")
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row."""
-    spark = pages.sparkSession
-    work = Workspace(spark, "wrappers")
-    pages = pages.selectExpr("cast(page_id as bigint) page_id", "url", "cast(html as string) html")
-    rules = work.write(wrappers(pages).select("host", "rule"), "rules")
-    rows = pages.withColumn("host", host())
-    size = rules.agg(F.sum(F.length("host") + 16)).first()[0] or 0
-    known = {r.host: r.rule for r in rules.collect()} if size <= SMALL else None
-    if known is None:
-        rows = rows.join(rules, "host", "left")
+def _with_readers(pages: DataFrame, known: DataFrame, handle, schema: str) -> DataFrame:
+    """handle(batch, readers by host) over all pages. known: host, wrapper, facts (JSON, may be null)."""
+    size = known.agg(F.sum(F.length("host") + F.length("wrapper") + F.coalesce(F.length("facts"), F.lit(0)))).first()[0] or 0
 
-    def make():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rule = [known.get(h, "article") for h in batch["host"].to_pylist()] if known is not None else [r or "article" for r in batch["rule"].to_pylist()]
-            texts = [read(page, r) if page else "" for page, r in zip(batch["html"].to_pylist(), rule, strict=True)]
-            return pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def reader(wrapper: str, facts: str | None) -> Reader:
+        return Reader(wrapper, json.loads(facts) if facts else None)
+
+    if size <= SMALL:
+        sent = {r.host: (r.wrapper, r.facts) for r in known.collect()}
+
+        def make():
+            readers: dict[str, Reader] = {}
+
+            def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+                for h in set(batch["host"].to_pylist()) - readers.keys():
+                    if h in sent:
+                        readers[h] = reader(*sent[h])
+                return handle(batch, readers)
+
+            work.caches = (readers,)
+            return work
+
+        return map_arrow(pages, make, schema, "html")
+    names = pages.columns
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    rows = pages.withColumn("salt", salt).withColumn("wrapper", F.lit(None).cast("string")).withColumn("facts", F.lit(None).cast("string"))
+    first = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    both = rows.unionByName(first, allowMissingColumns=True).repartition("host", "salt").sortWithinPartitions("host", "salt", F.col("wrapper").isNull())
+
+    def make_dealt():
+        readers: dict[str, Reader] = {}
 
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            heads = batch["wrapper"].is_valid().to_pylist()
+            out, start = [], 0
+            for k in [k for k, x in enumerate(heads) if x] + [len(heads)]:
+                if k > start and (got := handle(batch.slice(start, k - start).select(names), readers)) is not None:
+                    out.append(got)
+                if k < len(heads):
+                    readers.clear()
+                    readers[batch["host"][k].as_py()] = reader(batch["wrapper"][k].as_py(), batch["facts"][k].as_py())
+                start = k + 1
+            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+
+        work.caches = (readers,)
         return work
 
-    return map_arrow(rows, make, "page_id bigint, url string, text string, n_chars bigint", "html")
+    return map_arrow(both, make_dealt, schema, "html")
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+FACTS = "host string, slot int, element string, n bigint, low bigint, high bigint, x bigint, y bigint, own bigint, total bigint"
+
+
+def _facts(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """host and facts (JSON): of each content slot the pages, its least and largest hashed text and bitmaps of the
+    pages' contents; of each named element around content (slot -1) the text in it and in the pages that have it."""
+
+    def handle(batch: pa.RecordBatch, readers: dict[str, Reader]) -> pa.RecordBatch | None:
+        found: dict[tuple, list[int]] = {}
+        for h, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
+            if not page:
+                continue
+            slots, texts = readers[h].place(page)
+            content = readers[h].content(slots)
+            hashes = [zlib.crc32(texts[k].encode("utf-8", "surrogatepass")) for k in content]
+            x, y = (1 << (min((v * m & 0xFFFFFFFF for v in hashes), default=0) * 0x9E3779B1 >> 20 & 63) for m in (0x85EBCA6B, 0xC2B2AE35))
+            for k, v in zip(content, hashes, strict=True):
+                f = found.setdefault((h, slots[k], ""), [0, v, v, 0, 0, 0, 0])
+                f[:5] = f[0] + 1, min(f[1], v), max(f[2], v), f[3] | x, f[4] | y
+            shown = [k for k, s in enumerate(slots) if readers[h].wide[s][-1]]
+            total = sum(len(texts[k]) for k in shown)
+            inside: Counter = Counter()
+            for k in shown:
+                for element in readers[h].named[slots[k]]:
+                    inside[element] += len(texts[k])
+            for element, own in inside.items():
+                f = found.setdefault((h, -1, "\x1f".join(element)), [0, 0, 0, 0, 0, 0, 0])
+                f[0], f[5], f[6] = f[0] + 1, f[5] + own, f[6] + total
+        if not found:
+            return None
+        columns = [*zip(*found, strict=True), *zip(*([*f[:3], _signed(f[3]), _signed(f[4]), *f[5:]] for f in found.values()), strict=True)]
+        kinds = [pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 7]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "slot", "element", "n", "low", "high", "x", "y", "own", "total"])
+
+    rows = _with_readers(pages, known, handle, FACTS).groupBy("host", "slot", "element")
+    rows = rows.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("x").alias("x"), F.bit_or("y").alias("y"), F.sum("own").alias("own"), F.sum("total").alias("total"))
+    return rows.groupBy("host").agg(F.to_json(F.collect_list(F.struct("slot", "element", "n", "low", "high", "x", "y", "own", "total"))).alias("facts"))
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text and n_chars of every row."""
+    work = Workspace(pages.sparkSession, "wrappers")
+    rows = pages.selectExpr("cast(page_id as bigint) page_id", "url", "cast(html as string) html").withColumn("host", host())
+    known = work.write(wrappers(rows.select("host", "html")), "wrappers")
+    facts = _facts(rows, known.withColumn("facts", F.lit(None).cast("string")))
+    known = work.write(known.join(facts, "host", "left"), "facts")
+
+    def handle(batch: pa.RecordBatch, readers: dict[str, Reader]) -> pa.RecordBatch:
+        texts = [readers[h].read(page) if page else "" for h, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return _with_readers(rows, known, handle, "page_id bigint, url string, text string, n_chars bigint")

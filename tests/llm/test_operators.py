@@ -431,6 +431,46 @@ def test_fold_and_align():
     assert wrappers.align(many, once) == many
 
 
+def read_all(spark, pages):
+    frame = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in wrappers.main_text(frame).collect()}
+
+
+def story(k, n=3):
+    return "".join(f"<p>story {k} part {j}</p>" for j in range(n))
+
+
+def test_template_slots_are_told_from_varying_ones(spark, monkeypatch):
+    """A text that a host repeats on all pages is dropped by its slot, though it stands in the article."""
+    different = [("https://a.test/", f"<article><h1>t{k}</h1>{story(k, 2 + k % 3)}<h2>Notes</h2><p>note {k}<div><h2>Join</h2><blockquote>Write to us</blockquote></div></article>") for k in range(8)]
+    copies = [("https://b.test/", f"<nav>m{k}</nav><article><h1>same</h1>{story(0)}<div>Write to us</div></article>") for k in range(8)]
+    near = [("https://c.test/", f"<nav>m{k}</nav><article><h1>same</h1>{story(0, 40)}<div>edit {k}</div></article>") for k in range(8)]
+    pages = different + copies + near
+    got = read_all(spark, pages)
+    for k in range(8):
+        assert got[k] == "\n\n".join([f"t{k}", *[f"story {k} part {j}" for j in range(2 + k % 3)], "Notes", f"note {k}"])
+        assert got[8 + k] == "\n\n".join(["same", *[f"story 0 part {j}" for j in range(3)], "Write to us"])
+        assert got[16 + k] == "\n\n".join(["same", *[f"story 0 part {j}" for j in range(40)], f"edit {k}"])
+    monkeypatch.setattr(wrappers, "SMALL", 0)  # dealt by host
+    assert read_all(spark, pages) == got
+
+
+def test_every_page_matches_its_wrapper():
+    rng = random.Random(8)
+
+    def part(depth):
+        name = rng.choice(["div", "ul", "section", "p", "article"])
+        return f"<{name}>" + "".join(part(depth - 1) if depth and rng.random() < 0.6 else rng.choice(["x", "<hr>", "<p>y</p>"]) for _ in range(rng.randint(0, 4))) + f"</{name}>"
+
+    for _ in range(60):
+        pages = [part(3) + part(2) for _ in range(6)]
+        wrapper = wrappers.infer([(wrappers.fold(tuple(wrappers.blocks(p)[0])), 1) for p in pages])
+        reader = wrappers.Reader(wrappers._pack(wrapper))
+        for p in pages:
+            slots, texts = reader.place(p)
+            assert len(slots) == len(texts) and ["#" + "\x1f".join(reader.paths[s]) for s in slots] == [x if x != "#" else "#" for x in wrappers.blocks(p)[0] if x[0] == "#"]
+
+
 # ---- revisits --------------------------------------------------------------------------------------------------
 
 
