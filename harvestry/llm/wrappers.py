@@ -11,6 +11,9 @@ its host's wrapper, which gives every text of the page its slot, and the slot is
 * Kept is what stands inside the content element (``article``, else ``main``, else one named like content, else the
   body; the first of them that a page has), and in nothing that is a menu, header, footer, form, hidden or named like a
   sidebar, notice, advert or reader comments.
+* An element with such a name is no boilerplate if it encloses the content: if it holds half or more of the
+  text on the host's pages that have it (menus, headers and the like aside). Inside the content such names don't count on headings, paragraphs, sections and
+  headers.
 * Inside the content a slot that holds the same text on all pages that have it is template text and dropped. That takes
   PAGES pages of different content; copies and near copies of a page count once. Headings stay, unless all around them
   in their element goes. No page becomes empty by this.
@@ -57,6 +60,8 @@ NAMES = re.compile(
 )
 CONTENT = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|text|body)(?:$|[-_\s])", re.I)
 COMMENTS = re.compile(r"(?:^|[.#@\s])(?:comments?|comments-area|comment-?list|disqus(?:_thread)?|respond)(?:$|[.#@\s])", re.I)
+#: What these are named says nothing about them inside the content: names there are slugs of what they hold.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 hgroup p section header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 
@@ -350,6 +355,15 @@ def _inside(path: tuple[str, ...], rule: str) -> int:
     return -1
 
 
+def _harmless(symbol: str) -> bool:
+    """Whether a named element's name says nothing about it inside the content."""
+    name = _name(symbol)
+    if name in TEXTUAL:
+        return not (name == "section" and COMMENTS.search(symbol))
+    rest = re.sub(r"[.#@]", " ", symbol.partition(name)[2])
+    return name != "form" and NAMES.search(re.sub(r"(?i)header|masthead", "", rest)) is None
+
+
 def keeps(path: tuple[str, ...], rule: str, enclosing: frozenset | None) -> bool:
     """Whether a slot below these elements is content; enclosing: the named elements that enclose content (None: all)."""
     depth = _inside(path, rule)
@@ -362,7 +376,9 @@ def keeps(path: tuple[str, ...], rule: str, enclosing: frozenset | None) -> bool
         if name == "footer" or name == "header" and (depth < 0 or k < depth):
             return False
         if s[0] == "?":
-            return False
+            around = enclosing is None or path[: k + 1] in enclosing
+            if not (around if k <= depth else _harmless(s) or depth < 0 and around):
+                return False
         if name == "article" and k > depth >= 0 and rule == "article" and NAMES.search(re.sub(r"[.#@]", " ", s)):
             return False
     return True

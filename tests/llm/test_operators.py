@@ -471,6 +471,16 @@ def test_every_page_matches_its_wrapper():
             assert len(slots) == len(texts) and ["#" + "\x1f".join(reader.paths[s]) for s in slots] == [x if x != "#" else "#" for x in wrappers.blocks(p)[0] if x[0] == "#"]
 
 
+def test_names_do_not_drop_the_content(spark):
+    """An element that encloses the content stays whatever it is named, and so do headings and sections inside."""
+    inner = '<h1 class="entry-header">T{0}</h1><p>a{0} and more</p><h2 id="discussion">Discussion</h2><p id="search">b{0}</p><section id="related-work"><p>c{0}</p></section><div class="share">Tweet {0}</div><section class="comments"><p>First {0}</p></section>'
+    shapes = ['<body class="x"><div class="layout has-sidebar"><article>{}</article><div class="sidebar"><article>teaser</article></div></div>', '<div class="page no-sidebar"><main>{}</main></div>', '<form id="f"><div class="page no-sidebar"><div class="post">{}</div></div></form>', '<div class="page no-sidebar">{}</div><div class="sidebar"><div class="text">teaser</div></div>']
+    pages = [(f"https://h{n}.test/{k}", shape.format(inner.format(k))) for n, shape in enumerate(shapes) for k in range(2)]
+    got = read_all(spark, pages)
+    for k in range(len(pages)):
+        assert got[k] == "\n\n".join(x.format(k % 2) for x in ["T{}", "a{} and more", "Discussion", "b{}", "c{}"]), pages[k]
+
+
 # ---- revisits --------------------------------------------------------------------------------------------------
 
 
