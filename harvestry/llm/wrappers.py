@@ -34,6 +34,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +44,7 @@ from .common import Workspace, map_arrow
 SMALL = 4 << 20  # bytes of wrappers that are sent to every executor
 SALTS = 16
 PAGES = 5  # pages of different content that must hold a text before it counts as the host's template
+CELLS = 1 << 28  # bits of an alignment that are held at once; longer streams are halved
 RULES = ("article", "main", "name", "body")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -259,21 +261,44 @@ def _wrap_like(nodes: tuple, other: tuple) -> tuple:
     return nodes
 
 
+def _rows(x: list[int], y: list[int]) -> Iterator[int]:
+    """For each further member of x, a bit a member of y: 0 where it makes the longest common subsequence longer."""
+    full = (1 << len(y)) - 1
+    places: dict[int, int] = {}
+    for k, v in enumerate(y):
+        places[v] = places.get(v, 0) | 1 << k
+    row = full
+    for v in x:
+        hit = row & places.get(v, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """The length of the longest common subsequence of x and each beginning of y."""
+    row = (1 << len(y)) - 1
+    for row in _rows(x, y):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
 def common(x: list[int], y: list[int]) -> list[tuple[int, int]]:
-    """The places of a longest common subsequence."""
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    """The places of a longest common subsequence; both are halved where the rows would take more than CELLS bits."""
+    if len(x) * len(y) > CELLS and len(x) > 1:
+        half = len(x) // 2
+        cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+        return common(x[:half], y[:cut]) + [(half + i, cut + j) for i, j in common(x[half:], y[cut:])]
+    rows = [*_rows(x[::-1], y[::-1])][::-1]
     out, i, j = [], 0, 0
     while i < len(x) and j < len(y):
         if x[i] == y[j]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
+        elif rows[i] >> (len(y) - 1 - j) & 1:
             j += 1
+        else:
+            i += 1
     return out
 
 

@@ -481,6 +481,26 @@ def test_names_do_not_drop_the_content(spark):
         assert got[k] == "\n\n".join(x.format(k % 2) for x in ["T{}", "a{} and more", "Discussion", "b{}", "c{}"]), pages[k]
 
 
+def test_long_streams_are_aligned(spark, monkeypatch):
+    """Alignment by halves finds as much in common as the whole table does; long pages take part in their wrapper."""
+    rng = random.Random(2)
+    for cells in (1 << 28, 64):
+        monkeypatch.setattr(wrappers, "CELLS", cells)
+        for _ in range(200):
+            x, y = ([rng.randrange(4) for _ in range(rng.randrange(30))] for _ in "xy")
+            best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+            for i in range(len(x)):
+                for j in range(len(y)):
+                    best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+            pairs = wrappers.common(x, y)
+            assert len(pairs) == best[-1][-1] and all(x[i] == y[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+    monkeypatch.undo()
+    body = lambda seed: "".join(f"<{t}>{t} text</{t}>" for t in random.Random(seed).choices(["p", "h2", "h3", "pre", "dl", "blockquote"], k=2500))
+    pages = [("https://a.test/1", "<main><p>short</p></main>")] + [(f"https://a.test/{k}", f"<main><p>outside</p><article>{body(k)}</article></main>") for k in (2, 3)]
+    got = read_all(spark, pages)
+    assert got[0] == "short" and all("outside" not in got[k] and len(got[k].split("\n\n")) == 2500 for k in (1, 2))
+
+
 # ---- revisits --------------------------------------------------------------------------------------------------
 
 
