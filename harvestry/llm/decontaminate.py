@@ -8,13 +8,16 @@ maxima can't are left; only items of the blocks that remain are scored. Nothing
 bound is an upper one. A retrieved pair counts as contaminated where the passage holds enough of the word trigrams of
 the item's question and of its answer (its last sentence).
 
-The index is sent to the executors in shards of at most SHARD items, whatever the benchmark's size. Null or wordless
+The index is sent to the executors in shards of at most SHARD items, whatever the benchmark's size. Word frequencies,
+mean and longest length are those of all items in every shard, so scores don't depend on the number of shards. Null or wordless
 texts and items match nothing; equal items are reported each; repeated rows give one pair. Items of fewer than three
 words must stand there word by word. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,6 +56,24 @@ def grams(found: list) -> set:
     return {tuple(found[k : k + n]) for k in range(len(found) - n + 1)} if n else set()
 
 
+@dataclass
+class Totals:
+    """What a score needs to know of all items."""
+
+    items: int
+    words: int
+    longest: int
+    df: Counter[bytes]
+
+    @classmethod
+    def of(cls, texts: Iterable[str]) -> Totals:
+        out = cls(0, 0, 1, Counter())
+        for own in filter(None, map(words, texts)):
+            out.items, out.words, out.longest = out.items + 1, out.words + len(own), max(out.longest, len(own))
+            out.df.update({bare(w) for w in own})
+        return out
+
+
 @dataclass
 class Index:
     """Postings by word with impacts as shares of an item's own score, and block maxima."""
@@ -69,10 +90,12 @@ class Index:
     length: int  # words of the longest item
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]]) -> Index:
+    def build(cls, rows: list[tuple[int, str]], totals: Totals | None = None) -> Index:
+        totals = totals or Totals.of(t for _, t in rows if t)
         parsed = [(i, *split_item(t)) for i, t in rows if t and words(t)]
-        vocabulary: dict[bytes, int] = {}
-        terms = [[vocabulary.setdefault(w, len(vocabulary)) for w in q + a] for _, q, a in parsed]
+        # in the words' order: every shard adds an item's impacts in the same one
+        vocabulary = {w: k for k, w in enumerate(sorted({w for _, q, a in parsed for w in q + a}))}
+        terms = [[vocabulary[w] for w in q + a] for _, q, a in parsed]
         term = np.array([t for x in terms for t in x], np.int64)
         owner = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
         key, tf = np.unique(term * max(len(terms), 1) + owner, return_counts=True)
@@ -80,15 +103,16 @@ class Index:
         n = len(terms)
         df = np.bincount(term, minlength=len(vocabulary))
         size = np.array([len(x) for x in terms], float)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / max(size.mean(), 1e-9))) if n else np.empty(0)
+        held = np.array([totals.df[w] for w in vocabulary], float)
+        idf = np.log(1 + (totals.items - held + 0.5) / (held + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / (totals.words / totals.items))) if n else np.empty(0)
         impact = impact / np.bincount(owner, impact, n)[owner] if n else impact
         starts = np.concatenate(([0], np.cumsum(df)))
         top = np.maximum.reduceat(impact, starts[:-1]) if n else np.empty(0)
         bkey, first = np.unique(term * n + owner // BLOCK, return_index=True) if n else (np.empty(0, np.int64), np.empty(0, np.int64))
         block_top = np.maximum.reduceat(impact, first) if n else np.empty(0)
         block_starts = np.concatenate(([0], np.cumsum(np.bincount(bkey // max(n, 1), minlength=len(vocabulary))))).astype(np.int64)
-        return cls([(i, grams(q), grams(a)) for i, q, a in parsed], vocabulary, starts, owner, impact, top, block_starts, bkey % max(n, 1), block_top, int(size.max()) if n else 1)
+        return cls([(i, grams(q), grams(a)) for i, q, a in parsed], vocabulary, starts, owner, impact, top, block_starts, bkey % max(n, 1), block_top, totals.longest)
 
     def retrieve(self, window: np.ndarray, term: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, score) of all above the threshold; (window, term) pairs are distinct, sorted by window."""
@@ -165,7 +189,9 @@ def shards(items: DataFrame, limit: int = SHARD) -> list[Index]:
     """Indexes of the items, at most ``limit`` each; the number of items decides how many."""
     own = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     count = max(1, -(-own.count() // limit))
-    return [Index.build(sorted((r.item_id, r.text) for r in own.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).collect())) for k in range(count)]
+    rows = [sorted((r.item_id, r.text) for r in own.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).collect()) for k in range(count)]
+    totals = Totals.of(t for part in rows for _, t in part)
+    return [Index.build(part, totals) for part in rows]
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -358,6 +358,17 @@ def test_shards_give_the_same(spark, monkeypatch):
     assert [(r[0], r[1]) for p in parts for r in decontaminate.find(batch, p)] == [tuple(r) for r in one] == [(1, 7)]
 
 
+def test_scores_do_not_depend_on_shards(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"t{int(rng.paretovariate(0.6)) % 90}" for _ in range(n))
+    items = [(k, text(rng.randint(4, 70))) for k in range(120)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [" ".join(w if rng.random() < 0.8 else "zz" for w in rng.choice(items)[1].split()) + " " + text(60) for _ in range(150)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(150)), "text": docs})
+    one, many = ([sorted(r for p in decontaminate.shards(bench, limit) for r in decontaminate.find(batch, p))] for limit in (1000, 9))
+    assert one == many and one[0]
+
+
 # ---- search ----------------------------------------------------------------------------------------------------
 
 
