@@ -1,27 +1,31 @@
 """Main text of pages by union-free wrapper inference.
 
 A page becomes a stream of block-level tags (class, id and role in their names, implied ends made explicit) and text
-slots; inline markup belongs to the slot around it. Adjacent equal groups fold into repeated groups, so a list of any
-length is one ``( li # /li )+``. The distinct folded streams of a host, the most frequent first, are aligned one after
-another with the host's expression: what matches stays, what only one side has becomes optional, a group that stands
-once on one side and repeats on the other becomes repeated. No alternatives are ever made (union-free). A text slot's symbol
-holds its ancestors, so every slot of the finished wrapper stands in one place. Each page's stream is matched against
-its host's wrapper, which gives every text of the page its slot, and the slot is kept or dropped for the whole host:
+slots; inline markup belongs to the slot around it, but for hidden elements and inline adverts, whose text goes. Adjacent
+equal groups of any length fold into repeated groups, so a list is one ``( li # /li )+``. The distinct folded streams of
+a host, the most frequent first, are aligned one after another with the host's expression: what matches stays, what only
+one side has becomes optional, a group that stands once on one side and repeats on the other becomes repeated. No
+alternatives are ever made (union-free). A host of many structures is done in parts of PART, whose expressions are
+aligned in their turn. A text slot's symbol holds its ancestors, so every slot of the finished wrapper stands in one
+place. Each page's stream is matched against its host's wrapper, which gives every text of the page its slot, and the
+slot is kept or dropped for the whole host:
 
 * Kept is what stands inside the content element (``article``, else ``main``, else one named like content, else the
   body; the first of them that a page has), and in nothing that is a menu, header, footer, form, hidden or named like a
-  sidebar, notice, advert or reader comments.
+  sidebar, notice, advert or reader comments. A class or id is such a name as a whole only: all its parts are words for
+  boilerplate or for places ("share-box" is one, "share-price" and "side-effects" aren't).
 * An element with such a name is no boilerplate if it encloses the content: if it holds half or more of the
-  text on the host's pages that have it (menus, headers and the like aside). Inside the content such names don't count on headings, paragraphs, sections and
-  headers.
+  text on the host's pages that have it (menus, headers and the like aside). Inside the content such names don't count on
+  headings, paragraphs, sections and headers.
 * Inside the content a slot that holds the same text on all pages that have it is template text and dropped. That takes
   PAGES pages of different content; copies and near copies of a page count once. Headings stay, unless all around them
   in their element goes. No page becomes empty by this.
 
 Only distinct folded streams are gathered, a count each, pre-aggregated before they are shuffled: a host with a third
 of all pages costs as many rows as it has page structures. Wrappers are sent to all executors if they are small
-(checked), else dealt to the pages by host, in SALTS parts a host. Null and empty pages give the empty text; urls that can't be parsed share one wrapper;
-repeated rows each keep a row. Other columns are ignored.
+(checked), else dealt to the pages by host, in SALTS parts a host. Null and empty pages give the empty text; urls that
+can't be parsed share one wrapper; repeated rows each keep a row; an empty table gives an empty result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ from .common import Workspace, map_arrow
 SMALL = 4 << 20  # bytes of wrappers that are sent to every executor
 SALTS = 16
 PAGES = 5  # pages of different content that must hold a text before it counts as the host's template
+PART = 64  # structures of a host that one task aligns
 CELLS = 1 << 28  # bits of an alignment that are held at once; longer streams are halved
 RULES = ("article", "main", "name", "body")
 
@@ -55,46 +60,86 @@ DROPPED = frozenset("head nav aside button select option datalist input dialog m
 ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th", "tfoot": "tbody tr td th"}
 BOUND = frozenset("table ul ol dl div section article main body html aside nav form".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
-NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|sidebar|side|aside|"
-    r"menu\w*|nav\w*|breadcrumbs?|pagination|pager|footer|foot|header|masthead|comments?|commentlist|disqus|repl(?:y|ies)|respond|responses|discussion|share\w*|sharing|social|related|recommend\w*|widgets?|toolbar|login|search|skip|hidden)(?:$|[-_\s\d])",
-    re.I,
-)
+#: Words that name boilerplate, and words that say where or what kind an element is: a name of both only is boilerplate's.
+BOILERPLATE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsors sponsored promo promos promotion banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe "
+    "subscription signup sidebar side aside menu menus submenu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead comment comments commentlist disqus reply replies respond responses "
+    "discussion share sharing social related recommended recommendations widget widgets toolbar login skip hidden".split()
+)
+PLACES = frozenset(
+    "article entry law info site page main global top bottom left right primary secondary area bar box block buttons button links link list items item wrap wrapper container panel section inner outer thread form text content body row col column "
+    "column posts post articles more to up sign in follow us icons icon policy message center centre unit slot holder group title head".split()
+)
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies".split())
+INLINE_ADS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored promo promotion".split())
 CONTENT = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|text|body)(?:$|[-_\s])", re.I)
-COMMENTS = re.compile(r"(?:^|[.#@\s])(?:comments?|comments-area|comment-?list|disqus(?:_thread)?|respond)(?:$|[.#@\s])", re.I)
 #: What these are named says nothing about them inside the content: names there are slugs of what they hold.
 TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 hgroup p section header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A tag's attributes by the tokenizer's states: an unquoted value ends at white space or >, whatever quotes it holds.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
+    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?>[\s/]++|[^\s/>][^\s/>=]*+(?>\s*+=\s*+(?>"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+)*+)(?:>|\Z)"""
+    r"""|(?P<text>[^<]+|<)""",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?>\s*+=\s*+(?:"([^"]*+)"?+|'([^']*+)'?+|([^\s>"'][^\s>]*+))?+)?+""")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def _parts(token: str) -> list[str]:
+    """The lower-case words of a class or id: cut at anything but letters, and before a capital in camel case."""
+    return [x.lower() for x in _PART.findall(token)]
+
+
+@functools.lru_cache(maxsize=65536)
+def boilerplate(names: str) -> bool:
+    """Whether one of some class names or ids is as a whole a name for boilerplate."""
+    found = [_parts(t) for t in names.split()]
+    return any(any(x in BOILERPLATE for x in t) and all(x in BOILERPLATE or x in PLACES for x in t) for t in found)
+
+
+def _commentary(names: str) -> bool:
+    return any((t := _parts(x)) and t[0] in COMMENT_WORDS and all(y in BOILERPLATE or y in PLACES for y in t) for x in names.split())
 
 
 @functools.lru_cache(maxsize=4096)
 def _symbol(name: str, rest: str) -> tuple[str, str]:
     """A tag's symbol for the expression, and its mark: ! if it is dropped with all it holds, ? if its name says so."""
     plain = "!" if name in DROPPED else "?" if name == "form" else ""
-    if not rest.strip(" /\t\r\n"):
+    if not rest.strip(" /\t\r\n\f"):
         return name, plain
-    found = {k.lower(): html_entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)}
-    named = " ".join(found.get(k, "") for k in ("class", "id")).strip()
-    role = found.get("role", "").lower()
-    drop = name in DROPPED or "hidden" in found or found.get("aria-hidden") == "true" or role in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I) is not None
+    found: dict[str, str] = {}
+    for k, *values in _ATTRIBUTE.findall(rest):
+        found.setdefault(k.lower(), html_entities.unescape("".join(values)))
+    role = found.get("role", "").strip().lower()
+    drop = name in DROPPED or "hidden" in found or found.get("aria-hidden", "").strip().lower() == "true" or role in ROLES
+    drop = drop or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I) is not None
+    named = " ".join(found.get(k, "") for k in ("class", "id"))
+    if name in INLINE:
+        return name, "!" if drop or any(t.lower() in INLINE_ADS for t in named.split()) else ""
     classes = " ".join(sorted(found.get("class", "").split()))
     symbol = name + (f".{classes}" if classes else "") + (f"#{re.sub(r'\d+', '0', found['id'])}" if found.get("id") else "") + (f"@{role}" if role else "")
-    if not drop and name not in ("body", "html", "article", "main") and NAMES.search(named):
+    if not drop and name not in ("body", "html", "article", "main") and boilerplate(named):
         plain = "?"
     return symbol, "!" if drop else plain
 
 
 def stream(html: str) -> Iterator[tuple[str, str, str]]:
-    """(symbol or text, kind, mark): kinds are < (a block opens), > (it closes), # (text), b (inline, or a line break)."""
+    """(symbol or text, kind, mark): kinds are < (a block opens), > (it closes), # (text), b (inline, or a line break).
+
+    A dropped inline element takes the text up to its end, or to the end of the block that it stands in.
+    """
     open_tags: list[tuple[str, str]] = []
+    unseen: list = []  # of a dropped inline element: its name, the blocks open around it, how many of its name are open
 
     def close(upto: int) -> Iterator[tuple[str, str, str]]:
         while len(open_tags) > upto:
             _, symbol = open_tags.pop()
+            if unseen and len(open_tags) < unseen[1]:
+                unseen.clear()
             yield symbol, ">", ""
 
     at, end = 0, len(html)
@@ -102,13 +147,18 @@ def stream(html: str) -> Iterator[tuple[str, str, str]]:
         m = _TOKEN.match(html, at)
         at = m.end()
         if m["text"] is not None or m["cdata"] is not None:
-            yield m["text"] or m["cdata"], "#", ""
+            if not unseen:
+                yield m["text"] or m["cdata"], "#", ""
             continue
         if m["name"] is None:
             continue
         name = m["name"].lower()
         if m["end"]:
             if name in INLINE:
+                if unseen and unseen[0] == name:
+                    unseen[2] -= 1
+                    if not unseen[2]:
+                        unseen.clear()
                 yield name, "b", ""
                 continue
             for k in range(len(open_tags) - 1, -1, -1):
@@ -132,6 +182,10 @@ def stream(html: str) -> Iterator[tuple[str, str, str]]:
                 yield symbol, ">", ""
             continue
         if name in INLINE or (name in VOID and name != "hr"):
+            if unseen and unseen[0] == name:
+                unseen[2] += 1
+            elif mark == "!" and not unseen and name not in VOID:
+                unseen[:] = [name, len(open_tags), 1]
             yield name, "b", ""
             continue
         if name in ENDS_P:
@@ -198,28 +252,51 @@ def fold(nodes: tuple) -> tuple:
     nodes = list(nodes)
     changed = True
     while changed:
-        changed = False
-        for size in range(1, min(24, len(nodes) // 2) + 1):
-            out, k = [], 0
-            while k < len(nodes):
-                body = nodes[k : k + size]
-                n = 1
-                while len(body) == size and nodes[k + n * size : k + (n + 1) * size] == body and _balanced(body):
-                    n += 1
-                if n > 1:
-                    out.append(_group(tuple(body), False, True))
-                    k += n * size
-                    changed = True
-                elif size == 1 or not _same_as_last(out, body):
-                    out.append(nodes[k])
-                    k += 1
-                else:
-                    k += size
-                    changed = True
-            nodes = out
+        changed, size, numbers = False, 1, _numbered(nodes)
+        while size <= len(nodes) // 2:
+            if _repeats(numbers, size):
+                nodes, some = _folded(nodes, size)
+                if some:
+                    changed, numbers = True, _numbered(nodes)
+            size += 1
     return tuple(nodes)
 
 
+def _numbered(nodes: list) -> np.ndarray:
+    known: dict = {}
+    return np.array([known.setdefault(n, len(known)) for n in nodes], np.int64)
+
+
+def _repeats(numbers: np.ndarray, size: int) -> bool:
+    """Whether a run of this many nodes stands next to an equal one, or next to the group that it made."""
+    same = numbers[size:] == numbers[:-size]
+    if np.count_nonzero(same) < size:
+        return False
+    ends = np.concatenate(([-1], np.flatnonzero(~same), [len(same)]))
+    return bool(np.diff(ends).max() > size)
+
+
+def _folded(nodes: list, size: int) -> tuple[list, bool]:
+    """One pass for bodies of one size."""
+    out, k, changed = [], 0, False
+    while k < len(nodes):
+        body = nodes[k : k + size]
+        n = 1
+        while len(body) == size and nodes[k + n * size : k + (n + 1) * size] == body and _balanced(body):
+            n += 1
+        if n > 1:
+            out.append(_group(tuple(body), False, True))
+            k += n * size
+            changed = True
+        elif size == 1 or not _same_as_last(out, body):
+            out.append(nodes[k])
+            k += 1
+        else:
+            k += size
+            changed = True
+    return out, changed
+
+
 def _balanced(body: list) -> bool:
     depth = 0
     for x in body:
@@ -367,6 +444,11 @@ def _name(symbol: str) -> str:
     return re.split(r"[.#@]", symbol.lstrip("<>!?"), maxsplit=1)[0]
 
 
+def _names(symbol: str) -> str:
+    """The classes, id and role of an element, as words apart."""
+    return re.sub(r"[.#@]", " ", symbol.partition(_name(symbol))[2])
+
+
 def _inside(path: tuple[str, ...], rule: str) -> int:
     """Depth of the content element on a path, -1 if there is none, -2 if the whole body is content."""
     if rule == "body":
@@ -384,9 +466,8 @@ def _harmless(symbol: str) -> bool:
     """Whether a named element's name says nothing about it inside the content."""
     name = _name(symbol)
     if name in TEXTUAL:
-        return not (name == "section" and COMMENTS.search(symbol))
-    rest = re.sub(r"[.#@]", " ", symbol.partition(name)[2])
-    return name != "form" and NAMES.search(re.sub(r"(?i)header|masthead", "", rest)) is None
+        return not (name == "section" and _commentary(_names(symbol)))
+    return name != "form" and not boilerplate(" ".join(t for t in _names(symbol).split() if not {"header", "masthead"} & set(_parts(t))))
 
 
 def keeps(path: tuple[str, ...], rule: str, enclosing: frozenset | None) -> bool:
@@ -404,14 +485,14 @@ def keeps(path: tuple[str, ...], rule: str, enclosing: frozenset | None) -> bool
             around = enclosing is None or path[: k + 1] in enclosing
             if not (around if k <= depth else _harmless(s) or depth < 0 and around):
                 return False
-        if name == "article" and k > depth >= 0 and rule == "article" and NAMES.search(re.sub(r"[.#@]", " ", s)):
+        if name == "article" and k > depth >= 0 and rule == "article" and boilerplate(_names(s)):
             return False
     return True
 
 
 def _named(path: tuple[str, ...]) -> list[tuple[str, ...]]:
     """The named elements above a slot that might enclose the content."""
-    return [path[: k + 1] for k, s in enumerate(path) if s[0] == "?" and not COMMENTS.search(s)]
+    return [path[: k + 1] for k, s in enumerate(path) if s[0] == "?" and not _commentary(_names(s))]
 
 
 class Automaton:
@@ -580,15 +661,29 @@ def _streams(pages: DataFrame) -> DataFrame:
     return map_arrow(pages, make, "host string, stream string, n bigint", "html").groupBy("host", "stream").agg(F.sum("n").alias("n"))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper (packed). pages: host, html."""
+def wrappers(pages: DataFrame, work: Workspace) -> DataFrame:
+    """host and wrapper (packed). pages: host, html.
+
+    A task aligns PART expressions of a host at most; what a round makes of them are the next round's expressions, each
+    with the pages of all that went into it.
+    """
 
-    def per_host(key, rows):
+    def aligned(key, rows):
         import pandas as pd
 
-        return pd.DataFrame({"host": [key[0]], "wrapper": [_pack(infer([(_unpack(s), int(n)) for s, n in zip(rows["stream"], rows["n"], strict=True)]))]})
+        found = infer([(_unpack(s), int(n)) for s, n in zip(rows["stream"], rows["n"], strict=True)])
+        return pd.DataFrame({"host": [key[0]], "stream": [_pack(found)], "n": [int(rows["n"].sum())]})
 
-    return _streams(pages).groupBy("host").applyInPandas(per_host, "host string, wrapper string")
+    level = work.write(_streams(pages), "streams")
+    while True:
+        numbers = level.groupBy("host").agg(F.count("*").alias("held"))
+        if (numbers.agg(F.max("held")).first()[0] or 0) <= 1:
+            return level.select("host", F.col("stream").alias("wrapper"))
+        parts = F.ceil(F.col("held") / PART).cast("bigint")
+        dealt = level.join(numbers, "host").withColumn("part", F.pmod(F.xxhash64("stream"), parts))
+        following = work.write(dealt.groupBy("host", "part").applyInPandas(aligned, "host string, stream string, n bigint"), "level")
+        work.drop(level)
+        level = following
 
 
 def _with_readers(pages: DataFrame, known: DataFrame, handle, schema: str) -> DataFrame:
@@ -688,7 +783,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     work = Workspace(pages.sparkSession, "wrappers")
     rows = pages.selectExpr("cast(page_id as bigint) page_id", "url", "cast(html as string) html").withColumn("host", host())
-    known = work.write(wrappers(rows.select("host", "html")), "wrappers")
+    known = wrappers(rows.select("host", "html"), work)
     facts = _facts(rows, known.withColumn("facts", F.lit(None).cast("string")))
     known = work.write(known.join(facts, "host", "left"), "facts")
 

@@ -8,6 +8,7 @@ import random
 import struct
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -150,7 +151,7 @@ def brute_components(rows):
     for a in range(len(own)):
         for b in range(a):
             x, y = sets[own[a]], sets[own[b]]
-            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+            if x and y and 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) and 100 * len(x & y) >= 75 * len(x | y):
                 p, q = find(own[a]), find(own[b])
                 head[max(p, q)] = min(p, q)
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
@@ -188,6 +189,54 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_one_id_with_several_texts(spark):
+    """A document with two texts is linked by both, whichever stands for a class; by text, nothing links them."""
+    rows, expected = [], {}
+    for g in range(4):
+        word = lambda tag, n, g=g: [f"{tag}{g}_{k}" for k in range(n)]
+        a, b = word("a", 40), word("b", 40)
+        i = 10 * g
+        rows += [(i + 1, " ".join(a)), (i + 1, " ".join(b)), (i + 2, " ".join([*a[:-1], "x"])), (i + 3, " ".join([*b[:-1], "y"])), (i + 4, " ".join(word("c", 9)))]
+        expected |= {i + 1: i + 1, i + 2: i + 1, i + 3: i + 1, i + 4: i + 4}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (frame.orderBy(F.desc("doc_id"), F.desc("text")),):
+        got = neardup.classes(df).collect()
+        assert {r.doc_id: r.component_id for r in got} == expected and len(got) == len(rows)
+        left = neardup.keep_one(df).collect()
+        assert sorted((r.doc_id, r.text) for r in left) == sorted(r for r in rows if r[0] % 10 in (1, 4))
+
+
+def test_one_row_of_a_group_stays(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, a, 0), (1, a, 0), (1, a.upper(), 1), (2, a, 2), (3, b, 3), (3, a, 4), (4, None, 5), (4, " ", 6), (None, a, 7), (5, b + " z", 8), (5, "", 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, text_hash long").withColumn("id", F.lit(1))
+    left = neardup.keep_one(frame)
+    assert left.columns == frame.columns
+    assert sorted((str(r.doc_id), (r.text or "").lower()) for r in left.collect()) == sorted([("1", a), ("3", b), ("4", ""), ("4", " "), ("None", a), ("5", "")])
+
+
+def test_members_in_pieces(spark, monkeypatch):
+    """Blocks bounded by their shingles, and components that only blocks of other sizes connect."""
+    monkeypatch.setattr(neardup, "CELL", 5)
+    monkeypatch.setattr(neardup, "CELL_SHINGLES", 120)
+    rng = random.Random(8)
+    rows = []
+    for g in range(3):
+        base = [f"w{g}_{k}" for k in range(70)]
+        rows += [(len(rows) + 7 * k % 100, " ".join(w if rng.random() > 0.03 else f"x{rng.random()}" for w in base[: rng.choice([56, 62, 70])])) for k in range(60)]
+    rows = list(dict(rows).items())
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_no_link_is_lost_on_the_small_tables(spark):
+    """Against an exact set-similarity join of all documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.classes(docs).collect()}
+    assert got == brute_components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+
+
 def test_signature_estimates_similarity():
     x = np.random.default_rng(1).integers(0, 2**63, 1100).astype(np.uint64)
     a, b = neardup.minhash([x[:1000], x[100:]], 4000)
@@ -279,6 +328,86 @@ def test_classifiers_on_held_out_rows(spark, empty):
     assert toxicity.score(empty, tox).count() == 0 and quality.score(empty, good).count() == 0
 
 
+def test_toxicity_ignores_the_order_of_rows(spark):
+    docs, labels = labelled_corpus(spark)
+    again = docs.orderBy(F.desc("text")).repartition(7)
+    one, other = (toxicity.fit(d, labels) for d in (docs, again))
+    assert one.lexicon and one.lexicon == other.lexicon
+    assert np.allclose([one.rate, one.k, one.intercept, one.slope], [other.rate, other.k, other.intercept, other.slope])
+
+
+def test_toxicity_score_equals_a_plain_computation(spark):
+    """Word scores, segments, calibration and statistic computed word by word from the formulas."""
+    docs, labels = labelled_corpus(spark)
+    model = toxicity.fit(docs, labels)
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None}
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    learned = [(i, t, y[i]) for i, t in rows if i in y and not common.held_out(i)]
+    strip = lambda t: [w.strip(toxicity.EDGES) for w in common.words(t)]
+    counted: dict = {}
+    for _, t, label in learned:
+        mark = int(common.batch_shingles(pa.array([t]))[0].min().view(np.int64)) if common.words(t) else 0
+        counted[mark, label] = min(counted.get((mark, label), t), t)
+    y1, y0 = Counter(), Counter()
+    for (_, label), t in counted.items():
+        (y1 if label else y0).update(set(strip(t)))
+    n1, n0 = sum(y1.values()), sum(y0.values())
+    want = {}
+    for w in {*y1, *y0} - {b""}:
+        prior = (y1[w] + y0[w]) * toxicity.PRIOR * n1 / (n1 + n0)
+        odds = lambda k, n, p=prior: np.log((k + p) / (n + toxicity.PRIOR * n1 - k - p))
+        score = odds(y1[w], n1) - odds(y0[w], n0)
+        if score > 0 and score / np.sqrt(1 / (y1[w] + prior) + 1 / (y0[w] + prior)) >= toxicity.MIN_Z:
+            want[w] = score
+    assert model.lexicon.keys() == want.keys() and all(abs(model.lexicon[w] - v) < 1e-9 for w, v in want.items())
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for i, t in rows[:120]:
+        scores = [want.get(w, -toxicity.DRIFT) for w in strip(t)]
+        kept = [(a, b, s) for a, b, s in brute_segments(scores) if model.k * len(scores) * np.exp(-model.rate * s) <= toxicity.E_VALUE]
+        x = sum(1 - np.log(model.k * len(scores) * np.exp(-model.rate * s) / toxicity.E_VALUE) for *_, s in kept)
+        assert abs(got[i].score - 1 / (1 + np.exp(-np.clip(model.intercept + model.slope * np.log1p(x), -30, 30)))) < 1e-9
+        assert sorted((z["first"], z["last"]) for z in got[i].segments) == sorted((a, b) for a, b, _ in kept)
+
+
+def test_rules_are_what_they_say(spark):
+    """Trees against exhaustive splits, every row's margin against its paths, the lasso against its conditions, and the
+    compiled column against a plain evaluation."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, len(quality.STATISTICS))).round(2)
+    y = ((x[:, 0] > 0.3) & (x[:, 3] < 0.5) | (x[:, 5] > 1.2)).astype(float)
+    y[rng.random(600) < 0.05] = 0
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for j in range(x.shape[1])]
+    binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1)
+    p = np.full(600, y.mean())
+    g, h, rules, step = p - y, p * (1 - p), set(), np.zeros(600)
+    quality._grow(binned, cuts, g, h, np.arange(0, 600, 2), np.arange(600), (), rules, step, 1)
+    (j, _, k) = next(iter(rules))[0]
+    own = np.arange(0, 600, 2)
+    gains = {}
+    for a in range(x.shape[1]):
+        for b in range(len(cuts[a])):
+            low, high = own[binned[own, a] <= b], own[binned[own, a] > b]
+            if h[low].sum() >= 1 and h[high].sum() >= 1:
+                gains[a, b] = g[low].sum() ** 2 / (h[low].sum() + 1) + g[high].sum() ** 2 / (h[high].sum() + 1)
+    assert abs(gains[j, k] - max(gains.values())) < 1e-9
+    for side in (binned[:, j] <= k, binned[:, j] > k):  # rows outside the subsample move like those in it
+        rows = own[side[own]]
+        assert np.allclose(step[side], -g[rows].sum() / (h[rows].sum() + 1))
+    a = (rng.random((600, 30)) < 0.4).astype(np.float32)
+    a -= a.mean(0)
+    w, b = quality._lasso(a, y)
+    slope = a.T @ (1 / (1 + np.exp(-(a @ w + b))) - y) / len(y)
+    assert np.all(np.abs(slope[w == 0]) <= quality.PENALTY + 1e-4) and np.allclose(slope[w != 0], -quality.PENALTY * np.sign(w[w != 0]), atol=1e-4)
+    model = quality.fit_rules(x, y)
+    assert model.rules
+    frame = spark.createDataFrame(x.tolist(), ", ".join(f"{s} double" for s in quality.STATISTICS))
+    got = [r[0] for r in frame.select(model.column()).collect()]
+    at = {s: k for k, s in enumerate(quality.STATISTICS)}
+    want = [model.intercept + sum(v for v, when in model.rules if all((row[at[n]] > c) == above for n, above, c in when)) for row in x.tolist()]
+    assert np.allclose(sorted(got), sorted(1 / (1 + np.exp(-np.array(want)))))
+    assert ((np.array(want) > 0) == (y > 0)).mean() > 0.9
+
+
 def test_below(spark):
     for cuts in ([], [5], [1, 3, 3, 9], list(range(0, 200, 7))):
         got = [r.n for r in spark.range(-2, 210).select(common.below(F.col("id"), cuts).alias("n")).collect()]
@@ -348,25 +477,47 @@ def test_retrieval_equals_exhaustive_scores(monkeypatch):
     assert got == want and got
 
 
-def test_shards_give_the_same(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "x a b c d e f g h y", "en", "s", 0)], DOCS)
-    bench = spark.createDataFrame([(k, "a b c d e f g h" if k == 7 else f"q{k} r{k} s{k} t{k}") for k in range(30)], "item_id long, text string")
-    one = decontaminate.contaminated(docs, bench).select("doc_id", "item_id").collect()
-    parts = decontaminate.shards(bench, 4)
-    assert len(parts) == 8 and sum(len(p.items) for p in parts) == 30
-    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["x a b c d e f g h y"]})
-    assert [(r[0], r[1]) for p in parts for r in decontaminate.find(batch, p)] == [tuple(r) for r in one] == [(1, 7)]
+def indexes(spark, bench):
+    return [x for group in decontaminate.rounds(bench, common.Workspace(spark, "t")) for x in group]
 
 
-def test_scores_do_not_depend_on_shards(spark):
+def test_scores_do_not_depend_on_shards(spark, monkeypatch):
     rng = random.Random(11)
     text = lambda n: " ".join(f"t{int(rng.paretovariate(0.6)) % 90}" for _ in range(n))
-    items = [(k, text(rng.randint(4, 70))) for k in range(120)]
+    items = [(k, text(rng.randint(4, 70))) for k in range(120)] + [(200, None), (201, " "), (None, "a b c")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    docs = [" ".join(w if rng.random() < 0.8 else "zz" for w in rng.choice(items)[1].split()) + " " + text(60) for _ in range(150)]
+    docs = [" ".join(w if rng.random() < 0.8 else "zz" for w in rng.choice(items[:120])[1].split()) + " " + text(60) for _ in range(150)]
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(150)), "text": docs})
-    one, many = ([sorted(r for p in decontaminate.shards(bench, limit) for r in decontaminate.find(batch, p))] for limit in (1000, 9))
-    assert one == many and one[0]
+    one = indexes(spark, bench)
+    want = sorted(r for p in one for r in decontaminate.find(batch, p))
+    assert len(one) == 1 and want and sorted(decontaminate.find(batch, decontaminate.Index.build(items[:120]))) == want
+    monkeypatch.setattr(decontaminate, "SHARD", 9)
+    many = indexes(spark, bench)
+    assert len(many) > 5 and sum(len(p.items) for p in many) == 120
+    assert sorted(r for p in many for r in decontaminate.find(batch, p)) == want
+    monkeypatch.setattr(decontaminate, "SENT", 30_000)  # several rounds
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert len(list(decontaminate.rounds(bench, common.Workspace(spark, "t")))) > 1
+    assert sorted(map(tuple, decontaminate.contaminated(frame, bench).collect())) == want
+    assert {r.doc_id for r in decontaminate.keep_uncontaminated(frame, bench).collect()} == set(range(150)) - {r[0] for r in want}
+
+
+def test_a_long_item_widens_no_other_passage(spark):
+    rng = random.Random(12)
+    words = lambda tag, n: [f"{tag}{k}" for k in range(n)]
+    long, short = words("l", 3000), words("s", 12)
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short))], "item_id long, text string")
+    scattered = [w for k, x in enumerate(short) for w in (x, *words(f"f{k}_", 200))]
+    docs = [" ".join(scattered), " ".join(words("a", 300) + short + words("b", 50)), " ".join(words("c", 500) + long + words("d", 9)), " ".join(rng.sample(long, 900))]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert sorted(len(x.items) for x in indexes(spark, bench)) == [1, 1]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, bench).collect()} == {(1, 2), (2, 1)}
+
+
+def test_item_words_are_the_same_in_columns_and_python(spark):
+    texts = ["What's  \tthe (answer)?\n42!", "--- a-b ÉCOLE \x0b x\x0cy", "\u00a0q \u2003z", "", "  "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", decontaminate._own_words(F.col("text")).alias("w")).orderBy("k").collect()
+    assert [r.w for r in rows] == [[decontaminate.bare(w).decode() for w in common.words(t)] for t in texts]
 
 
 # ---- search ----------------------------------------------------------------------------------------------------
@@ -398,6 +549,37 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert vafile.top_k(frame.where("false"), frame.where("false")).count() == 0
 
 
+def test_search_of_repeated_ids_and_huge_vectors(spark, monkeypatch):
+    """Each row of a repeated query id has a list of its own; scores beyond a long are the nearest long."""
+    monkeypatch.setattr(vafile, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vafile, "QUERY_ROWS", 3)
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(0, 1, 4).tolist()) for k in range(60)] + [(20, [9.0, 0.0, 0.0, 0.0]), (20, [0.0, 9.0, 0.0, 0.0]), (21, [5.0, 5.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    lists = defaultdict(list)
+    for r in vafile.top_k(frame, frame.where("vec_id = 20"), 5).collect():
+        lists[r["rank"]].append((r.vec_id, r.score))
+    ints = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    want = [sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ints if i != 20)[:5] for q, a in ints if q == 20]
+    for rank in range(1, 6):
+        assert sorted(lists[rank]) == sorted((w[rank - 1][1], -w[rank - 1][0]) for w in want)
+    huge = spark.createDataFrame([(0, [1e12] * 8), (1, [1e12] * 8), (2, [-1e12] * 8), (3, [0.0] * 8), (4, [1e307] * 8), (5, [1.0] * 8)], "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in vafile.top_k(huge, huge.where("vec_id = 0"), 9).orderBy("rank").collect()]
+    assert got == [(1, 1, 2**63 - 1), (2, 5, 8 * 64 * 64 * 10**12), (3, 3, 0), (4, 2, -(2**63))]
+
+
+def test_few_exact_vectors_are_read(spark, monkeypatch):
+    """The bounds leave a small part of the pairs to be read exactly."""
+    monkeypatch.setattr(vafile, "BLOCK_ROWS", 500)
+    read = []
+    real = vafile._scores
+    monkeypatch.setattr(vafile, "_scores", lambda pairs, *rest: read.append(pairs.count()) or real(pairs, *rest))
+    rng = np.random.default_rng(6)
+    frame = spark.createDataFrame([(k, rng.normal(0, 0.2, 16).tolist()) for k in range(2000)], "vec_id long, embedding array<double>")
+    assert vafile.top_k(frame, frame.where("vec_id % 100 = 0")).count() == 400
+    assert read[0] == 400 and sum(read) < 20 * 2000 * 0.05
+
+
 # ---- pages -----------------------------------------------------------------------------------------------------
 
 PAGE = (
@@ -492,6 +674,48 @@ def test_names_do_not_drop_the_content(spark):
         assert got[k] == "\n\n".join(x.format(k % 2) for x in ["T{}", "a{} and more", "Discussion", "b{}", "c{}"]), pages[k]
 
 
+def test_awkward_markup(spark):
+    """Quotes in unquoted values, hidden inline elements, names that only look like boilerplate's, unclosed tags."""
+    cases = {
+        "<article><p data-x=it's>first</p><p>second don't stop</p><p>third</p></article>": "first\n\nsecond don't stop\n\nthird",
+        '<article><div class="side-effects">kept</div><p class="share-price">price</p><p class="search">found</p></article>': "kept\n\nprice\n\nfound",
+        '<article><div class="share-box">gone</div><div class="ad-slot-3">gone</div><div id="commentsArea">gone</div><p>kept</p></article>': "kept",
+        '<article><p>one <span hidden>not <span>this</span> nor that</span> two <span class="advert">buy</span>three</p><p>four</p></article>': "one two three\n\nfour",
+        "<article><p>one <b aria-hidden=true>gone <p>two</p></article>": "one\n\ntwo",
+        '<article><p title="a > b">x &amp; y</p><p title=\'"\'>z</p></article><p': "x & y\n\nz",
+        "<article><a href=/a/>linked</a> text</article>": "linked text",
+    }
+    pages = [(f"http://h{k}.example/", h) for k, h in enumerate(cases)]
+    assert read_all(spark, pages) == dict(enumerate(cases.values()))
+
+
+def test_long_groups_fold():
+    """A list whose items have more than 24 symbols folds, whatever their number."""
+    item = ("<li", *[x for k in range(15) for x in (f"<i{k}", "#", f">i{k}")], ">li")
+    for n in (2, 3, 40):
+        assert wrappers.fold(("<ul", *item * n, ">ul")) == ("<ul", (item, False, True), ">ul")
+    rng = random.Random(2)
+    for _ in range(200):
+        own = [x for _ in range(rng.randint(0, 14)) for x in rng.choice([("<a", ">a"), ("#",), ("<b", "#", ">b"), ("<a", "#", ">a")])]
+        assert wrappers.Automaton(wrappers.fold(tuple(own))).match(own) is not None
+
+
+def test_wrapper_in_parts_covers_all(spark, monkeypatch):
+    """Structures aligned in parts, whose expressions are aligned again; without alignment most pages have no place."""
+    monkeypatch.setattr(wrappers, "PART", 3)
+    pages = [(10 * m + p, "http://many.example/x", page(m, p)) for m in range(8) for p in range(1, 5)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    work = common.Workspace(spark, "t")
+    found = wrappers.wrappers(frame.withColumn("host", wrappers.host()).select("host", "html"), work).collect()
+    assert [r.host for r in found] == ["many.example"]
+    reader = wrappers.Reader(found[0].wrapper)
+    assert all(reader.place(h)[1] == wrappers.blocks(h)[1] for _, _, h in pages)
+    alone = wrappers.Reader(wrappers._pack(wrappers.fold(tuple(wrappers.blocks(pages[0][2])[0]))))
+    with pytest.raises(ValueError, match="covered"):
+        for _, _, h in pages:
+            alone.place(h)
+
+
 def test_long_streams_are_aligned(spark, monkeypatch):
     """Alignment by halves finds as much in common as the whole table does; long pages take part in their wrapper."""
     rng = random.Random(2)
