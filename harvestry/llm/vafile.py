@@ -1,21 +1,24 @@
 """Exact top-k search by vector-approximation files.
 
 Components become integers floor(64 * x). Vectors are written in blocks: a byte for each component names its cell (the
-block's range of that dimension in 2**CELL_BITS equal cells), the exact integers lie beside it. For a block of queries
-the approximations alone give a lower and an upper bound of every inner product: centre product plus and minus the
-cells' half widths weighted by the query. The k best lower bounds make a floor; only vectors whose upper bound reaches
-it are read exactly, in the order of their bounds, until the k-th result is certain. Each pair of a query block and a
-vector block gives its k best; the best of those are the result, with nothing lost.
-
-Scores are exact 64-bit integers; integers are exact for any finite component, and vectors whose integers or products
-could leave 2**53 are multiplied as Python integers. Ties go to the smaller vec_id. Null vectors, and those holding
-null or non-finite components, take no part, nor do null ids; vectors of another length than the query are no
-candidates. Repeated ids are repeated candidates; a query's own id is none of its candidates. Other columns are ignored.
+block's range of that dimension in 2**CELL_BITS equal cells), the exact integers lie in a column of their own.
+
+1. Each block of queries meets each block of cells, never of exact vectors: the centre product plus and minus the cells'
+   half widths weighted by the query bounds every inner product. A pair of blocks yields, for each query, the vectors
+   whose upper bound reaches the k-th best lower bound there.
+2. The k-th best lower bound over all blocks is the query's floor; vectors whose upper bound lies below it go.
+3. Exact vectors are read in the order of their bounds: the first k of each query, whose k-th score is then certain to
+   be reached, and after them only those whose upper bound reaches that score. What is left out can't be in the result.
+
+Scores are exact integers: where integers or products could leave 2**53, they are multiplied as Python integers. Scores
+beyond a long are given as the nearest long. Ties go to the smaller vec_id. Null vectors, and those holding null or
+non-finite components (or ones whose 64-fold isn't finite), take no part, nor do null ids; vectors of another length than
+the query are no candidates. Repeated ids are repeated candidates; each row of a repeated query id is a query with a list
+of its own; no row with a query's id is its candidate. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +30,18 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 SCALE = 64
-CELL_BITS = 6
+CELL_BITS = 8
 K = 20
 BLOCK_ROWS = 8192
-QUERY_ROWS = 1024
+QUERY_ROWS = 512
 SAFE = 1 << 53
+LONGEST = (1 << 63) - 1
 
 BLOCK = "block bigint, dim int, n int, ids binary, exact binary, low binary, width binary, cells binary"
 
 
 def _usable(df: DataFrame) -> DataFrame:
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double") * SCALE) == float("inf")))
     return df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null").where(~bad)
 
 
@@ -78,80 +82,127 @@ def _pack(ids: tuple, x: np.ndarray, number: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["block", "dim", "n", "ids", "exact", "low", "width", "cells"])
 
 
-def _open(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[f"{prefix}ids"], np.int64)
-    return ids, np.frombuffer(row[f"{prefix}exact"], float).reshape(len(ids), -1) if row[f"{prefix}dim"] else np.zeros((len(ids), 0))
-
-
 def _products(a: np.ndarray, b: np.ndarray) -> list[int] | np.ndarray:
-    """Exact inner products of rows of b with a."""
-    if float(np.abs(a).sum()) * float(np.abs(b).max(initial=0)) < SAFE:
-        return (b @ a).astype(np.int64)
-    left = [int(v) for v in a]
-    return np.array([sum(p * int(q) for p, q in zip(left, row, strict=True)) for row in b], object)
+    """Exact inner products of the rows of two matrices, one a row, as longs."""
+    if not len(a) or float((np.abs(a) * np.abs(b)).sum(1).max()) < SAFE:
+        return np.einsum("ij,ij->i", a, b).astype(np.int64)
+    exact = (sum(int(p) * int(q) for p, q in zip(x, y, strict=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    return [max(-LONGEST - 1, min(LONGEST, v)) for v in exact]
 
 
-def search_block(row: dict, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's k best in one block of vectors."""
-    qids, queries = _open(row, "q_")
-    ids, exact = _open(row, "")
+def scan(row: dict, k: int) -> list[np.ndarray]:
+    """q_row, row, lower and upper bound of the vectors of a block that may be among a query's k best there."""
     dim = row["dim"]
+    qids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
+    queries = np.frombuffer(row["q_exact"], float).reshape(len(qids), dim)
     low, width = np.frombuffer(row["low"], float), np.frombuffer(row["width"], float)
-    cells = np.frombuffer(row["cells"], np.uint8).reshape(len(ids), dim)
-    centre = low + (cells + 0.5) * width
-    middle = queries @ centre.T
-    # half a cell each way, and room for rounding of the sums
-    slack = np.abs(queries) @ (width / 2) + 1e-9 * (np.abs(queries) @ np.abs(centre).max(0, initial=0) + 1)
+    centre = low + (np.frombuffer(row["cells"], np.uint8).reshape(len(ids), dim) + 0.5) * width
+    with np.errstate(over="ignore", invalid="ignore"):
+        middle = queries @ centre.T
+        # half a cell each way, and room for rounding of the sums
+        slack = np.abs(queries) @ (width / 2) + 1e-9 * (np.abs(queries) @ np.abs(centre).max(0, initial=0) + 1)
     out = []
     for j, (q, spare) in enumerate(zip(qids.tolist(), slack.tolist(), strict=True)):
         near = middle[j]
-        if len(own := np.flatnonzero(ids == q)):
-            near = near.copy()
-            near[own] = -np.inf
-        if len(ids) > k and math.isfinite(spare):
-            floor = np.partition(near, len(near) - k)[-k] - spare
-            some = np.flatnonzero(near + spare >= floor)
+        own = ids == q
+        if not np.isfinite(spare) or not np.isfinite(near).all():  # bounds beyond a double's range tell nothing
+            some = np.flatnonzero(~own)
+            lower, upper = np.full(len(some), -np.inf), np.full(len(some), np.inf)
         else:
-            some = np.flatnonzero(np.isfinite(near)) if len(own) else np.arange(len(ids))
-        some = some[ids[some] != q]
-        # exact vectors in the order of their upper bounds, until the k-th score is certain
-        some = some[np.argsort(-near[some], kind="stable")]
-        best: list[tuple[int, int]] = []
-        for a in range(0, len(some), 256):
-            part = some[a : a + 256]
-            if len(best) >= k and near[part[0]] + spare < -best[k - 1][0]:
-                break
-            best = sorted(best + [(-int(s), i) for s, i in zip(_products(queries[j], exact[part]), ids[part].tolist(), strict=True)])[:k]
-        out += [(q, i, -s) for s, i in best]
-    return out
+            if own.any():
+                near = np.where(own, -np.inf, near)
+            floor = np.partition(near, len(near) - k)[-k] if len(near) > k else -np.inf
+            some = np.flatnonzero((near >= floor - 2 * spare) & ~own)
+            lower, upper = near[some] - spare, near[some] + spare
+        out.append((np.full(len(some), j), some, lower, upper))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def _bounds(blocks: DataFrame, asked: DataFrame, k: int, parts: int) -> DataFrame:
+    """q_block, q_row, block, row, lower, upper: what is left of each query and vector block by their cells."""
+    salts = max(1, min(parts, 64))  # one length of vectors is one key: its blocks are dealt over several
+    named = asked.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    where = blocks.select("block", F.col("dim").alias("dim"), F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
+    pairs = named.join(where, ["dim", "salt"]).select("block", "q_block", "q_ids", "q_exact")
+    both = pairs.join(blocks.select("block", "dim", "ids", "low", "width", "cells"), "block").repartition(parts, "block", "q_block")
+    names = ["q_block", "q_row", "block", "row", "lower", "upper"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                q_row, place, lower, upper = scan(row, k)
+                if len(place):
+                    columns = [pa.array(np.full(len(place), row["q_block"])), pa.array(q_row.astype(np.int32)), pa.array(np.full(len(place), row["block"])), pa.array(place.astype(np.int32)), pa.array(lower), pa.array(upper)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return both.mapInArrow(run, "q_block bigint, q_row int, block bigint, row int, lower double, upper double")
+
+
+def _vectors(blocks: DataFrame, prefix: str = "") -> DataFrame:
+    """block, row, id and vector (the integers as doubles) of every vector of the blocks."""
+    names = [f"{prefix}{c}" for c in ("block", "row", "id", "vector")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block, n, ids, exact = (batch[c][at].as_py() for c in ("block", "n", "ids", "exact"))
+                wide = len(exact) // max(n, 1)
+                vectors = [exact[j * wide : (j + 1) * wide] for j in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(np.frombuffer(ids, np.int64)), pa.array(vectors, pa.binary())], names)
+
+    return blocks.select("block", "n", "ids", "exact").mapInArrow(run, f"{names[0]} bigint, {names[1]} int, {names[2]} bigint, {names[3]} binary")
+
+
+def _scores(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """q_block, q_row, query_id, vec_id and the exact score of pairs (q_block, q_row, block, row)."""
+    both = pairs.select("q_block", "q_row", "block", "row").join(vectors, ["block", "row"]).join(queries, ["q_block", "q_row"])
+    names = ["q_block", "q_row", "query_id", "vec_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch["q_vector"].to_pylist(), batch["vector"].to_pylist()
+            scores: list = [0] * len(a)
+            for size in set(map(len, a)):
+                at = [j for j, x in enumerate(a) if len(x) == size]
+                x, y = (np.frombuffer(b"".join(v[j] for j in at), float).reshape(len(at), size // 8) for v in (a, b))
+                for j, v in zip(at, _products(x, y), strict=True):
+                    scores[j] = int(v)
+            yield pa.RecordBatch.from_arrays([batch["q_block"], batch["q_row"], batch["q_id"], batch["id"], pa.array(scores, pa.int64())], names)
+
+    return both.select("q_block", "q_row", "q_id", "q_vector", "id", "vector").mapInArrow(run, "q_block bigint, q_row int, query_id bigint, vec_id bigint, score bigint")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products among the other vectors.
 
-    Queries meet vectors block by block: the query blocks (a few hundred kilobytes each) are copied to every vector
-    block, so what is moved is the queries once for each 8,192 vectors.
+    What is moved for every pair of blocks is a block of cells, an eighth of its vectors, and 512 queries; exact vectors
+    are moved once for each of the two reads, whatever the number of queries.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "vafile")
-    usable = work.write(_usable(vectors), "usable")
-    wanted = _usable(queries)
+    usable = _usable(vectors)
     parts = max(1, -(-usable.count() // BLOCK_ROWS))
     blocks = work.write(_blocks(usable, BLOCK_ROWS, parts), "blocks")
-    asked = work.write(_blocks(wanted, QUERY_ROWS, max(1, parts // 8)), "queries")
-    named = asked.select("dim", *[F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "exact")])
-    where = blocks.select("block", "dim").withColumnRenamed("dim", "b_dim")
-    pairs = named.join(where, F.col("dim") == F.col("b_dim")).select("block", "q_dim", "q_ids", "q_exact")
-    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = pairs.join(blocks, "block").repartition(count)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k_row in range(batch.num_rows):
-                found = search_block(batch.slice(k_row, 1).to_pylist()[0], k)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
-
-    found = both.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = work.write(_blocks(_usable(queries), QUERY_ROWS, max(1, parts // 8)), "queries")
+    key = ["q_block", "q_row"]
+    of_query = Window.partitionBy(*key)
+    left = work.write(_bounds(blocks, asked, k, max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))), "bounds")
+
+    def kth(rows: DataFrame, value: str, order) -> DataFrame:
+        """Each query's k-th best value as its floor; none where there are fewer."""
+        best = rows.withColumn("place", F.row_number().over(of_query.orderBy(*order))).where(F.col("place") <= k)
+        return best.groupBy(*key).agg(F.when(F.count("*") == k, F.min(value)).otherwise(float("-inf")).alias("floor"))
+
+    floors = kth(left.select(*key, "lower"), "lower", [F.desc("lower")])
+    ordered = of_query.orderBy(F.desc("upper"), "block", "row")
+    some = left.join(floors, key).where(F.col("upper") >= F.col("floor")).drop("floor")
+    some = work.write(some.withColumn("place", F.row_number().over(ordered)), "candidates")
+    work.drop(left)
+    exact, wanted = _vectors(blocks), _vectors(asked, "q_")
+    first = work.write(_scores(some.where(F.col("place") <= k), exact, wanted), "first")
+    certain = kth(first.select(*key, "score"), "score", [F.desc("score")])
+    rest = some.where(F.col("place") > k).join(certain, key).where(F.col("upper") >= F.col("floor"))
+    found = first.union(_scores(rest, exact, wanted))
+    ranked = found.withColumn("rank", F.row_number().over(of_query.orderBy(F.desc("score"), "vec_id")).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
