@@ -2,31 +2,41 @@
 
 Every text is cut into half-overlapping passages of twice the longest item, so that any item stands whole in one of
 them. A passage is a query of its distinct words against the items. An item's BM25 score is divided by its score
-against itself, so one threshold holds for all. Pruning goes as in block-max WAND, vectorised over a batch: a passage
-whose words' largest impacts over the whole index can't reach the threshold is left; then blocks of items whose block
-maxima can't are left; only items of the blocks that remain are scored. Nothing above the threshold is lost, as every
-bound is an upper one. A retrieved pair counts as contaminated where the passage holds enough of the word trigrams of
-the item's question and of its answer (its last sentence).
-
-The index is sent to the executors in shards of at most SHARD items, whatever the benchmark's size. Word frequencies,
-mean and longest length are those of all items in every shard, so scores don't depend on the number of shards. Null or wordless
-texts and items match nothing; equal items are reported each; repeated rows give one pair. Items of fewer than three
-words must stand there word by word. Other columns are ignored.
+against itself, so one threshold holds for all. The traversal is that of block-max WAND, vectorised over a batch:
+
+1. A passage whose words' largest impacts can't reach the threshold together is left.
+2. Its words in ascending order of their largest impact have a pivot: those before it can't reach the threshold together,
+   so an item without any word from the pivot on is no candidate. Only posting lists from the pivot on name blocks.
+3. Of these blocks, those whose words' block maxima can't reach the threshold are left.
+4. The items of the blocks that remain are scored by all words.
+
+Nothing above the threshold is lost, as every bound is an upper one. A retrieved pair counts as contaminated where the
+passage holds enough of the word trigrams of the item's question and of its answer (its last sentence).
+
+The index is built on the executors, in shards of at most SHARD items of a length class (so that a very long item widens
+the passages of its own class only); word frequencies and mean length are those of all items, from an aggregation, so
+scores don't depend on shards. Shards are sent to the executors in rounds of at most SENT bytes; a benchmark that takes
+several rounds takes as many passes over the texts, and the driver holds one round's shards at a time.
+
+Null or wordless texts and items match nothing, nor do items with a null id; equal items are reported each; repeated rows
+give one pair; all rows with a null doc_id count as one document without a name. Items of fewer than three words must
+stand there word by word. Empty tables give an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import gather
-from .common import batch_words, map_arrow, words
+from .common import Workspace, batch_words, map_arrow, words
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -34,6 +44,8 @@ QUESTION, ANSWER = 0.6, 0.6
 GRAM = 3
 BLOCK = 8
 SHARD = 20_000
+SENT = 64 << 20  # bytes of shards that are sent at once
+CLASS, CLASSES = 128, 8  # items of up to so many words are one class; each further one reaches so many times as far
 EDGES = b".,;:!?\"'()[]{}<>*&%$#@|/\\-_+=~`^"
 PAIRS = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
 
@@ -119,23 +131,34 @@ class Index:
         n, blocks = len(self.items), -(-len(self.items) // BLOCK)
         out: list[tuple] = []
         wins, at = np.unique(window, return_inverse=True)
-        group = max(1, 400_000 // max(n, 1))  # passages scored at once; bounds the postings held
+        group = max(1, 400_000 // max(blocks, 1))  # passages scored at once; bounds the blocks held
         for a in range(0, len(wins), group):
             lo, hi = np.searchsorted(window, [wins[a], wins[min(a + group, len(wins)) - 1] + 1])
             w, t = at[lo:hi] - a, term[lo:hi]
-            count = min(group, len(wins) - a)
+            cells = min(group, len(wins) - a) * blocks
+            # the pivot: words before it can't reach the threshold together
+            order = np.lexsort((self.top[t], w))
+            total, ascending = np.cumsum(self.top[t[order]]), w[order]
+            first = np.flatnonzero(np.concatenate(([True], ascending[1:] != ascending[:-1])))
+            before = np.repeat(total[first] - self.top[t[order[first]]], np.diff(np.concatenate((first, [len(w)]))))
+            from_pivot = np.empty(len(w), bool)
+            from_pivot[order] = total - before >= threshold - 1e-9
             sizes = self.block_starts[t + 1] - self.block_starts[t]
             key = np.repeat(w, sizes) * blocks + gather(self.block_starts[t], sizes, self.block)
-            live = np.bincount(key, gather(self.block_starts[t], sizes, self.block_top), count * blocks) >= threshold
-            some = live.reshape(count, blocks).any(1)[w]
+            named = np.zeros(cells, bool)
+            named[key[np.repeat(from_pivot, sizes)]] = True
+            keep = named[key]
+            live = np.bincount(key[keep], gather(self.block_starts[t], sizes, self.block_top)[keep], cells) >= threshold
+            some = live.reshape(-1, blocks).any(1)[w]
             w, t = w[some], t[some]
             sizes = self.starts[t + 1] - self.starts[t]
             item = gather(self.starts[t], sizes, self.item)
             w = np.repeat(w, sizes)
             keep = live[w * blocks + item // BLOCK]
-            score = np.bincount(w[keep] * n + item[keep], gather(self.starts[t], sizes, self.impact)[keep], count * n)
-            hit = np.flatnonzero(score >= threshold)
-            out.append((wins[a + hit // n], hit % n, score[hit]))
+            pair, place = np.unique(w[keep] * n + item[keep], return_inverse=True)
+            score = np.bincount(place, gather(self.starts[t], sizes, self.impact)[keep], len(pair))
+            hit = score >= threshold
+            out.append((wins[a + pair[hit] // n], pair[hit] % n, score[hit]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
 
@@ -185,48 +208,90 @@ def find(batch: pa.RecordBatch, index: Index, threshold: float = THRESHOLD) -> l
     return [(ids[doc].as_py(), index.items[k][0], *x) for (doc, k), x in found.items()]
 
 
-def shards(items: DataFrame, limit: int = SHARD) -> list[Index]:
-    """Indexes of the items, at most ``limit`` each; the number of items decides how many."""
-    own = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    count = max(1, -(-own.count() // limit))
-    rows = [sorted((r.item_id, r.text) for r in own.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).collect()) for k in range(count)]
-    totals = Totals.of(t for part in rows for _, t in part)
-    return [Index.build(part, totals) for part in rows]
+def _own_words(text: Column) -> Column:
+    """The words of an item as an array, as words() and bare() find them."""
+    edges = "[" + "".join(f"\\{chr(c)}" for c in EDGES) + "]+"
+    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    bared = lambda w: F.regexp_replace(w, f"^{edges}|{edges}$", "")
+    return F.transform(found, lambda w: F.when(bared(w) == "", w).otherwise(bared(w)))
+
+
+def shards(items: DataFrame, work: Workspace) -> DataFrame:
+    """shard and index (pickled) of the items, at most SHARD of one length class each, more or less."""
+    own = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    own = own.withColumn("words", _own_words(F.col("text"))).withColumn("n", F.size("words").cast("bigint")).where("n > 0")
+    own = own.withColumn("class", F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / CLASS) / F.log(F.lit(float(CLASSES))))).cast("int"))
+    own = work.write(own, "items")
+    count, total = own.agg(F.count("*"), F.sum("n")).first()
+    held = own.groupBy("class").agg(F.max("n").alias("longest"), F.ceil(F.count("*") / SHARD).cast("bigint").alias("parts"))
+    dealt = own.join(F.broadcast(held), "class").withColumn("shard", F.pmod(F.xxhash64("item_id"), "parts"))  # a class a row
+    df = own.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    known = dealt.select(F.col("class").alias("of_class"), F.col("shard").alias("of_shard"), F.explode("words").alias("word")).distinct().join(df, "word")
+
+    def build(rows, frequencies):
+        import pandas as pd
+
+        if not len(rows):
+            return pd.DataFrame({"index": []})
+        totals = Totals(count, total, int(rows["longest"].iloc[0]), Counter({w.encode("utf-8", "surrogatepass"): int(n) for w, n in zip(frequencies["word"], frequencies["df"], strict=True)}))
+        return pd.DataFrame({"index": [pickle.dumps(Index.build(sorted(zip(rows["item_id"].tolist(), rows["text"], strict=True)), totals))]})
+
+    made = dealt.select("class", "shard", "item_id", "text", "longest").groupBy("class", "shard").cogroup(known.groupBy("of_class", "of_shard")).applyInPandas(build, "index binary")
+    return work.write(made.select(F.monotonically_increasing_id().alias("shard"), "index"), "shards")
+
+
+def rounds(items: DataFrame, work: Workspace) -> Iterator[list[Index]]:
+    """The shards' indexes, as many at a time as are sent at once; the driver holds one round."""
+    made = shards(items, work)
+    group: list[int] = []
+    held = 0
+    for r in [*made.select("shard", F.length("index").alias("size")).orderBy("shard").collect(), None]:
+        if group and (r is None or held + r.size > SENT):
+            yield [pickle.loads(bytes(x["index"])) for x in made.where(F.col("shard").isin(group)).orderBy("shard").collect()]  # noqa: S301 - written above
+            group, held = [], 0
+        if r is not None:
+            group.append(r.shard)
+            held += r.size
+
+
+def _pairs(docs: DataFrame, indexes: list[Index]) -> DataFrame:
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            rows = [r for index in indexes for r in find(batch, index)]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names) if rows else None
+
+        return work
+
+    return map_arrow(docs, make, PAIRS)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and item that it holds: doc_id, item_id, score and the two overlaps."""
-    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
-    parts = []
-    for index in shards(items):
-
-        def make(index=index):
-            def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-                rows = find(batch, index)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
-                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names) if rows else None
-
-            return work
-
-        parts.append(map_arrow(docs, make, PAIRS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
+    work = Workspace(docs.sparkSession, "decontaminate")
+    out = None
+    for indexes in rounds(items, work):
+        found = _pairs(docs, indexes)
+        out = found if out is None else work.write(out, "pairs").union(found)
+    out = _pairs(docs.where("false"), []) if out is None else out
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows that hold no item, all columns as they are; nothing is shuffled."""
-    for index in shards(items):
+    """The rows that hold no item, all columns as they are; no text is shuffled."""
+    work = Workspace(docs.sparkSession, "decontaminate")
+    for k, indexes in enumerate(rounds(items, work)):
 
-        def make(index=index):
-            def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def make(indexes=indexes):
+            def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
                 numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch["text"]], ["doc_id", "text"])
-                bad = {r[0] for r in find(numbered, index)}
-                return batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
+                bad = {r[0] for index in indexes for r in find(numbered, index)}
+                return batch.filter(pa.array([j not in bad for j in range(batch.num_rows)], pa.bool_()))
 
-            return work
+            return keep
 
-        docs = map_arrow(docs, make, docs.schema)
+        docs = map_arrow(work.write(docs, "docs") if k else docs, make, docs.schema)
     return docs
