@@ -8,8 +8,9 @@ a text of n words has the extreme-value tail 1 - exp(-K n exp(-lambda S)): lambd
 the word scores of clean documents, K is fitted to their highest segments. A document's statistic adds up the
 significant segments' scores in nats; a logistic curve fitted on the same sample makes it a score from 0 to 1.
 
-Null and empty texts have no segment. Without labelled documents of both kinds every score is 0. Other columns,
-repeated rows and null ids are kept as they come.
+Null and empty texts have no segment and the score of a text without one. Without labelled documents of both kinds every
+score is 1 / (1 + e**30), 1e-13. The order of the rows changes nothing. An empty table gives an empty result. Other
+columns, repeated rows and null ids are kept as they come.
 """
 
 from __future__ import annotations
@@ -94,7 +95,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     and three numbers for each of the sample's documents."""
     work = Workspace(docs.sparkSession, "toxicity")
 
-
     def mark():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             marks = [int(x.min().view(np.int64)) if len(x) else 0 for x in batch_shingles(batch["text"])]
@@ -118,8 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
         return run
 
-    # near copies share their smallest shingle, mostly: one of them is counted, or its rare words would look significant
-    counts = work.write(map_arrow(known.dropDuplicates(["mark", "y"]), count, "word binary, toxic bigint, other bigint").groupBy("word").agg(F.sum("toxic").alias("y1"), F.sum("other").alias("y0")), "counts")
+    # near copies share their smallest shingle, mostly: one of them (the least text, whatever the rows' order) is counted,
+    # or its rare words would look significant
+    counts = work.write(map_arrow(known.groupBy("mark", "y").agg(F.min("text").alias("text")), count, "word binary, toxic bigint, other bigint").groupBy("word").agg(F.sum("toxic").alias("y1"), F.sum("other").alias("y0")), "counts")
     n1, n0 = (x or 0 for x in counts.agg(F.sum("y1"), F.sum("y0")).first())
     if not n1 or not n0:
         return Model()
