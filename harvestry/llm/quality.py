@@ -1,12 +1,14 @@
 """Quality by a sparse ensemble of rules.
 
 Statistics of each text (word, line and character-class shares) are computed once. On the bounded sample of labelled
-documents, boosted depth-3 trees over them give candidate rules (every path from the root is a conjunction of
-comparisons); a lasso logistic regression over the rules keeps a few dozen. The kept rules are compiled into one Spark
-column expression over the statistics.
-
-Null and empty texts have the statistics of a text without words. Without labelled documents of both kinds every score
-is 1. Other columns, repeated rows and null ids are kept as they come.
+documents, boosted depth-3 trees over them (each grown on SUBSAMPLE of the sample's rows, drawn anew with a fixed seed;
+its steps move the margins of all rows) give candidate rules: every path from the root is a conjunction of comparisons.
+A lasso logistic regression over the rules keeps a few dozen, which are compiled into one Spark column expression over
+the statistics.
+
+Null and empty texts have the statistics of a text without words. Without labelled documents every score is
+1 / (1 + e**-30), with those of one kind only 1 / (1 + e**-30) or 1 / (1 + e**30). The order of the rows changes nothing.
+An empty table gives an empty result. Other columns, repeated rows and null ids are kept as they come.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ STATISTICS = (
     "lines", "distinct_lines", "words_a_line", "closed_lines", "bare_words", "pipes",
 )
 TREES, DEPTH, BINS, RATE, PENALTY = 40, 3, 32, 0.3, 0.002
-SCHEMA = ", ".join(f"{s} double" for s in STATISTICS)
+SUBSAMPLE = 0.7
 
 _CLASS = np.full(256, 6, np.uint8)  # 0 upper, 1 digit, 2 symbol, 3 sentence mark, 4 space, 5 lower, 6 high
 _CLASS[65:91] = 0
@@ -107,8 +109,9 @@ class Model:
         return 1 / (1 + F.exp(-total))
 
 
-def _grow(x: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray, path: tuple, rules: set, step: np.ndarray, depth: int) -> None:
-    """One Newton tree by histograms of binned statistics; every path goes to rules, leaf steps to step."""
+def _grow(x: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray, all_rows: np.ndarray, path: tuple, rules: set, step: np.ndarray, depth: int) -> None:
+    """One Newton tree by histograms of binned statistics, grown on rows; every path goes to rules, the leaves' steps of
+    all rows to step."""
     if path:
         rules.add(path)
     best = (1e-6, None)
@@ -125,12 +128,42 @@ def _grow(x: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, r
             if gain[k] > best[0]:
                 best = (gain[k], (j, k))
     if best[1] is None:
-        step[rows] = -g[rows].sum() / (h[rows].sum() + 1)
+        step[all_rows] = -g[rows].sum() / (h[rows].sum() + 1)
         return
     j, k = best[1]
-    left = x[rows, j] <= k
-    _grow(x, cuts, g, h, rows[left], (*path, (j, False, k)), rules, step, depth - 1)
-    _grow(x, cuts, g, h, rows[~left], (*path, (j, True, k)), rules, step, depth - 1)
+    below, all_below = x[rows, j] <= k, x[all_rows, j] <= k
+    _grow(x, cuts, g, h, rows[below], all_rows[all_below], (*path, (j, False, k)), rules, step, depth - 1)
+    _grow(x, cuts, g, h, rows[~below], all_rows[~all_below], (*path, (j, True, k)), rules, step, depth - 1)
+
+
+def _boost(binned: np.ndarray, cuts: list[np.ndarray], y: np.ndarray) -> tuple[list, np.ndarray]:
+    """The paths of all trees, and every row's margin after them."""
+    margin, found = np.full(len(y), np.log(y.mean() / (1 - y.mean()))), set()
+    rng, every = np.random.default_rng(7), np.arange(len(y))
+    for _ in range(TREES):
+        p = 1 / (1 + np.exp(-margin))
+        step = np.zeros(len(y))
+        rows = np.sort(rng.permutation(len(y))[: max(20, int(len(y) * SUBSAMPLE))])
+        _grow(binned, cuts, p - y, p * (1 - p), rows, every, (), found, step, DEPTH)
+        margin += RATE * step
+    return sorted(found), margin
+
+
+def _lasso(a: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the logistic regression with an l1 penalty, by accelerated proximal gradient steps."""
+    lip = 0.25 * np.linalg.norm(a, 2) ** 2 / len(y)
+    w = z = np.zeros(a.shape[1], np.float32)
+    b = c = float(np.log(y.mean() / (1 - y.mean())))
+    t = 1.0
+    for _ in range(600):
+        r = 1 / (1 + np.exp(-(a @ z + c))) - y
+        new = z - (a.T @ r) / len(y) / lip
+        new = np.sign(new) * np.maximum(np.abs(new) - PENALTY / lip, 0)
+        nb = c - float(r.mean()) * 4
+        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z, c = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
+        w, b, t = new, nb, nt
+    return w, b
 
 
 def fit_rules(values: np.ndarray, y: np.ndarray) -> Model:
@@ -139,16 +172,7 @@ def fit_rules(values: np.ndarray, y: np.ndarray) -> Model:
         return Model(30.0 if len(y) == 0 or y[0] else -30.0)
     cuts = [np.unique(np.quantile(values[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(values.shape[1])]
     binned = np.stack([np.searchsorted(c, values[:, j], side="left") for j, c in enumerate(cuts)], 1)
-    base = np.log(y.mean() / (1 - y.mean()))
-    margin, found = np.full(len(y), base), set()
-    rng = np.random.default_rng(7)
-    for _ in range(TREES):
-        p = 1 / (1 + np.exp(-margin))
-        step = np.zeros(len(y))
-        rows = np.sort(rng.permutation(len(y))[: max(20, len(y) * 7 // 10)])
-        _grow(binned, cuts, p - y, p * (1 - p), rows, (), found, step, DEPTH)
-        margin += RATE * step
-    rules = sorted(found)
+    rules, _ = _boost(binned, cuts, y)
     held = np.ones((len(y), len(rules)), np.float32)
     for k, path in enumerate(rules):
         for j, above, at in path:
@@ -160,18 +184,7 @@ def fit_rules(values: np.ndarray, y: np.ndarray) -> Model:
     rules = [rules[k] for k in first]
     centre, scale = held.mean(0), np.maximum(held.std(0), 0.05)
     a = (held - centre) / scale
-    lip = 0.25 * np.linalg.norm(a, 2) ** 2 / len(y)
-    w = z = np.zeros(a.shape[1], np.float32)
-    b = c = float(base)
-    t = 1.0
-    for _ in range(600):
-        r = 1 / (1 + np.exp(-(a @ z + c))) - y
-        new = z - (a.T @ r) / len(y) / lip
-        new = np.sign(new) * np.maximum(np.abs(new) - PENALTY / lip, 0)
-        nb = c - float(r.mean()) * 4
-        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, c = new + (t - 1) / nt * (new - w), nb + (t - 1) / nt * (nb - b)
-        w, b, t = new, nb, nt
+    w, b = _lasso(a, y)
     kept = np.flatnonzero(w)
     weights = w[kept] / scale[kept]
     named = tuple((float(v), tuple((STATISTICS[j], above, float(cuts[j][at])) for j, above, at in rules[k])) for v, k in zip(weights, kept.tolist(), strict=True))
