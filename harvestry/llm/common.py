@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import tempfile
 import uuid
 import zlib
@@ -26,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or (unset: tests) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where all executors are in the driver's
+    process (a local master: tests) may it be unset; a temporary folder serves then."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='harvestry-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
