@@ -3,14 +3,14 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; what a stage returns is written as Parquet and read
 again as the next one's ``docs``. All but the last return the columns of ``docs`` as they are. Classifiers are fitted on
 the labelled documents among a stage's own input, never on held-out ones. Null texts are empty texts; rows with a null
-doc_id pass the near-duplicate stage (they can't be named a copy); of rows that repeat a doc_id one stays there.
+doc_id or without words pass the near-duplicate stage (they copy nothing); rows that repeat a doc_id are judged there by
+their texts.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from harvestry.llm import bpe, decontaminate, neardup, quality, toxicity
 from harvestry.llm.common import Workspace, table
@@ -27,11 +27,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one of the smallest id."""
-    kept = neardup.classes(docs.select("doc_id", "text")).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("bigint") == kept["kept_doc_id"], "left_semi")
-    repeated = not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty()
-    return (named.dropDuplicates(["doc_id"]) if repeated else named).union(docs.where(F.col("doc_id").isNull()))
+    """One row of each near-duplicate group: that of the smallest id."""
+    return neardup.keep_one(docs)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
