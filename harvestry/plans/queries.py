@@ -95,7 +95,7 @@ def link_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, false AS blocked, false AS login_wall, false AS paywall_hint, false AS consent_gate FROM pages")
 def page_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signs of blocks and walls on every page."""
-    return diagnose.diagnose(table(spark, sf_dir, "pages")).select("page_id", "blocked", "login_wall", "paywall_hint", "consent_gate")
+    return diagnose.diagnose(table(spark, sf_dir, "pages")).select("page_id", "blocked", "login_wall", "paywall_hint", F.col("age_or_consent_gate").alias("consent_gate"))
 
 
 @query()

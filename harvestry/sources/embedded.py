@@ -6,11 +6,13 @@ Page code is never evaluated: only strict JSON counts, found by a bracket scan t
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import json
 import re
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,47 +55,56 @@ def _parsed(text: str):
         return jsonpath.MISSING
 
 
-def value_at(text: str, at: int):
-    """The literal or ``JSON.parse("...")`` that begins at a place."""
-    call = re.compile(r"JSON\.parse\(\s*").match(text, at)
-    if call:
-        literal = re.compile(r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", re.S).match(text, call.end())
-        if not literal:
-            return jsonpath.MISSING
-        quoted = literal[0] if literal[0][0] == '"' else '"' + re.sub(r'(?<!\\)"', r"\"", literal[0][1:-1].replace(r"\'", "'")) + '"'
-        inner = _parsed(quoted)
-        return _parsed(inner) if isinstance(inner, str) else jsonpath.MISSING
-    if text[at : at + 1] not in ("{", "["):
-        return jsonpath.MISSING
-    end = closing(text, at)
-    return _parsed(text[at : end + 1]) if end >= 0 else jsonpath.MISSING
+#: A global that a script gives an object, an array or parsed text: its name and, ahead, where the value begins.
+GIVEN = re.compile(
+    r"""(?:\b(?:window|globalThis)(?:\.(?P<member>[\w$]+)|\[["'](?P<key>[^"']+)["']\])|\b(?:var|let|const)\s+(?P<variable>[\w$]+))\s*=\s*(?=(?P<call>JSON\.parse\(\s*)?(?P<opens>[\[{"']))"""
+)
+QUOTED = re.compile(r""""((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'""", re.S)
+ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]+)\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|(\r\n|.))", re.S)
+PLAIN_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": "", "\r\n": ""}
+
+
+def given(html: str) -> Iterator[tuple[str, str, re.Match]]:
+    """(name, script, where) of every value that an inline script gives a global."""
+    for attrs, body in scripts(html):
+        if not re.search(r"\ssrc=", attrs, re.I):
+            for m in GIVEN.finditer(body):
+                if (m["call"] is None) == (m["opens"] in "[{"):
+                    yield m["member"] or m["key"] or m["variable"], body, m
+
 
+def script_text(quoted: str) -> str:
+    """What a quoted text of a script stands for. Halves of a surrogate pair come together again."""
 
-def _inline(html: str) -> Iterator[str]:
-    return (body for attrs, body in scripts(html) if not re.search(r"\ssrc=", attrs, re.I))
+    def plain(m: re.Match) -> str:
+        code = m[1] or m[2] or m[3]
+        return chr(int(code, 16)) if code else PLAIN_ESCAPES.get(m[4], m[4])
+
+    return ESCAPE.sub(plain, quoted).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def given_value(body: str, m: re.Match):
+    """The strict JSON of such a value, MISSING if it is none."""
+    if m["call"] is not None:
+        text = QUOTED.match(body, m.end() + len(m["call"]))
+        return _parsed(script_text(text[1] if text[1] is not None else text[2])) if text else jsonpath.MISSING
+    end = closing(body, m.end())
+    return _parsed(body[m.end() : end + 1]) if end >= 0 else jsonpath.MISSING
 
 
 def assignment(html: str, name: str):
-    """The first strict JSON value that a script assigns to a global of that name."""
-    opening = re.compile(rf"""(?:window\.|window\[["']|globalThis\.|var\s+|let\s+|const\s+){re.escape(name)}(?:["']\])?\s*=\s*""")
-    for body in _inline(html):
-        for m in opening.finditer(body):
-            value = value_at(body, m.end())
-            if value is not jsonpath.MISSING:
-                return value
-    return jsonpath.MISSING
+    """The first strict JSON value that a script gives a global of that name."""
+    return next((v for n, body, m in given(html) if n == name and (v := given_value(body, m)) is not jsonpath.MISSING), jsonpath.MISSING)
 
 
 def assigned_names(html: str, limit: int = 20) -> list[str]:
-    """Globals that are given an object, an array or parsed JSON of some size, the largest first."""
-    opening = re.compile(r"""(?:window\.|window\[["']|var\s+|let\s+|const\s+)([A-Za-z_$][\w$]*)(?:["']\])?\s*=\s*(?=JSON\.parse\(|[\[{])""")
+    """Globals that are given values of some size, the largest first. Quoted texts count as of 200 characters."""
     sizes: dict[str, int] = {}
-    for body in _inline(html):
-        for m in opening.finditer(body):
-            end = m.end() + 200 if body[m.end()] == "J" else closing(body, m.end())
-            if end - m.end() > 40:
-                sizes[m[1]] = max(sizes.get(m[1], 0), end - m.end())
-    return sorted(sizes, key=lambda n: -sizes[n])[:limit]
+    for name, body, m in given(html):
+        size = 200 if m["call"] is not None else closing(body, m.end()) - m.end()
+        if size > 40:
+            sizes[name] = max(size, sizes.get(name, 0))
+    return sorted(sizes, key=sizes.get, reverse=True)[:limit]
 
 
 def read(html: str, source):
@@ -225,109 +236,103 @@ def captured(responses: DataFrame, url_match: str, method: str | None = None) ->
 
 
 SAFE_INTEGER = (1 << 53) - 1
+FIELDS, DEEPEST = 536_870_911, 24
+VARINT = re.compile(rb"[\x80-\xff]{0,9}[\x00-\x7f]", re.S)
+CONTROL = re.compile("[\x00-\x1f\x7f\ufffd]")
+#: How compressed frames begin, and what opens them.
+PACKED = {b"\x1f\x8b": gzip.decompress, b"\x78\x01": zlib.decompress, b"\x78\x5e": zlib.decompress, b"\x78\x9c": zlib.decompress, b"\x78\xda": zlib.decompress}
+
+
+class _Reader:
+    """A cursor over the bytes of one message."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, 0
+
+    def varint(self) -> int:
+        m = VARINT.match(self.data, self.at)
+        if m is None:
+            raise ValueError("bad varint")
+        self.at = m.end()
+        return sum((b & 0x7F) << 7 * k for k, b in enumerate(m[0]))
+
+    def take(self, size: int) -> bytes:
+        part = self.data[self.at : self.at + size]
+        if len(part) != size:
+            raise ValueError("truncated field")
+        self.at += size
+        return part
+
+
+def _whole(n: int) -> int | str:
+    return n if n <= SAFE_INTEGER else str(n)
+
 
+def _fixed(part: bytes) -> int | float:
+    """A small integer while the part's top is zero, else a float."""
+    top = part[-len(part) // 4 :]
+    return struct.unpack({4: "<f", 8: "<d"}[len(part)], part)[0] if any(top) else int.from_bytes(part, "little")
 
-def _varint(data: bytes, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while shift < 70:
-        if at >= len(data):
-            raise ValueError("truncated varint")
-        value |= (data[at] & 0x7F) << shift
-        at += 1
-        if data[at - 1] < 0x80:
-            return value, at
-        shift += 7
-    raise ValueError("varint too long")
+
+def _delimited(part: bytes, depth: int):
+    """Printable text, a nested message or base64, whichever a part can be first."""
+    text = part.decode("utf-8", "replace")
+    if not CONTROL.search(text):
+        return text
+    try:
+        return protobuf(part, depth + 1)
+    except ValueError:
+        return f"base64:{base64.b64encode(part).decode()}"
+
+
+#: By wire type, how a field's value is read.
+WIRE = {0: lambda r, _: _whole(r.varint()), 1: lambda r, _: _fixed(r.take(8)), 2: lambda r, depth: _delimited(r.take(r.varint()), depth), 5: lambda r, _: _fixed(r.take(4))}
 
 
 def protobuf(data: bytes, depth: int = 0) -> dict:
     """A message without its schema: field numbers as keys, repeated fields as arrays.
 
-    Integers beyond 2**53 are text; fixed 8- and 4-byte values are integers while their high bytes are 0, else floats;
+    Integers beyond 2**53 are text; fixed 8- and 4-byte values are integers while their top quarter is 0, else floats;
     bytes are text where they are printable UTF-8, else a nested message, else ``base64:`` text.
     """
-    if depth > 24:
+    if depth > DEEPEST:
         raise ValueError("nested too deep")
-    out: dict = {}
-    at = 0
-    while at < len(data):
-        key, at = _varint(data, at)
-        field, wire = key >> 3, key & 7
-        if not 1 <= field <= 536_870_911:
-            raise ValueError("bad field number")
-        if wire == 0:
-            value, at = _varint(data, at)
-            value = value if value <= SAFE_INTEGER else str(value)
-        elif wire in (1, 5):
-            size = 8 if wire == 1 else 4
-            part = data[at : at + size]
-            if len(part) < size:
-                raise ValueError("truncated field")
-            whole = part[6:] == b"\0\0" if size == 8 else part[3] == 0
-            value = int.from_bytes(part, "little") if whole else struct.unpack("<d" if size == 8 else "<f", part)[0]
-            at += size
-        elif wire == 2:
-            size, at = _varint(data, at)
-            part = data[at : at + size]
-            if len(part) < size:
-                raise ValueError("truncated field")
-            at += size
-            value = _bytes_value(part, depth)
-        else:
-            raise ValueError(f"wire type {wire}")
-        name = str(field)
-        if name not in out:
-            out[name] = value
-        elif isinstance(out[name], list):
-            out[name].append(value)
-        else:
-            out[name] = [out[name], value]
-    return out
-
-
-def _bytes_value(part: bytes, depth: int):
-    try:
-        text = part.decode()
-        if not re.search("[\x00-\x1f\x7f�]", text):
-            return text
-    except UnicodeDecodeError:
-        pass
+    reader, values = _Reader(data), defaultdict(list)
+    while reader.at < len(data):
+        number, wire = divmod(reader.varint(), 8)
+        if wire not in WIRE or not 1 <= number <= FIELDS:
+            raise ValueError("no field")
+        values[str(number)].append(WIRE[wire](reader, depth))
+    return {k: v[0] if len(v) == 1 else v for k, v in values.items()}
+
+
+def _records(data: bytes, length_bytes: int, type_bytes: int) -> list[tuple[dict, bytes]]:
+    """The records of a frame, each with its type; the length counts the type's bytes. Bad framing gives none."""
+    reader, out = _Reader(data), []
     try:
-        return protobuf(part, depth + 1)
+        while len(data) - reader.at >= length_bytes:
+            record = _Reader(reader.take(int.from_bytes(reader.take(length_bytes), "big")))
+            kind = {"_type": int.from_bytes(record.take(type_bytes), "big")} if type_bytes else {}
+            out.append((kind, record.data[record.at :]))
     except ValueError:
-        return "base64:" + base64.b64encode(part).decode()
+        return []
+    return out
 
 
 def binary_messages(data: bytes, length_bytes: int = 0, type_bytes: int = 0) -> list:
     """The messages in a binary frame: inflated, then JSON, else records of a length prefix (which counts the type's
     bytes), else one schema-less message. What can't be read gives none."""
     try:
-        if data[:2] == b"\x1f\x8b":
-            data = gzip.decompress(data)
-        elif data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-            data = zlib.decompress(data)
+        data = PACKED.get(data[:2], bytes)(data)
     except (OSError, EOFError, zlib.error):
         return []
     value = _parsed(re.sub(r"^\d+(?=[\[{])", "", data.decode("utf-8", "replace")))
     if isinstance(value, (dict, list)):
         return [value]
-    bodies: list[tuple[int | None, bytes]] = [(None, data)]
-    if length_bytes:
-        bodies, at = [], 0
-        while at + length_bytes <= len(data):
-            size = int.from_bytes(data[at : at + length_bytes], "big")
-            at += length_bytes
-            if size < type_bytes or at + size > len(data):
-                return []
-            bodies.append((int.from_bytes(data[at : at + type_bytes], "big") if type_bytes else None, data[at + type_bytes : at + size]))
-            at += size
     out = []
-    for kind, body in bodies:
-        try:
-            message = protobuf(body)
-        except ValueError:
-            continue
-        out.append(message if kind is None else {"_type": kind, **message})
+    for kind, body in _records(data, length_bytes, type_bytes) if length_bytes else [({}, data)]:
+        with contextlib.suppress(ValueError):
+            out.append(kind | protobuf(body))
     return out
 
 
