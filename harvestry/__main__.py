@@ -1,6 +1,6 @@
 """Command line: run a recipe over captured tables, rank a request log, finish a file of rows.
 
-    python -m harvestry collect recipe.json --pages pages.parquet --responses r.parquet --frames f.parquet --out t.csv
+    python -m harvestry collect recipe.json --pages pages.parquet --responses r.parquet --frames f.parquet --out t.csv --state s.json --resume
     python -m harvestry har log.har --match 39000
     python -m harvestry finish rows.json --out t.csv --dedupe-key id --limit 10
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from . import sinks
 from .operators import requests, rows
 from .plans import recipe as recipes
+from .plans import run as runs
 
 
 def _arguments(argv: list[str]) -> argparse.Namespace:
@@ -30,6 +32,8 @@ def _arguments(argv: list[str]) -> argparse.Namespace:
         collect.add_argument(f"--{name}")
     collect.add_argument("--max-pages", type=int)
     collect.add_argument("--dry-run", action="store_true")
+    collect.add_argument("--state")
+    collect.add_argument("--resume", action="store_true")
     har = commands.add_parser("har")
     har.add_argument("log")
     har.add_argument("--match")
@@ -44,18 +48,49 @@ def _arguments(argv: list[str]) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def _written(spark: SparkSession, table, fmt: str, path: str, columns: list[str], order: list[str], append: bool) -> None:
+    """Writes rows; a file that can't be appended to is written anew from a file of all rows beside it."""
+    if fmt in ("csv", "jsonl"):
+        sinks.write(table, fmt, path, columns, order, append)
+        return
+    beside = f"{path}.rows.jsonl"
+    sinks.write(table, "jsonl", beside, columns, order, append)
+    whole = spark.read.schema(table.select(*[F.col(f"`{c}`") for c in columns]).schema).json(beside).withColumn("item_ord", F.monotonically_increasing_id())
+    sinks.write(whole, fmt, path, columns, ["item_ord"])
+
+
 def collect(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """One run of a recipe. With --state, what the next run needs is kept there: the cursor, the keys seen, the file."""
     with open(args.recipe, encoding="utf-8") as f:
         recipe = recipes.load(f.read())
     found = {n: spark.read.parquet(p) for n in ("pages", "responses", "frames", "seen") if (p := getattr(args, n))}
-    table = recipes.compile_recipe(recipe, recipes.Sources(**found), args.limit, args.max_pages, args.dry_run).persist()
-    columns, order = recipes.columns_of(recipe) or ["cells"], ["page_ord", "item_ord"]
-    pages = table.select("page_ord").distinct().count()
-    told = sinks.summary(table, columns, order, pages, "dry_run" if args.dry_run else "limit" if args.limit and table.count() >= args.limit else "end_of_list")
+    state, keys = {}, f"{args.state}.seen"
+    if args.resume and args.state and os.path.exists(args.state):
+        with open(args.state, encoding="utf-8") as f:
+            state = json.load(f)
+        state = state if state.get("cursor") and not state.get("done") else {}
+        if state and os.path.exists(keys) and "seen" not in found:
+            found["seen"] = spark.read.parquet(keys)
+    outcome = runs.run(recipe, recipes.Sources(**found), args.limit, args.max_pages, args.dry_run, state.get("cursor"))
+    table, order = outcome.rows.persist(), ["page_ord", "item_ord"]
+    columns = state.get("columns") or outcome.columns
+    for c in columns:
+        if c not in table.columns:
+            table = table.withColumn(c, F.lit(None).cast("string"))
+    told = sinks.summary(table, columns, order, outcome.pages, outcome.reason)
+    told |= {"recipe": recipe["name"], **({"blocked_by": outcome.blocked_by} if outcome.blocked_by else {}), **({"rows_previous": state["rows_written"]} if state else {})}
     if not args.dry_run:
-        fmt, path = sinks.output_of(recipe, args.format, args.out)
-        sinks.write(table, fmt, path, columns, order)
+        fmt, path = (state["format"], state["output"]) if state and not args.out and not args.format else sinks.output_of(recipe, args.format, args.out)
+        _written(spark, table, fmt, path, columns, order, bool(state))
         told |= {"format": fmt, "path": path}
+        if args.state:
+            key = (recipe.get("output") or {}).get("dedupe_key")
+            if key:
+                table.select(F.col(f"`{key}`").cast("string").alias(key)).where(F.col(f"`{key}`").isNotNull()).write.mode("append" if state else "overwrite").parquet(keys)
+            kept = {"recipe": recipe["name"], "cursor": outcome.cursor, "done": outcome.cursor is None, "output": path, "format": fmt, "columns": columns, "rows_written": told["rows"] + state.get("rows_written", 0), "pages_done": outcome.pages, "stop_reason": outcome.reason}
+            with open(args.state, "w", encoding="utf-8") as f:
+                json.dump(kept | ({"blocked_by": outcome.blocked_by} if outcome.blocked_by else {}), f, ensure_ascii=False)
+    table.unpersist()
     return told
 
 

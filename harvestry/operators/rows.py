@@ -115,6 +115,21 @@ def json_rows(documents: DataFrame, fields: dict, items: str | None = None, json
     return out.where(values.any_filled(full)) if full else out
 
 
+MOST_COLUMNS = 10_000
+
+
+def spread(found: DataFrame, order: list[str]) -> DataFrame:
+    """Rows of ``cells`` (maps) with a column for each key, in the order in which the keys are first met.
+
+    The keys are looked for by a job of its own; more than MOST_COLUMNS of them are refused.
+    """
+    met = found.select(*order, F.posexplode(F.map_keys("cells")).alias("_at", "key")).groupBy("key").agg(F.min(F.struct(*order, "_at")).alias("first"))
+    keys = [r.key for r in met.orderBy("first").limit(MOST_COLUMNS + 1).select("key").collect()]
+    if len(keys) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} different keys: declare fields")
+    return found.select(*[c for c in found.columns if c != "cells"], *[F.col("cells")[k].alias(k) for k in keys])
+
+
 def json_rows_native(documents: DataFrame, fields: dict, items: str | None = None, json: str = "json", keep: tuple[str, ...] = (), now: Column | None = None) -> DataFrame:
     """The same for static paths and at most one ``[]`` in the items path, JVM-side: VARIANT access and an exploded array.
 
