@@ -1,15 +1,18 @@
-"""Value cleaning as native columns: emptiness, numbers, prices, currencies, links, dates.
+"""Value cleaning as columns: emptiness, numbers, prices, currencies, links, dates.
 
-Every builder takes a column and returns a column; nothing here runs Python on the executors. White space is what
-JavaScript's ``\\s`` means, written out, because Java's differs.
+Every builder takes a column and returns a column. All are native but prices, currencies and dates, whose rules are in
+``texts``. White space is what JavaScript's ``\\s`` means, written out, because Java's differs.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import texts
+
 WS = r"[\t\n\x0B\f\r    -     　﻿]"
 
 
@@ -70,75 +73,26 @@ def mapped(c: Column, table: dict, to: str = "string") -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), c.cast("string")), c.cast(to) if to == "string" else c.try_cast(to))
 
 
-def _once(c: Column, build) -> Column:
-    """build(c) with c evaluated once, however often the expression names it."""
-    return F.get(F.transform(F.array(c), build), F.lit(0))
-
-
-def _decimal_text(c: Column) -> Column:
-    """An amount's text with its grouping marks removed and a point as decimal mark."""
-    return _once(F.regexp_replace(c, rf"{WS}|['’]", ""), _with_point)
-
-
-def _with_point(t: Column) -> Column:
-    commas = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
-    dots = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
-    no_commas, no_dots = F.replace(t, F.lit(","), F.lit("")), F.replace(t, F.lit("."), F.lit(""))
-    comma_last = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
-    one_comma = lambda x: F.regexp_replace(x, "^([^,]*),", "$1.")
-    return (
-        F.when((commas > 0) & (dots > 0), F.when(comma_last, one_comma(no_dots)).otherwise(no_commas))
-        .when(commas > 0, F.when((commas > 1) | F.regexp_like(t, F.lit(r",[0-9]{3}\z")), no_commas).otherwise(one_comma(t)))
-        .when(dots > 1, no_dots)
-        .otherwise(t)
-    )
-
-
-def _amount(c: Column) -> Column:
-    return F.regexp_extract(_decimal_text(c), r"^([0-9]+\.?[0-9]*)", 1).try_cast("double")
+def _each(work, kind: str):
+    """A column function that applies ``work`` to each distinct text of a batch once; null and '' stay null."""
 
+    @F.pandas_udf(kind)
+    def over(texts: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(texts, use_na_sentinel=True)
+        made = pd.Series([work(t) if t else None for t in distinct] + [None], dtype="float64" if kind == "double" else object)
+        return made.iloc[codes].reset_index(drop=True)
 
-#: Texts that mean a price of nothing; factors of the Korean number units.
-FREE = ["무료", "free", "gratis", "kostenlos", "無料", "免费"]
-UNITS = {"억": 1e8, "만": 1e4, "천": 1e3}
+    return over
 
 
 def price(c: Column) -> Column:
     """The amount in a price's text as a double."""
-    return F.when(c.cast("string") != "", _once(strip(c.cast("string")), _price))
-
-
-def _price(s: Column) -> Column:
-    sign = F.when(F.regexp_like(s, F.lit(r"^[-−]|^\(.*\)\z")), -1.0).otherwise(1.0)
-    pieces = F.regexp_extract_all(s, F.lit(rf"([0-9][0-9,.]*{WS}*[억만천]?)"), 1)
-    factor = lambda p: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in UNITS.items() for x in kv]), F.right(p, F.lit(1))), F.lit(1.0))
-    summed = F.aggregate(pieces, F.lit(0.0), lambda a, p: a + F.coalesce(_amount(F.regexp_extract(p, "^([0-9][0-9,.]*)", 1)), F.lit(0.0)) * factor(p))
-    first = F.regexp_extract(s, rf"([0-9](?:(?:[0-9.,'’]|{WS})*[0-9])?)", 1)
-    return (
-        F.when(F.lower(s).isin(FREE), 0.0)
-        .when(F.regexp_like(s, F.lit(rf"[0-9]{WS}*[억만천]")), sign * summed)
-        .when(first != "", sign * _amount(first))
-    )
-
-
-#: Currency codes that stand for themselves, then the ordered marks of others.
-CODES = "USD EUR GBP KRW JPY CNY HKD TWD AUD CAD NZD SGD CHF INR THB VND RUB TRY PLN BRL MXN SEK NOK DKK IDR MYR PHP ZAR AED SAR UAH".split()
-MARKS = [
-    (r"(?<![A-Za-z0-9_])RMB(?![A-Za-z0-9_])|人民币|元", "CNY"),
-    (r"(?i)US\$", "USD"), (r"(?i)CA?\$", "CAD"), (r"(?i)AU?\$", "AUD"), (r"(?i)HK\$", "HKD"), (r"(?i)NT\$", "TWD"),
-    (r"(?i)S\$", "SGD"), (r"(?i)NZ\$", "NZD"), (r"R\$", "BRL"), (r"(?iu)zł", "PLN"),
-    ("£", "GBP"), ("€", "EUR"), ("₩|원", "KRW"), ("円|¥|￥", "JPY"), ("₹", "INR"), ("₽", "RUB"), ("₫", "VND"), ("฿", "THB"), ("₺", "TRY"), ("₴", "UAH"), (r"\$", "USD"),
-]
+    return _each(texts.price, "double")(c.cast("string"))
 
 
 def currency(c: Column) -> Column:
     """The ISO 4217 code that a price's text names, by code, prefixed dollar, symbol or word; null if none."""
-    s = c.cast("string")
-    code = F.regexp_extract(s, rf"(?i)(?<![A-Za-z0-9_])({'|'.join(CODES)})(?![A-Za-z0-9_])", 1)
-    out = F.when(code != "", F.upper(code))
-    for pattern, name in MARKS:
-        out = out.when(F.regexp_like(s, F.lit(pattern)), name)
-    return out
+    return _each(texts.currency, "string")(c.cast("string"))
 
 
 #: Query parameters that only say where a link was shared.
@@ -172,95 +126,16 @@ def clean_url(c: Column) -> Column:
     return F.when(c.isNull() | (c.cast("string") == ""), None).when(F.size(keep) == F.size(parts), s).otherwise(rebuilt)
 
 
-SECONDS = "yyyy-MM-dd HH:mm:ss"
-#: Words of relative times.
-NOW_WORDS = ["just now", "now", "방금", "방금 전", "조금 전", "刚刚", "たった今"]
-DAY_WORDS = {"오늘": 0, "today": 0, "今日": 0, "今天": 0, "어제": 1, "yesterday": 1, "昨日": 1, "昨天": 1, "그저께": 2, "그제": 2, "day before yesterday": 2, "一昨日": 2, "前天": 2}
-UNIT_WORDS = {
-    "s": "s sec secs second seconds 초 秒", "m": "m min mins minute minutes 분 分 分钟", "h": "h hr hrs hour hours 시간 時間 小时",
-    "d": "d day days 일 日 天", "w": "w wk wks week weeks 주 週間 周", "mo": "mo mos month months 개월 달 か月 ヶ月 个月", "y": "y yr yrs year years 년 年",
-}
-LENGTHS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
-MONTHS = {m: k + 1 for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
-
-
-def _words(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-
-
-def _months_back(local: Column, months: Column) -> Column:
-    """A local time so many months earlier; a day that the month lacks runs over into the next one."""
-    first = F.add_months(F.trunc(local, "month"), -months)
-    day = F.date_add(first, F.dayofmonth(local) - 1)
-    return F.to_timestamp(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" "), F.date_format(local, "HH:mm:ss")), SECONDS)
-
-
 def date(c: Column, tz: str = "Asia/Seoul", now: Column | None = None) -> Column:
-    """See ``_date``. Its many forms would exceed the size of a generated method, so it is evaluated as a lambda over a
-    one-element array: only this expression is interpreted, the stage around it stays compiled."""
-    now = F.current_timestamp() if now is None else now
-    return _once(c.cast("string"), lambda text: _once(strip(text), lambda s: _once(F.lower(s), lambda low: _date(text, s, low, tz, now))))
-
-
-def _date(text: Column, s: Column, low: Column, tz: str, now: Column) -> Column:
-    """A time as ``yyyy-MM-dd HH:mm:ss`` in a zone (a day where only that is known); what is no date passes unchanged.
+    """The date or time in a text, in a zone; see ``texts.date``. Relative texts are measured from ``now``."""
 
-    Epoch numbers (seconds, milliseconds, microseconds by size), relative texts measured from ``now``, ISO texts, RFC
-    1123, ``Mon D, YYYY``, ``YYYY. M. D.`` and texts with the offset in the middle are read; without a zone a text keeps
-    its fields. The session's time zone plays no part where it is UTC, which the engine's sessions set.
-    """
-    local = lambda ts: F.date_format(F.from_utc_timestamp(ts, tz), SECONDS)
-
-    n = F.when(F.regexp_like(s, F.lit(r"^[0-9]{9,}(\.[0-9]+)?\z")), s.try_cast("double"))
-    micros = F.when(n < 1e11, n * 1e6).when(n > 1e14, n).otherwise(n * 1e3)
-    epoch = local(F.timestamp_micros(F.floor(micros / 1000).cast("bigint") * 1000))
-
-    days = F.try_element_at(_words(DAY_WORDS), low)
-    day_only = F.date_format(F.from_utc_timestamp(F.timestamp_seconds(F.unix_timestamp(now) - days * 86400), tz), "yyyy-MM-dd")
-    shape = rf"^([0-9]+|an?|one){WS}*([a-z가-힣぀-ヿ一-鿿]+?){WS}*(ago|전|前)?\z"
-    count = F.when(F.regexp_like(F.regexp_extract(low, shape, 1), F.lit("^[0-9]+$")), F.regexp_extract(low, shape, 1).try_cast("bigint")).otherwise(F.lit(1).cast("bigint"))
-    word, ago = F.regexp_extract(low, shape, 2), F.regexp_extract(low, shape, 3)
-    unit = F.try_element_at(_words({w: u for u, ws in UNIT_WORDS.items() for w in ws.split()}), word)
-    unit = F.when((ago != "") | word.isin(list(UNIT_WORDS)), unit)
-    seconds = F.try_element_at(_words(LENGTHS), unit)
-    there = F.from_utc_timestamp(now, tz)
-    relative = (
-        F.when(low.isin(NOW_WORDS), local(now))
-        .when(seconds.isNotNull(), local(F.timestamp_seconds(F.unix_timestamp(now) - count * seconds)))
-        .when(unit.isin("mo", "y"), F.date_format(_months_back(there, (count * F.when(unit == "y", 12).otherwise(1)).cast("int")), SECONDS))
-    )
+    @F.pandas_udf("string")
+    def over(cells: pd.Series, at: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(pd.MultiIndex.from_arrays([cells.fillna(""), at]))
+        made = pd.Series([texts.date(t, n, tz) if t else None for t, n in distinct], dtype=object)
+        return made.iloc[codes].reset_index(drop=True)
 
-    iso = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})(?:[T ]([0-9]{2}:[0-9]{2})(:[0-9]{2})?(?:\.[0-9]+)?)?\z"
-    tidy = F.when(F.regexp_extract(s, iso, 2) == "", F.regexp_extract(s, iso, 1)).otherwise(
-        F.concat(F.regexp_extract(s, iso, 1), F.lit(" "), F.regexp_extract(s, iso, 2), F.when(F.regexp_extract(s, iso, 3) == "", ":00").otherwise(F.regexp_extract(s, iso, 3)))
-    )
-    tidy = F.when(F.regexp_like(s, F.lit(iso)), tidy)
-
-    def built(pattern: str, year: int, month: int, day: int, clock: int, zone: int, names: bool) -> Column:
-        """One accepted form: its groups put together, shifted if it has a zone."""
-        g = lambda k: F.regexp_extract(s, pattern, k)
-        m = F.try_element_at(_words(MONTHS), F.lower(F.substring(g(month), 1, 3))) if names else g(month).try_cast("int")
-        hms = F.when(g(clock) == "", "00:00:00").when(F.regexp_like(g(clock), F.lit("^[0-9]{1,2}:[0-9]{2}$")), F.concat(F.lpad(g(clock), 5, "0"), F.lit(":00"))).otherwise(F.lpad(g(clock), 8, "0"))
-        wall = F.try_to_timestamp(F.concat(g(year), F.lit("-"), F.lpad(m.cast("string"), 2, "0"), F.lit("-"), F.lpad(g(day), 2, "0"), F.lit(" "), hms), F.lit(SECONDS))
-        plain = F.date_format(wall, SECONDS)
-        if not zone:
-            return F.when(F.regexp_like(s, F.lit(pattern)), plain)
-        offset = F.regexp_replace(g(zone), ":", "")
-        minutes = F.when(F.regexp_like(offset, F.lit(r"^[+-][0-9]{4}$")), F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1) * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 4, 2).try_cast("int"))).otherwise(0)
-        shifted = local(F.timestamp_seconds(F.unix_timestamp(wall) - minutes * 60))
-        return F.when(F.regexp_like(s, F.lit(pattern)), F.when(g(zone) == "", plain).otherwise(shifted))
-
-    zone = r"(Z|GMT|UTC|[+-][0-9]{2}:?[0-9]{2})"
-    clock = r"([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)"
-    forms = [
-        built(rf"(?i)^([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}})[T ]{clock}(?:\.[0-9]+)? ?{zone}\z", 1, 2, 3, 4, 5, False),
-        built(rf"(?i)^(?:[a-z]{{3,9}}, )?([0-9]{{1,2}}) ([a-z]{{3,9}}) ([0-9]{{4}})(?: {clock})?(?: ?{zone})?\z", 3, 2, 1, 4, 5, True),
-        built(rf"(?i)^[a-z]{{3}} ([a-z]{{3}}) ([0-9]{{1,2}}) {clock} ([+-][0-9]{{4}}) ([0-9]{{4}})\z", 5, 1, 2, 3, 4, True),
-        built(rf"(?i)^(?:[a-z]{{3,9}}, )?([a-z]{{3,9}})\.? ([0-9]{{1,2}}),? ([0-9]{{4}})(?:,? {clock})?(?: ?{zone})?\z", 3, 1, 2, 4, 5, True),
-        built(rf"^([0-9]{{4}})\. ?([0-9]{{1,2}})\. ?([0-9]{{1,2}})\.?(?: {clock})?\z", 1, 2, 3, 4, 0, False),
-        built(rf"^([0-9]{{4}})/([0-9]{{1,2}})/([0-9]{{1,2}})(?: {clock})?\z", 1, 2, 3, 4, 0, False),
-    ]
-    return F.when(text.isNull() | (text == ""), None).otherwise(F.coalesce(epoch, day_only, relative, tidy, *forms, text))
+    return over(c.cast("string"), F.unix_micros(F.current_timestamp() if now is None else now.cast("timestamp")) / 1e6)
 
 
 def kind_of(c: Column, dtype: T.DataType | None = None) -> Column:
