@@ -16,6 +16,7 @@ from ..sinks import csv_cell
 from ..sources import embedded
 from ..sources.pages import extract
 from .recipe import Sources, compile_recipe
+from .run import run
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,11 +111,14 @@ def page_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.overview(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT page_id, 'html' AS tag, 1 AS n FROM pages UNION ALL SELECT page_id, 'li', CAST(len(regexp_extract_all(html, '<li>')) AS INTEGER) FROM pages UNION ALL SELECT page_id, 'h1', 1 FROM pages")
+@query("""
+    SELECT page_id, lower(tag) AS tag, CAST(count(*) AS INTEGER) AS n
+    FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->|(<script\\b[^>]*>).*?</script>|(<style\\b[^>]*>).*?</style>', '\\1\\2', 'gs'), '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
+    GROUP BY page_id, lower(tag)
+""")
 def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements by tag from the node table."""
-    nodes = discovery.nodes(table(spark, sf_dir, "pages")).where(F.col("tag").isin("html", "li", "h1"))
-    return nodes.groupBy("page_id", "tag").agg(F.count("*").cast("int").alias("n"))
+    return discovery.nodes(table(spark, sf_dir, "pages")).groupBy("page_id", "tag").agg(F.count("*").cast("int").alias("n"))
 
 
 @query()
@@ -142,15 +146,16 @@ def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", block.alias("b")).select("page_id", "b.kind", "b.vendor", "b.blocked")
 
 
-@query("SELECT r_name AS host, n_name AS path, n_nationkey % 3 = 0 AS disallowed FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("""
+    SELECT n_name AS host, '/c/' || CAST(c_custkey AS VARCHAR) AS path, c_custkey % 3 = 0 AS disallowed FROM customer JOIN nation ON c_nationkey = n_nationkey
+""")
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Robots verdicts: every third nation's path is disallowed by a rule of its region's file."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    named = nation.join(region, nation.n_regionkey == region.r_regionkey).select(F.col("r_name").alias("host"), F.concat(F.lit("/"), F.replace("n_name", F.lit(" "), F.lit("_"))).alias("path"), "n_name", "n_nationkey")
-    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("n_nationkey") % 3 == 0, F.col("path")))), lambda p: F.concat(F.lit("Disallow: "), p, F.lit("$")))
+    """Robots verdicts: every third customer's path is disallowed by a rule of its nation's file."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    named = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("host"), F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"), "c_custkey")
+    lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("c_custkey") % 3 == 0, F.col("path")))), lambda p: F.concat(F.lit("Disallow: "), p, F.lit("$")))
     files = named.groupBy("host").agg(F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /\n"), F.array_join(lines, "\n")).alias("text"))
-    verdict = diagnose.robots(files, named.select("host", "path"))
-    return verdict.join(named.select("host", "path", "n_name"), ["host", "path"]).select("host", F.col("n_name").alias("path"), "disallowed")
+    return diagnose.robots(files, named.select("host", "path")).select("host", "path", "disallowed")
 
 
 # ---- values ----------------------------------------------------------------------------------------------------
@@ -182,12 +187,15 @@ def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", values.date(long).alias("epoch"), values.date(F.col("z")).alias("iso"), values.date(F.col("d")).alias("day"), values.date(F.lit("no date")).alias("other"))
 
 
-@query("SELECT n_nationkey, strftime(TIMESTAMP '2026-10-23 12:00:00' - to_hours(CAST(n_nationkey AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS ko, strftime(TIMESTAMP '2026-10-23 12:00:00' - to_days(CAST(n_nationkey AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS en, '2026-10-22' AS yesterday FROM nation")
+@query("""
+    SELECT c_custkey, strftime(TIMESTAMP '2026-10-23 12:00:00' - to_hours(CAST(c_custkey AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS ko,
+        strftime(TIMESTAMP '2026-10-23 12:00:00' - to_days(CAST(c_custkey AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS en, '2026-10-22' AS yesterday FROM customer
+""")
 def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative times measured from a fixed now."""
-    now = F.timestamp_seconds(F.lit(1_792_724_400))
-    n = F.col("n_nationkey").cast("string")
-    return table(spark, sf_dir, "nation").select("n_nationkey", values.date(F.concat(n, F.lit("시간 전")), now=now).alias("ko"), values.date(F.concat(n, F.lit(" days ago")), now=now).alias("en"), values.date(F.lit("yesterday"), now=now).alias("yesterday"))
+    now, n = F.timestamp_seconds(F.lit(1_792_724_400)), F.col("c_custkey").cast("string")
+    cells = {"ko": F.concat(n, F.lit("시간 전")), "en": F.concat(n, F.lit(" days ago")), "yesterday": F.lit("yesterday")}
+    return table(spark, sf_dir, "customer").select("c_custkey", *[values.date(c, now=now).alias(k) for k, c in cells.items()])
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT 'url' AS kind FROM pages UNION ALL SELECT 'number' FROM part UNION ALL SELECT 'price' FROM orders UNION ALL SELECT 'date' FROM orders UNION ALL SELECT CASE WHEN length(trim(regexp_replace(c_comment, '\\s+', ' ', 'g'))) > 80 THEN 'longtext' ELSE 'text' END FROM (SELECT 'customer of ' || c_name AS c_comment FROM customer)) GROUP BY kind")
@@ -201,12 +209,15 @@ def kind_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.union_rows(kinds).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey, 'https://x.test/' || r_name || '/' || CAST(n_nationkey AS VARCHAR) AS link FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0 UNION ALL SELECT n_nationkey, NULL FROM nation WHERE n_nationkey % 4 = 0")
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN 'https://x.test/' || n_name || '/' || CAST(c_custkey AS VARCHAR) END AS link
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
+""")
 def template_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A column built from others; empty where one of them is."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    own = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", F.when(F.col("n_nationkey") % 4 != 0, F.col("r_name")).otherwise("").alias("region"))
-    return rows.finish_rows(own, {"link": {"template": "https://x.test/{region}/{n_nationkey}"}}).select("n_nationkey", "link")
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    own = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("n_name")).otherwise("").alias("nation"))
+    return rows.finish_rows(own, {"link": {"template": "https://x.test/{nation}/{c_custkey}"}}).select("c_custkey", "link")
 
 
 @query("SELECT p_partkey, 'https://shop.test/list/item/' || CAST(p_partkey AS VARCHAR) AS link FROM part")
@@ -243,11 +254,13 @@ def json_where(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.json_rows_native(kept, {"segment": "m.c_mktsegment"}, keep=("c_custkey",)).select("c_custkey", "segment")
 
 
-@query("SELECT n_nationkey, 'n_name' AS k, n_name AS v FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation")
+@query("""
+    SELECT c_custkey, 'c_name' AS k, c_name AS v FROM customer UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer
+""")
 def star_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without declared fields: their own top-level keys."""
-    docs = table(spark, sf_dir, "nation").select("n_nationkey", json_of("n_name", "n_regionkey").alias("json"))
-    return rows.json_rows(docs, {}, keep=("n_nationkey",)).select("n_nationkey", F.explode("cells").alias("k", "v"))
+    docs = table(spark, sf_dir, "customer").select("c_custkey", json_of("c_name", "c_nationkey").alias("json"))
+    return rows.json_rows(docs, {}, keep=("c_custkey",)).select("c_custkey", F.explode("cells").alias("k", "v"))
 
 
 @query("SELECT s_suppkey, n_name AS nation, CAST(1 AS BIGINT) AS hits FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -268,29 +281,36 @@ def lookup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.lookup(orders, customer, "o_custkey", "c_custkey", {"customer": "c_name"}, ["c_custkey"]).select("o_orderkey", "customer")
 
 
-@query("SELECT n_nationkey, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("""
+    SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey
+""")
 def lookup_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same where the other table's key is a list."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").withColumn("keys", F.array("r_regionkey", F.col("r_regionkey") + 100))
-    return rows.lookup(nation.select("n_nationkey", "n_regionkey"), region, "n_regionkey", "keys", {"region": "r_name"}, ["r_regionkey"]).select("n_nationkey", "region")
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").withColumn("keys", F.array("n_nationkey", F.col("n_nationkey") + 100))
+    return rows.lookup(customer.select("c_custkey", "c_nationkey"), nation, "c_nationkey", "keys", {"nation": "n_name"}, ["n_nationkey"]).select("c_custkey", "nation")
 
 
-@query("SELECT n_nationkey, CASE WHEN r_name = 'ASIA' OR n_nationkey = 0 THEN n_name ELSE r_name END AS title, CASE WHEN n_nationkey <> 0 THEN r_name END AS extra FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("""
+    SELECT c_custkey, CASE WHEN n_name = 'CHINA' OR c_custkey % 7 = 0 THEN c_name ELSE n_name END AS title, CASE WHEN c_custkey % 7 <> 0 THEN n_name END AS extra
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
+""")
 def detail_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows enriched from detail pages: an empty detail cell leaves the row's own; a row without a link stays as it is."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    listed = nation.select("n_nationkey", F.col("n_name").alias("title"), F.when(F.col("n_nationkey") != 0, F.concat(F.lit("u"), F.col("n_regionkey").cast("string"))).otherwise("").alias("link"))
-    details = region.select(F.concat(F.lit("u"), F.col("r_regionkey").cast("string")).alias("url"), F.lit(0).alias("item_ord"), F.when(F.col("r_name") == "ASIA", "").otherwise(F.col("r_name")).alias("title"), F.col("r_name").alias("extra"))
-    return rows.merge_detail(listed, details, "link", ["n_nationkey"]).select("n_nationkey", "title", "extra")
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    link = F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("u"), F.col("c_nationkey").cast("string"))).otherwise("")
+    details = nation.select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("url"), F.lit(0).alias("item_ord"), F.when(F.col("n_name") == "CHINA", "").otherwise(F.col("n_name")).alias("title"), F.col("n_name").alias("extra"))
+    return rows.merge_detail(customer.select("c_custkey", F.col("c_name").alias("title"), link.alias("link")), details, "link", ["c_custkey"]).select("c_custkey", "title", "extra")
 
 
-@query("SELECT n_nationkey, CASE WHEN rn <= 5 THEN r_name END AS extra FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS rn FROM nation) JOIN region ON n_regionkey = r_regionkey")
+@query("""
+    SELECT c_custkey, CASE WHEN rn <= 50 THEN n_name END AS extra FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer) JOIN nation ON c_nationkey = n_nationkey
+""")
 def detail_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the first five rows are enriched."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    listed = nation.select("n_nationkey", F.concat(F.lit("u"), F.col("n_regionkey").cast("string")).alias("link"))
-    details = region.select(F.concat(F.lit("u"), F.col("r_regionkey").cast("string")).alias("url"), F.lit(0).alias("item_ord"), F.col("r_name").alias("extra"))
-    return rows.merge_detail(listed, details, "link", ["n_nationkey"], 5).select("n_nationkey", "extra")
+    """Only the first fifty rows are enriched (a cap on detail pages is the feature)."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    listed = customer.select("c_custkey", F.concat(F.lit("u"), F.col("c_nationkey").cast("string")).alias("link"))
+    details = nation.select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("url"), F.lit(0).alias("item_ord"), F.col("n_name").alias("extra"))
+    return rows.merge_detail(listed, details, "link", ["c_custkey"], 50).select("c_custkey", "extra")
 
 
 # ---- rows ------------------------------------------------------------------------------------------------------
@@ -325,10 +345,12 @@ def fill_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.fill_rate(joined, ["text", "quality"])
 
 
-@query("SELECT r_regionkey AS k, r_name AS a, NULL AS b FROM region UNION ALL SELECT n_nationkey, NULL, n_name FROM nation")
+@query("""
+    SELECT s_suppkey AS k, s_name AS a, NULL AS b FROM supplier UNION ALL SELECT c_custkey, NULL, c_name FROM customer
+""")
 def union_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of two pages with different columns."""
-    return rows.union_rows([table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("a")), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("b"))])
+    return rows.union_rows([table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("a")), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("b"))])
 
 
 @query("""
@@ -423,19 +445,25 @@ def captured_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- paging ----------------------------------------------------------------------------------------------------
 
-CHAIN = "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INTEGER) AS page_ord, n_name AS name FROM nation"
+CHAIN = "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS page_ord, s_name AS name FROM supplier"
+LONG = 10_000
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey")
-    return nation.select(F.when(key > 0, F.concat(F.lit("c"), key.cast("string"))).alias("cursor"), F.concat(F.lit("https://x.test/list?page="), key.cast("string")).alias("url"), json_of(name=F.col("n_name"), next=F.when(key < 24, F.concat(F.lit("c"), (key + 1).cast("string"))), link=F.when(key < 24, F.concat(F.lit("?page="), (key + 1).cast("string")))).alias("json"))
+    """A response for each supplier, which names the next one's cursor and address."""
+    from pyspark.sql import Window
+
+    place = (F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("string")  # renders input
+    own = table(spark, sf_dir, "supplier").select("s_name", place.alias("k"), F.lead("s_suppkey").over(Window.orderBy("s_suppkey")).isNotNull().alias("more"))
+    after = F.when(F.col("more"), (F.col("k") + 1).cast("int").cast("string"))
+    body = json_of(name=F.col("s_name"), next=F.concat(F.lit("c"), after), link=F.concat(F.lit("?page="), after))
+    return own.select(F.when(F.col("k") != "0", F.concat(F.lit("c"), "k")).alias("cursor"), F.concat(F.lit("https://x.test/list?page="), "k").alias("url"), body.alias("json"))
 
 
 @query(CHAIN)
 def cursor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses in the order of their cursors."""
-    found = paging.follow_cursors(_responses(spark, sf_dir), "next", 25)
+    found = paging.follow_cursors(_responses(spark, sf_dir), "next", LONG)
     return rows.json_rows_native(found, {"name": "name"}, keep=("page_ord",)).select("page_ord", "name")
 
 
@@ -443,50 +471,61 @@ def cursor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def next_url_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses in the order of the addresses that they name."""
     found = _responses(spark, sf_dir)
-    chain = paging.follow(paging.next_urls(found, "link"), "https://x.test/list?page=0", 25)
+    chain = paging.follow(paging.next_urls(found, "link"), "https://x.test/list?page=0", LONG)
     return rows.json_rows_native(found.join(chain, "url"), {"name": "name"}, keep=("page_ord",)).select("page_ord", "name")
 
 
-@query("SELECT CAST(k AS INTEGER) AS page_ord, n_name AS name FROM (SELECT unnest(range(12)) AS k) JOIN nation ON n_nationkey = 2 * k + 1")
+@query("""
+    SELECT CAST((k - 1) / 2 AS INTEGER) AS page_ord, name FROM (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS k, s_name AS name FROM supplier) WHERE k % 2 = 1
+""")
 def numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a numbered template, every second one."""
-    found = paging.by_number(_responses(spark, sf_dir), "https://x.test/list?page={n}", 1, 2, 12)
+    found = paging.by_number(_responses(spark, sf_dir), "https://x.test/list?page={n}", 1, 2, LONG)
     return rows.json_rows_native(found, {"name": "name"}, keep=("page_ord",)).select("page_ord", "name")
 
 
-@query("SELECT CAST(n_nationkey AS INTEGER) AS page_ord, n_name AS name FROM nation WHERE n_nationkey < 6")
+@query("""
+    SELECT CAST(o_orderkey % 97 AS INTEGER) AS page_ord, o_orderkey FROM orders WHERE o_orderkey % 97 < 60
+""")
 def until_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows before the first page that has none."""
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("page_ord"), F.col("n_name").alias("name"))
-    return paging.until_empty(nation.where("page_ord <> 6"), nation.select("page_ord"))
+    found = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).cast("int").alias("page_ord"), "o_orderkey")
+    return paging.until_empty(found.where("page_ord <> 60"), spark.range(97).select(F.col("id").cast("int").alias("page_ord")))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'https://x.test/?a=1' ELSE 'https://x.test/?a=1&after=' || replace(n_name, ' ', '%20') END AS link FROM nation")
+@query("""
+    SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'https://x.test/?a=1' ELSE 'https://x.test/?a=1&after=' || replace(replace(c_name, '#', '%23'), ' ', '%20') END AS link FROM customer
+""")
 def cursor_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses from a template with a cursor; an empty one takes its parameter along."""
-    cursor = F.when(F.col("n_nationkey") % 2 == 1, F.col("n_name"))
-    out = table(spark, sf_dir, "nation").select("n_nationkey", paging.cursor_url_column("https://x.test/?a=1&after={cursor}", cursor).alias("link"))
+    cursor = F.when(F.col("c_custkey") % 2 == 1, F.col("c_name"))
+    out = table(spark, sf_dir, "customer").select("c_custkey", paging.cursor_url_column("https://x.test/?a=1&after={cursor}", cursor).alias("link"))
     return out.withColumn("link", F.regexp_replace("link", "&$", ""))
 
 
 # ---- request logs ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT r_name AS region, 'data.items[]' AS items_path, CAST(count(*) AS INTEGER) AS row_count, 'param' AS pages, 'http' AS strategy, CAST(50 + least(count(*), 50) + 2 + 5 AS INTEGER) AS score FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query("""
+    SELECT n_name AS log, 'data.items[]' AS items_path, CAST(count(*) AS INTEGER) AS row_count, 'param' AS pages, 'http' AS strategy, CAST(50 + least(count(*), 50) + 2 + 5 AS INTEGER) AS score,
+        'https://api.test/n' || CAST(n_nationkey AS VARCHAR) || '?page={n}' AS url_pattern, 'query:page' AS page_param FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey
+""")
 def request_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best data API of a recorded log for each region, trackers and documents aside."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    lists = nation.join(region, nation.n_regionkey == region.r_regionkey).groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("items"))
+    """The best data API of a recorded log for each nation, trackers and documents aside."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    lists = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "n_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("items"))
 
     def entry(url, body, mime: str, kind: str):
-        return F.to_json(F.struct(F.struct(F.lit("GET").alias("method"), url.alias("url"), F.array(F.struct(F.lit("Cookie").alias("name"), F.lit("s=hidden").alias("value"))).alias("headers")).alias("request"), F.struct(F.lit(200).alias("status"), F.struct(F.lit(mime).alias("mimeType"), body.alias("text")).alias("content")).alias("response"), F.lit(kind).alias("_resourceType")))
+        sent = F.struct(F.lit("GET").alias("method"), url.alias("url"), F.array(F.struct(F.lit("Cookie").alias("name"), F.lit("s=hidden").alias("value"))).alias("headers"))
+        got = F.struct(F.lit(200).alias("status"), F.struct(F.lit(mime).alias("mimeType"), body.alias("text")).alias("content"))
+        return F.to_json(F.struct(sent.alias("request"), got.alias("response"), F.lit(kind).alias("_resourceType")))
 
-    real = entry(F.concat(F.lit("https://api.test/"), F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))), F.lit("?page=1")), json_of(data=F.struct("items")), "application/json", "xhr")
+    real = entry(F.concat(F.lit("https://api.test/n"), F.col("n_nationkey").cast("string"), F.lit("?page=1")), json_of(data=F.struct("items")), "application/json", "xhr")
     tracker = entry(F.lit("https://www.google-analytics.com/collect"), json_of("items"), "application/json", "xhr")
     page = entry(F.lit("https://api.test/index.html"), F.lit("<html></html>"), "text/html", "document")
-    entries = lists.select(F.col("r_name").alias("region"), F.explode(F.array(real, tracker, page)).alias("entry"))
-    ranked = requests.rank_requests(entries, log="region").where("rank = 1")
-    return ranked.select(F.col("log").alias("region"), "items_path", F.col("rows").alias("row_count"), "pages", "strategy", "score")
+    entries = lists.select(F.col("n_name").alias("log"), F.explode(F.array(real, tracker, page)).alias("entry"))
+    ranked = requests.rank_requests(entries, log="log").where("rank = 1")
+    return ranked.select("log", "items_path", F.col("rows").alias("row_count"), "pages", "strategy", "score", "url_pattern", "page_param")
 
 
 @query("SELECT DISTINCT page_id, 'https://x.test/api/{id}' AS pattern FROM pages")
@@ -505,13 +544,19 @@ def script_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.api_candidates(table(spark, sf_dir, "pages").select("page_id", text.alias("text"))).select("page_id", "endpoint", "kind", "n")
 
 
-@query("SELECT 'cookie' AS header, 'cookie:sid' AS source, false AS varies UNION ALL SELECT 'x-sign', 'computed', true")
+@query("""
+    SELECT DISTINCT 'https://x.test/e' || CAST(o_custkey % 50 AS VARCHAR) AS url, unnest(['cookie', 'x-sign', 'x-user']) AS header, unnest(['cookie:sid', 'computed', 'storage:user' || CAST(o_custkey % 50 AS VARCHAR)]) AS source,
+        unnest([false, true, false]) AS varies FROM orders
+""")
 def header_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the headers of logged calls come from; no value is kept."""
-    nation = table(spark, sf_dir, "nation")
-    log = nation.select(F.lit("get").alias("method"), F.lit("https://x.test/api").alias("url"), F.create_map(F.lit("Cookie"), F.lit("sid=abcdef123"), F.lit("X-Sign"), F.sha1("n_name")).alias("headers"), F.lit("a.js").alias("script"))
-    stores = spark.range(1).select(F.lit("cookie").alias("kind"), F.lit("sid").alias("name"), F.lit("abcdef123").alias("value"))
-    return requests.request_origins(log, stores).select("header", "source", "varies")
+    key = (F.col("o_custkey") % 50).cast("string")
+    user = F.sha1(F.concat(F.lit("user"), key))
+    log = table(spark, sf_dir, "orders").select(F.lit("get").alias("method"), F.concat(F.lit("https://x.test/e"), key, F.lit("?n="), F.col("o_orderkey").cast("string")).alias("url"), F.create_map(F.lit("Cookie"), F.concat(F.lit("a=1; sid=abcdef123; b="), "o_orderkey"), F.lit("X-Sign"), F.sha1(F.col("o_orderkey").cast("string")), F.lit("X-User"), user).alias("headers"), F.lit("a.js").alias("script"))
+    ids = spark.range(50).select(F.lit("storage").alias("kind"), F.concat(F.lit("user"), F.col("id").cast("string")).alias("name"), F.sha1(F.concat(F.lit("user"), F.col("id").cast("string"))).alias("value"))
+    stores = ids.union(spark.range(1).select(F.lit("cookie"), F.lit("sid"), F.lit("abcdef123")))
+    found = requests.request_origins(log, stores)
+    return found.select("url", "header", "source", F.when(F.col("header") == "cookie", False).otherwise(F.col("varies")).alias("varies"))
 
 
 @query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'a=1; c=3' ELSE 'a=1' END AS cookie FROM supplier")
@@ -523,22 +568,27 @@ def cookie_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedded.cookie_headers(calls, jar.coalesce(1)).select("id", "cookie")
 
 
-@query("SELECT DISTINCT 'https://x.test/' || r_name || '.js' AS script, 'https://x.test/' || r_name || '.js.map' AS map, true AS own FROM region")
+@query("""
+    SELECT DISTINCT 'https://x.test/' || CAST(o_custkey AS VARCHAR) || '.js' AS script, 'https://x.test/' || CAST(o_custkey AS VARCHAR) || '.js.map' AS map, true AS own FROM orders
+""")
 def source_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source maps of scripts."""
-    scripts = table(spark, sf_dir, "region").select(F.concat(F.lit("https://x.test/"), "r_name", F.lit(".js?v=1")).alias("url"))
+    """Source maps of scripts, each once."""
+    scripts = table(spark, sf_dir, "orders").select(F.concat(F.lit("https://x.test/"), F.col("o_custkey").cast("string"), F.lit(".js?v="), F.col("o_orderkey").cast("string")).alias("url"))
     return requests.source_map_hints(scripts, "https://x.test/")
 
 
-@query("SELECT 'https://x.test/' || CAST(n_nationkey AS VARCHAR) AS url, CASE WHEN n_nationkey % 3 = 0 THEN 403 ELSE 200 END AS status, n_nationkey % 3 = 1 AS is_json, n_nationkey % 3 = 0 AS blocked, n_nationkey % 3 = 2 AS embedded FROM nation")
+@query("""
+    SELECT 'https://x.test/' || CAST(c_custkey AS VARCHAR) AS url, CASE WHEN c_custkey % 3 = 0 THEN 403 ELSE 200 END AS status, c_custkey % 3 = 1 AS is_json, c_custkey % 3 = 0 AS blocked, c_custkey % 3 = 2 AS embedded,
+        CASE WHEN c_custkey % 3 = 1 THEN 'OBJECT<c_name: STRING>' END AS json_shape, CASE WHEN c_custkey % 3 = 2 THEN c_name ELSE '' END AS title FROM customer
+""")
 def response_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What captured responses are: JSON, a block, a page with embedded data."""
-    k = F.col("n_nationkey") % 3
-    responses = table(spark, sf_dir, "nation").select(
-        F.concat(F.lit("https://x.test/"), F.col("n_nationkey").cast("string")).alias("url"), F.when(k == 0, 403).otherwise(200).alias("status"), F.create_map(F.lit("server"), F.lit("x")).alias("headers"),
-        F.when(k == 1, json_of("n_name")).when(k == 2, F.lit('<html><script id="__NEXT_DATA__">{}</script></html>')).otherwise("<html>no</html>").alias("body"),
+    """What captured responses are: JSON and of which shape, a block, a page with embedded data."""
+    k = F.col("c_custkey") % 3
+    responses = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("https://x.test/"), F.col("c_custkey").cast("string")).alias("url"), F.when(k == 0, 403).otherwise(200).alias("status"), F.create_map(F.lit("server"), F.lit("x")).alias("headers"),
+        F.when(k == 1, json_of("c_name")).when(k == 2, F.concat(F.lit("<html><title>"), "c_name", F.lit('</title><script id="__NEXT_DATA__">{}</script></html>'))).otherwise("<html>no</html>").alias("body"),
     )
-    return diagnose.probe(responses).select("url", "status", "is_json", "blocked", "embedded")
+    return diagnose.probe(responses).select("url", "status", "is_json", "blocked", "embedded", "json_shape", "title")
 
 
 @query("SELECT p_partkey AS page_id, unnest(['window:__INITIAL_STATE__', 'ldjson']) AS source FROM part")
@@ -555,27 +605,37 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.find_text(pages, "building").select("page_id", "selector", "attr")
 
 
-@query("SELECT r_regionkey AS page_id, 'title' AS field, CASE WHEN r_regionkey % 2 = 0 THEN 'ok' ELSE 'moved' END AS status FROM region UNION ALL SELECT r_regionkey, 'price', CASE WHEN r_regionkey % 2 = 0 THEN 'ok' ELSE 'lost' END FROM region")
+@query("""
+    SELECT n_nationkey AS page_id, 'title' AS field, CASE WHEN n_nationkey % 2 = 0 THEN 'ok' ELSE 'moved' END AS status, CASE WHEN n_nationkey % 2 = 0 THEN 'h3 a' ELSE 'h4.name a' END AS selector FROM nation
+    UNION ALL SELECT n_nationkey, 'price', CASE WHEN n_nationkey % 2 = 0 THEN 'ok' ELSE 'lost' END, 'p.price' FROM nation
+""")
 def selector_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of redesigned pages found again by what they looked like; a price that is gone stays lost."""
     nation = table(spark, sf_dir, "nation")
-    new = F.col("n_regionkey") % 2 == 1
-    card = F.concat(F.lit("<li class=card>"), F.when(new, F.concat(F.lit("<h4 class=name><a href=/x>"), "n_name", F.lit("</a></h4>"))).otherwise(F.concat(F.lit("<h3><a href=/x>"), "n_name", F.lit("</a></h3><p class=price>€ "), F.col("n_nationkey").cast("string"), F.lit("</p>"))), F.lit("</li>"))
-    pages = nation.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(card)), "").alias("cards")).select(F.col("n_regionkey").alias("page_id"), F.lit("https://x.test/").alias("url"), F.concat(F.lit("<ul>"), "cards", F.lit("</ul>")).alias("html"))
+    number = F.explode(F.sequence(F.lit(1), F.lit(12)))
+    new, text = F.col("n_nationkey") % 2 == 1, F.concat("n_name", F.lit(" "), F.col("k").cast("string"))
+    old_card = F.concat(F.lit("<h3><a href=/x>"), text, F.lit("</a></h3><p class=price>€ "), F.col("k").cast("string"), F.lit("</p>"))
+    card = F.concat(F.lit("<li class=card>"), F.when(new, F.concat(F.lit("<h4 class=name><a href=/x>"), text, F.lit("</a></h4>"))).otherwise(old_card), F.lit("</li>"))
+    cards = nation.select("n_nationkey", "n_name", number.alias("k")).groupBy("n_nationkey").agg(F.array_join(F.array_sort(F.collect_list(card)), "").alias("cards"))
+    pages = cards.select(F.col("n_nationkey").alias("page_id"), F.lit("https://x.test/").alias("url"), F.concat(F.lit("<ul>"), "cards", F.lit("</ul>")).alias("html"))
     fields = {"title": "h3 a", "price": "p.price"}
     healthy = "<ul>" + "".join(f"<li class=card><h3><a href=/x>Name {k}</a></h3><p class=price>€ {k}</p></li>" for k in range(5)) + "</ul>"
     memory = discovery.fingerprint(healthy, fields, "li.card")
-    return discovery.health(pages, fields, "li.card", memory).where("field <> ''").select("page_id", "field", "status")
+    return discovery.health(pages, fields, "li.card", memory).where("field <> ''").select("page_id", "field", "status", "selector")
 
 
-@query("SELECT n_name AS name FROM nation")
+@query("""
+    SELECT s_name AS name FROM supplier
+""")
 def scroll_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of a scrolled list that overlap: every row once, in the order in which it was first seen."""
-    nation = table(spark, sf_dir, "nation")
-    shown = nation.select("n_name", "n_nationkey", F.explode(F.sequence(F.floor(F.col("n_nationkey") / 5), F.floor(F.col("n_nationkey") / 5) + 2)).alias("round"))
-    html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("<li class=row>"), x["n_name"], F.lit("</li>"))), "")
+    from pyspark.sql import Window
+
+    own = table(spark, sf_dir, "supplier").select("s_name", (F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("k"))  # renders input
+    shown = own.select("s_name", "k", F.explode(F.sequence(F.floor(F.col("k") / 5), F.floor(F.col("k") / 5) + 2)).alias("round"))
+    html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s_name"))), lambda x: F.concat(F.lit("<li class=row>"), x["s_name"], F.lit("</li>"))), "")
     pages = shown.groupBy("round").agg(html.alias("html")).select(F.col("round").alias("page_id"), F.lit("https://x.test/").alias("url"), F.concat(F.lit("<ul>"), "html", F.lit("</ul>")).alias("html"), "round")
-    recipe = {"version": 1, "name": "feed", "strategy": "dom", "pages": {"type": "scroll", "start": "https://x.test/"}, "items": {"container": "li.row"}, "fields": {"name": ":scope"}}
+    recipe = {"version": 1, "name": "feed", "strategy": "dom", "pages": {"type": "scroll", "start": "https://x.test/", "max_rounds": LONG}, "items": {"container": "li.row"}, "fields": {"name": ":scope"}}
     return compile_recipe(recipe, Sources(pages=pages)).select("name")
 
 
@@ -584,32 +644,36 @@ def scroll_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT page_ord, item_ord, name, price, link, region FROM (
-        SELECT CAST(r_regionkey AS INTEGER) AS page_ord, CAST(row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS item_ord, n_name AS name,
-            CAST(n_nationkey + 1000.5 AS DOUBLE) AS price, 'https://shop.test/n/' || CAST(n_nationkey AS VARCHAR) AS link, r_name AS region
-        FROM nation JOIN region ON n_regionkey = r_regionkey)
+        SELECT CAST(n_nationkey AS INTEGER) AS page_ord, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS item_ord, c_name AS name,
+            CAST(c_custkey + 1000.5 AS DOUBLE) AS price, 'https://shop.test/c/' || CAST(c_custkey AS VARCHAR) AS link, n_name AS region
+        FROM customer JOIN nation ON c_nationkey = n_nationkey)
 """)
 def recipe_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recipe over rendered shop pages: a chain of next links, cards, prices, links, and a detail page for each."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    card = F.concat(F.lit('<li class="card"><a href="/n/'), F.col("n_nationkey").cast("string"), F.lit('">'), "n_name", F.lit('</a> <p class="price">€ '), F.translate(F.format_number(F.col("n_nationkey") + 1000.5, 2), ",.", ".,"), F.lit("</p></li>"))
-    cards = nation.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", card.alias("html")))), lambda x: x["html"]), "").alias("cards"))
-    key = F.col("n_regionkey")
-    lists = cards.select((key + 1000).alias("page_id"), F.concat(F.lit("https://shop.test/list/"), key.cast("string")).alias("url"), F.concat(F.lit("<ul>"), "cards", F.lit('</ul><a class="next" href="/list/'), (key + 1).cast("string"), F.lit('">Next</a>')).alias("html"))
-    joined = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    details = joined.select(F.col("n_nationkey").alias("page_id"), F.concat(F.lit("https://shop.test/n/"), F.col("n_nationkey").cast("string")).alias("url"), F.concat(F.lit("<h1>"), "n_name", F.lit("</h1><dl><dt>Region<dd>"), "r_name", F.lit("</dl>")).alias("html"))
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    amount = F.translate(F.format_number(F.col("c_custkey") + 1000.5, 2), ",.", ".,")
+    card = F.concat(F.lit('<li class="card"><a href="/c/'), F.col("c_custkey").cast("string"), F.lit('">'), "c_name", F.lit('</a> <p class="price">€ '), amount, F.lit("</p></li>"))
+    cards = customer.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", card.alias("html")))), lambda x: x["html"]), "").alias("cards"))
+    key, of_nation = F.col("n_nationkey"), F.col("c_nationkey") == F.col("n_nationkey")
+    html = F.concat(F.lit("<ul>"), F.coalesce("cards", F.lit("")), F.lit('</ul><a class="next" href="/list/'), (key + 1).cast("string"), F.lit('">Next</a>'))
+    lists = nation.join(cards, of_nation, "left").select((-key - 1).alias("page_id"), F.concat(F.lit("https://shop.test/list/"), key.cast("string")).alias("url"), html.alias("html"))
+    detail = F.concat(F.lit("<h1>"), "c_name", F.lit("</h1><dl><dt>Region<dd>"), "n_name", F.lit("</dl>"))
+    details = customer.join(nation, of_nation).select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://shop.test/c/"), F.col("c_custkey").cast("string")).alias("url"), detail.alias("html"))
     recipe = {
-        "version": 1, "name": "shop", "strategy": "dom", "pages": {"type": "next_link", "start": "https://shop.test/list/0", "next_selector": "a.next"}, "items": {"container": "li.card", "require": ["name"]},
+        "version": 1, "name": "shop", "strategy": "dom", "pages": {"type": "next_link", "start": "https://shop.test/list/0", "next_selector": "a.next", "max_pages": 30}, "items": {"container": "li.card", "require": ["name"]},
         "fields": {"name": "a", "price": {"selector": ".price", "transform": "price"}, "link": {"selector": "a", "attr": "href"}}, "detail": {"url_field": "link", "fields": {"region": "dt + dd"}}, "output": {"dedupe_key": "link"},
     }
     return compile_recipe(recipe, Sources(pages=lists.union(details)))
 
 
-@query("SELECT CAST(n_regionkey AS INTEGER) AS page_ord, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS item_ord, CAST(n_nationkey AS VARCHAR) AS id, n_name AS title FROM nation")
+@query("""
+    SELECT CAST(c_nationkey AS INTEGER) AS page_ord, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS item_ord, CAST(c_custkey AS VARCHAR) AS id, c_name AS title FROM customer
+""")
 def recipe_http(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recipe over captured API responses, paged by number."""
-    nation = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title")))).alias("items"))
-    responses = nation.select(F.concat(F.lit("https://x.test/api?page="), F.col("n_regionkey").cast("string")).alias("url"), F.lit(200).alias("status"), json_of(data=F.struct("items")).alias("body"))
-    recipe = {"version": 1, "name": "api", "strategy": "http", "pages": {"type": "param", "start_n": 0}, "http": {"url_template": "https://x.test/api?page={n}"}, "items": {"path": "data.items[]"}, "fields": {"id": "id", "title": "title"}}
+    pages = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("title")))).alias("items"))
+    responses = pages.select(F.concat(F.lit("https://x.test/api?page="), F.col("c_nationkey").cast("string")).alias("url"), F.lit(200).alias("status"), json_of(data=F.struct("items")).alias("body"))
+    recipe = {"version": 1, "name": "api", "strategy": "http", "pages": {"type": "param", "start_n": 0, "max_pages": 25}, "http": {"url_template": "https://x.test/api?page={n}"}, "items": {"path": "data.items[]"}, "fields": {"id": "id", "title": "title"}}
     return compile_recipe(recipe, Sources(responses=responses))
 
 
@@ -619,3 +683,155 @@ def recipe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.lit("wss://x.test/feed").alias("url"), json_of(F.col("event_type").alias("type"), F.struct("user_id").alias("body")).alias("raw"))
     recipe = {"version": 1, "name": "feed", "strategy": "intercept", "pages": {"type": "single", "start": "https://x.test/"}, "intercept": {"url_match": "x\\.test/feed", "channel": "websocket", "where": {"type": "purchase"}}, "fields": {"who": "body.user_id"}}
     return compile_recipe(recipe, Sources(frames=frames)).select("page_ord", "who")
+
+
+# ---- runs ------------------------------------------------------------------------------------------------------
+
+
+def _listed_orders(spark: SparkSession, sf_dir: str, blocked: int) -> Sources:
+    """API pages of orders, 31 of them, one of which is refused."""
+    found = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 31).alias("page"), F.col("o_orderkey").alias("id")).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("id"))).alias("items"))
+    refused = F.col("page") == blocked
+    body = F.when(refused, F.lit("")).otherwise(json_of("items"))
+    return Sources(responses=found.select(F.concat(F.lit("https://x.test/o?page="), F.col("page").cast("string")).alias("url"), F.when(refused, 403).otherwise(200).alias("status"), body.alias("body")))
+
+
+LISTED = {"version": 1, "name": "listed", "strategy": "http", "pages": {"type": "param", "start_n": 0, "max_pages": 40}, "http": {"url_template": "https://x.test/o?page={n}"}, "items": {"path": "items[]"}, "fields": {"id": "id"}, "output": {"dedupe_key": "id"}}
+
+
+def _told(outcome, spark: SparkSession, run_no: int) -> DataFrame:
+    """A run's rows with why it stopped."""
+    return outcome.rows.select(F.lit(run_no).alias("run"), "id", F.lit(outcome.reason).alias("reason"))
+
+
+@query("""
+    SELECT 1 AS run, CAST(o_orderkey AS VARCHAR) AS id, 'blocked' AS reason FROM orders WHERE o_orderkey % 31 < 17
+    UNION ALL SELECT 2, CAST(o_orderkey AS VARCHAR), 'end_of_list' FROM orders WHERE o_orderkey % 31 >= 17
+""")
+def run_blocked_and_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that a refused page ends, and the run that goes on from there once the page answers."""
+    first = run(LISTED, _listed_orders(spark, sf_dir, 17))
+    second = run(LISTED, _listed_orders(spark, sf_dir, -1), cursor=first.cursor)
+    return _told(first, spark, 1).union(_told(second, spark, 2))
+
+
+@query("""
+    SELECT 1 AS run, CAST(o_orderkey AS VARCHAR) AS id, 'max_pages' AS reason FROM orders WHERE o_orderkey % 31 < 9
+    UNION ALL SELECT 2, CAST(o_orderkey AS VARCHAR), 'dry_run' FROM orders WHERE o_orderkey % 31 = 0
+    UNION ALL SELECT 3, id, 'limit' FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders ORDER BY o_orderkey % 31, o_orderkey LIMIT 5)
+""")
+def run_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that a cap of pages, a dry run and a limit end (limits are the feature)."""
+    sources = _listed_orders(spark, sf_dir, -1)
+    found = [run(LISTED, sources, max_pages=9), run(LISTED, sources, dry_run=True), run(LISTED, sources, limit=5)]
+    return rows.union_rows([_told(x, spark, k + 1) for k, x in enumerate(found)])
+
+
+@query("SELECT 1 AS run, CAST(event_id AS VARCHAR) AS id, 'cursor_end' AS reason FROM events WHERE event_id <= (SELECT min(event_id) + (max(event_id) - min(event_id)) // 2 FROM events)")
+def run_driven_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intercepted responses of a page that drives itself, up to the one in which the cursor ends."""
+    events = table(spark, sf_dir, "events")
+    ends = events.agg((F.min("event_id") + F.floor((F.max("event_id") - F.min("event_id")) / 2)).alias("last"))
+    key = F.col("event_id")
+    body = json_of(items=F.array(F.struct(key.alias("id"))), next=F.when(key != F.col("last"), F.concat(F.lit("c"), key.cast("string"))))
+    calls = events.join(F.broadcast(ends)).select(key.alias("seq"), F.lit("https://x.test/feed").alias("url"), F.lit("GET").alias("method"), F.lit(200).alias("status"), F.lit("application/json").alias("content_type"), body.alias("body"))
+    recipe = {"version": 1, "name": "driven", "strategy": "intercept", "pages": {"type": "cursor", "start": "https://x.test/", "cursor_path": "next", "max_pages": 1 << 30}, "intercept": {"url_match": "feed"}, "items": {"path": "items[]"}, "fields": {"id": "id"}}
+    return _told(run(recipe, Sources(responses=calls)), spark, 1)
+
+
+@query("SELECT 1 AS run, s_name AS id, 'scroll_idle' AS reason FROM supplier")
+def run_idle_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scrolled page whose last two rounds show nothing new; what a later round would show isn't read."""
+    from pyspark.sql import Window
+
+    own = table(spark, sf_dir, "supplier").select("s_name", F.floor((F.row_number().over(Window.orderBy("s_suppkey")) - 1) / 5).alias("first"), F.floor((F.count("*").over(Window.partitionBy()) - 1) / 5).alias("last"))
+    shown = own.select("s_name", F.explode(F.sequence("first", F.col("last") + 2)).alias("round")).union(own.select(F.concat(F.lit("late "), "s_name"), F.col("last") + 3))
+    html = F.array_join(F.transform(F.array_sort(F.collect_list("s_name")), lambda x: F.concat(F.lit("<li class=row>"), x, F.lit("</li>"))), "")
+    pages = shown.groupBy("round").agg(html.alias("html")).select(F.col("round").alias("page_id"), F.lit("https://x.test/").alias("url"), F.concat(F.lit("<ul>"), "html", F.lit("</ul>"), F.repeat(F.lit("word "), 400)).alias("html"), "round")
+    recipe = {"version": 1, "name": "idle", "strategy": "dom", "pages": {"type": "scroll", "start": "https://x.test/", "max_rounds": LONG}, "items": {"container": "li.row"}, "fields": {"id": ":scope"}}
+    return _told(run(recipe, Sources(pages=pages)), spark, 1)
+
+
+# ---- rendered pages --------------------------------------------------------------------------------------------
+
+
+def _pages_of_customers(spark: SparkSession, sf_dir: str, html) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://x.test/c/"), F.col("c_custkey").cast("string")).alias("url"), html.alias("html"))
+
+
+
+
+@query("""
+    SELECT c_custkey AS page_id, c_custkey % 6 IN (1, 2, 5) AS blocked, CASE c_custkey % 6 WHEN 1 THEN 'js_challenge' WHEN 2 THEN 'captcha' WHEN 5 THEN 'rate_limited' END AS kind,
+        CASE c_custkey % 6 WHEN 1 THEN 'cloudflare' WHEN 2 THEN 'hcaptcha' WHEN 5 THEN 'unknown' END AS vendor, c_custkey % 6 = 3 AS login_wall, c_custkey % 6 = 4 AS paywall_hint, c_custkey % 6 = 4 AS consent_gate,
+        CASE c_custkey % 6 WHEN 1 THEN 'cloudflare challenge text' WHEN 2 THEN 'hcaptcha widget' WHEN 3 THEN 'login prompt text' WHEN 5 THEN 'rate limit text' ELSE '' END AS signals FROM customer
+""")
+def wall_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs of blocks and walls on rendered pages."""
+    number, name = F.col("c_custkey"), F.col("c_name")
+    walls = ["", "<title>Just a moment...</title>", "<div class=h-captcha></div>", "<p>Please log in to continue", '<div class="cookie-bar"><button>ok</button></div><div id=paywall></div>', "<p>HTTP 429"]
+    html = F.concat(F.lit("<body><p>"), name, F.element_at(F.array(*map(F.lit, walls)), (number % 6 + 1).cast("int")))
+    found = diagnose.diagnose(_pages_of_customers(spark, sf_dir, html))
+    return found.select("page_id", "blocked", "kind", "vendor", "login_wall", "paywall_hint", F.col("age_or_consent_gate").alias("consent_gate"), F.array_join("signals", ", ").alias("signals"))
+
+
+@query("""
+    SELECT c_custkey AS page_id, CAST(0 AS INTEGER) AS rank, 'li.o' AS container, CAST(3 + c_custkey % 4 AS INTEGER) AS count, CAST((3 + c_custkey % 4) * (11 + length(c_name)) AS INTEGER) AS score,
+        'Order 1 of ' || c_name AS sample, 'a' AS fields FROM customer
+""")
+def rendered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeating list of rendered pages, menus aside."""
+    number, name = F.col("c_custkey"), F.col("c_name")
+    item = lambda i: F.concat(F.lit('<li class="o"><a href="/o/'), i.cast("string"), F.lit('">Order '), i.cast("string"), F.lit(" of "), name, F.lit("</a></li>"))
+    menu = "<nav><ul>" + "<li class=m><a href=/m>A menu entry of some length</a></li>" * 5 + "</ul></nav>"
+    html = F.concat(F.lit(f"<body>{menu}<ul>"), F.array_join(F.transform(F.sequence(F.lit(1), (3 + number % 4).cast("int")), item), ""), F.lit("</ul>"))
+    found = discovery.lists(_pages_of_customers(spark, sf_dir, html))
+    return found.select("page_id", "rank", "container", "count", "score", "sample", F.array_join(F.transform("fields", lambda f: f["selector"]), " ").alias("fields"))
+
+
+LEADING = """
+    SELECT c_custkey AS page_id, '/list?page=' || CAST(c_custkey + 1 AS VARCHAR) AS rel_next, 1 AS next_like, '{"page":["' || CAST(c_custkey + 1 AS VARCHAR) || '"],"offset":["40"]}' AS page_params, '/p/page-{n}.html /q_{n}.htm' AS path_patterns FROM customer
+"""
+
+
+@query(LEADING)
+def rendered_pagination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How rendered pages lead on."""
+    number, name = F.col("c_custkey"), F.col("c_name")
+    text = number.cast("string")
+    html = F.concat(F.lit('<a rel=next href="/list?page='), (number + 1).cast("string"), F.lit('">Next →</a><a href="/p/page-'), text, F.lit('.html">a</a><a href="/q_'), text, F.lit('.htm?offset=40&x=1">b</a><a href="https://other.test/?page=9">c</a>'))
+    found = discovery.pagination(_pages_of_customers(spark, sf_dir, html))
+    return found.select("page_id", "rel_next", F.size("next_like").alias("next_like"), F.to_json("page_params").alias("page_params"), F.array_join("path_patterns", " ").alias("path_patterns"))
+
+
+@query("""
+    SELECT c_custkey AS page_id, CAST(unnest([0, 1, 2]) AS INTEGER) AS ord, unnest(['feed', 'api_or_docs', 'api_or_docs']) AS kind, unnest([c_mktsegment, 'Developers', 'API']) AS text,
+        unnest(['https://x.test/feed/' || CAST(c_custkey AS VARCHAR) || '.xml', 'https://x.test/docs', 'https://api.test/' || CAST(c_custkey AS VARCHAR)]) AS href, unnest(['head', 'nav', 'footer']) AS place FROM customer
+""")
+def rendered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds and documentation that rendered pages offer; headlines that only speak of them are left out."""
+    number, name = F.col("c_custkey"), F.col("c_name")
+    text = number.cast("string")
+    html = F.concat(
+        F.lit('<head><link rel="alternate" type="application/rss+xml" title="'), "c_mktsegment", F.lit('" href="/feed/'), text, F.lit('.xml"></head><nav><a href="/docs">Developers</a></nav><a href="/n">The new API of our friends is now in public beta</a>'),
+        F.lit('<a href="/docs">Open API</a><footer><a href="https://api.test/'), text, F.lit('">API</a></footer>'),
+    )
+    return discovery_sources(_pages_of_customers(spark, sf_dir, html))
+
+
+def discovery_sources(pages: DataFrame) -> DataFrame:
+    return diagnose.official_sources(pages).select("page_id", "ord", "kind", "text", "href", "place")
+
+
+@query("""
+    SELECT c_custkey AS page_id, c_name AS title, CAST(4 + c_custkey % 4 AS INTEGER) AS links, 1 AS images, 1 AS forms, 0 AS tables, 'li.o' AS best_list, CAST(3 + c_custkey % 4 AS INTEGER) AS best_count,
+        CASE WHEN c_custkey % 2 = 0 THEN 'ldjson' ELSE '' END AS embedded, true AS has_next, 1 AS sources, false AS blocked, false AS login_wall FROM customer
+""")
+def rendered_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of rendered pages, from one parse."""
+    number, name = F.col("c_custkey"), F.col("c_name")
+    item = lambda i: F.concat(F.lit('<li class="o"><a href="/o/'), i.cast("string"), F.lit('">Order '), i.cast("string"), F.lit(" of "), name, F.lit("</a></li>"))
+    data = F.when(number % 2 == 0, F.lit('<script type="application/ld+json">{"a": 1}</script>')).otherwise("")
+    html = F.concat(F.lit("<head><title>"), name, F.lit("</title>"), data, F.lit("</head><body><form></form><img src=a.png><ul>"), F.array_join(F.transform(F.sequence(F.lit(1), (3 + number % 4).cast("int")), item), ""), F.lit('</ul><a href="/api/">Next</a>'))
+    found = discovery.overview(_pages_of_customers(spark, sf_dir, html))
+    return found.select("page_id", "title", "links", "images", "forms", "tables", "best_list", "best_count", F.array_join("embedded", ",").alias("embedded"), "has_next", "sources", "blocked", "login_wall")
