@@ -6,6 +6,8 @@ block's range of that dimension in 2**CELL_BITS equal cells), the exact integers
 1. Each block of queries meets each block of cells, never of exact vectors: the centre product plus and minus the cells'
    half widths weighted by the query bounds every inner product. A pair of blocks yields, for each query, the vectors
    whose upper bound reaches the k-th best lower bound there.
+   Of equal vectors a block holds only those that can be among the k best, so a vector that a third of all rows share
+   costs k + 1 candidates a block and query, not as many as it has rows.
 2. The k-th best lower bound over all blocks is the query's floor; vectors whose upper bound lies below it go.
 3. Exact vectors are read in the order of their bounds: the first k of each query, whose k-th score is then certain to
    be reached, and after them only those whose upper bound reaches that score. What is left out can't be in the result.
@@ -45,8 +47,23 @@ def _usable(df: DataFrame) -> DataFrame:
     return df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null").where(~bad)
 
 
-def _blocks(df: DataFrame, rows: int, count: int) -> DataFrame:
-    """The vectors as blocks of at most ``rows`` vectors of one length, dealt to ``count`` partitions by id."""
+def _few_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Places (ids are sorted) without the copies of a vector that no k best can hold: as ties go to smaller ids, those of
+    its first k + 1 ids stand for all (one may be a query's own), each with k rows at most."""
+    group = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    held: dict[int, dict[int, int]] = {}
+    out = []
+    for at, (g, i) in enumerate(zip(group.tolist(), ids.tolist(), strict=True)):
+        own = held.setdefault(g, {})
+        if own.get(i, 0) < k and (i in own or len(own) <= k):
+            own[i] = own.get(i, 0) + 1
+            out.append(at)
+    return np.array(out, np.int64)
+
+
+def _blocks(df: DataFrame, rows: int, count: int, k: int | None = None) -> DataFrame:
+    """The vectors as blocks of at most ``rows`` vectors of one length, dealt to ``count`` partitions by id. With k, of
+    equal vectors in a block only those that a k best can hold."""
     dealt = df.repartition(count, "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +74,7 @@ def _blocks(df: DataFrame, rows: int, count: int) -> DataFrame:
             nonlocal made
             ids, vectors = zip(*held.pop(dim), strict=True)
             made += 1
-            return _pack(ids, np.array(vectors, float).reshape(len(ids), dim), (TaskContext.get().partitionId() << 32) + made)
+            return _pack(ids, np.array(vectors, float).reshape(len(ids), dim), (TaskContext.get().partitionId() << 32) + made, k)
 
         for batch in batches:
             for i, v in zip(batch["vec_id"].to_pylist(), batch["embedding"].to_pylist(), strict=True):
@@ -70,9 +87,12 @@ def _blocks(df: DataFrame, rows: int, count: int) -> DataFrame:
     return dealt.mapInArrow(run, BLOCK)
 
 
-def _pack(ids: tuple, x: np.ndarray, number: int) -> pa.RecordBatch:
+def _pack(ids: tuple, x: np.ndarray, number: int, k: int | None) -> pa.RecordBatch:
     order = np.argsort(np.array(ids, np.int64), kind="stable")
     ids, scaled = np.array(ids, np.int64)[order], np.floor(x[order] * SCALE)
+    if k is not None:
+        some = _few_copies(ids, scaled, k)
+        ids, scaled = ids[some], scaled[some]
     low = scaled.min(0) if scaled.size else np.zeros(x.shape[1])
     high = scaled.max(0) if scaled.size else low
     width = np.maximum((high - low) / (1 << CELL_BITS), 1e-300)
@@ -183,7 +203,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     work = Workspace(spark, "vafile")
     usable = _usable(vectors)
     parts = max(1, -(-usable.count() // BLOCK_ROWS))
-    blocks = work.write(_blocks(usable, BLOCK_ROWS, parts), "blocks")
+    blocks = work.write(_blocks(usable, BLOCK_ROWS, parts, k), "blocks")
     asked = work.write(_blocks(_usable(queries), QUERY_ROWS, max(1, parts // 8)), "queries")
     key = ["q_block", "q_row"]
     of_query = Window.partitionBy(*key)

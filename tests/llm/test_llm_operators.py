@@ -568,6 +568,11 @@ def test_search_of_repeated_ids_and_huge_vectors(spark, monkeypatch):
     assert got == [(1, 1, 2**63 - 1), (2, 5, 8 * 64 * 64 * 10**12), (3, 3, 0), (4, 2, -(2**63))]
 
 
+def test_copies_beyond_the_best_are_left_out():
+    x = np.array([[1.0], [1.0], [2.0], [1.0], [1.0], [1.0], [2.0], [1.0]])
+    assert vafile._few_copies(np.array([1, 1, 1, 1, 2, 3, 4, 5]), x, 2).tolist() == [0, 1, 2, 4, 5, 6]
+
+
 def test_few_exact_vectors_are_read(spark, monkeypatch):
     """The bounds leave a small part of the pairs to be read exactly."""
     monkeypatch.setattr(vafile, "BLOCK_ROWS", 500)
