@@ -187,9 +187,4 @@ def shorten(c: Column, n: int = 80) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("…"))).otherwise(c)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared over all elements of two arrays of distinct values; two empty ones are equal."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
-
-
 TRANSFORMS = {"number": number, "trim": squeeze, "price": price, "currency": currency, "clean_url": clean_url}

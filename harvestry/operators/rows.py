@@ -194,10 +194,6 @@ def required(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows
 
 
-def has_any(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.where(values.any_filled([(F.col(f"`{c}`"), rows.schema[c].dataType) for c in columns]))
-
-
 def dedupe(rows: DataFrame, key: str, order: list[str], typed: bool = False, seen: DataFrame | None = None) -> DataFrame:
     """The first row of each key in the order. Empty keys are all kept; ``typed`` compares values as they are and lets
     only null pass. ``seen`` holds keys of earlier runs (a column of the key's name)."""

@@ -443,6 +443,17 @@ def captured_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.json_rows_native(found, {"event_id": {"path": "event_id", "type": "bigint"}, "user_id": "user_id"}).select("event_id", "user_id")
 
 
+@query("""
+    SELECT p_partkey AS page_id, '{"p_partkey": "number ' || CAST(p_partkey AS VARCHAR) || '", "p_name": "string \\"' || CASE WHEN length(p_name) <= 40 THEN p_name ELSE substr(p_name, 1, 39) || '…' END || '\\"", "p_size": "number ' || CAST(p_size AS VARCHAR) || '"}' AS shape, p_size > 9 AS truncated FROM part
+""")
+def embedded_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape and cut JSON of a path of what pages embed."""
+    pages = _rendered(spark, sf_dir, lambda j: F.concat(F.lit('<script>window.__STATE__ = {"a": {"b": '), j, F.lit("}};</script>")))
+    found = embedded.peek(pages, "window:__STATE__", "a.b", keep=("page_id",))
+    sizes = embedded.peek(pages, "window:__STATE__", "a.b.p_size", longest=1, keep=("page_id",))
+    return found.join(sizes.select("page_id", F.col("truncated").alias("t")), "page_id").select("page_id", "shape", F.col("t").alias("truncated"))
+
+
 # ---- paging ----------------------------------------------------------------------------------------------------
 
 CHAIN = "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS page_ord, s_name AS name FROM supplier"

@@ -15,11 +15,13 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonpath
+from ..functions.values import shorten
 
 SCRIPT = re.compile(r"<script\b([^>]*)>(.*?)</script\s*>", re.I | re.S)
 #: Global variables that well-known page frameworks fill.
@@ -184,11 +186,18 @@ def discovered(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) ->
     return pages.select(*keep, "html").mapInArrow(run, f"{kinds}, found array<struct<source:string,shape:string,size:bigint>>").select(*keep, F.inline("found"))
 
 
-def peek(html: str, source, path: str = "", depth: int = 2, longest: int = 2000) -> dict:
-    """Shape and JSON text (cut at a length) of one path of an embedded source."""
-    value = jsonpath.get(read(html, source), path)
-    text = "null" if value is jsonpath.MISSING else json.dumps(jsonpath.plain(value), ensure_ascii=False)
-    return {"shape": shape(None if value is jsonpath.MISSING else value, depth), "json": text if len(text) <= longest else text[: longest - 1] + "…", "truncated": len(text) > longest}
+def peek(pages: DataFrame, source, path: str = "", depth: int = 2, longest: int = 2000, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """Of one path of each page's embedded source: ``shape``, ``json`` (cut at a length), ``truncated``, and ``problem``
+    where the source isn't there."""
+
+    @F.pandas_udf("struct<shape:string,json:string>")
+    def told(documents: pd.Series) -> pd.DataFrame:
+        values = [jsonpath.get(jsonpath.loads(d), path) if d is not None else jsonpath.MISSING for d in documents]
+        plain = [None if v is jsonpath.MISSING else jsonpath.plain(v) for v in values]
+        return pd.DataFrame({"shape": [json.dumps(shape(v, depth), ensure_ascii=False) for v in plain], "json": [json.dumps(v, ensure_ascii=False) for v in plain]})
+
+    found = embedded(pages, source, keep).withColumn("told", F.when(F.col("json").isNotNull(), told("json")))
+    return found.select(*keep, "told.shape", shorten(F.col("told.json"), longest).alias("json"), (F.length("told.json") > longest).alias("truncated"), "problem")
 
 
 def shape(value, depth: int = 2):
