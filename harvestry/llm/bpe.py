@@ -1,12 +1,14 @@
-"""Byte-level BPE by corpus-level merge replay.
+"""Byte-level BPE by merge replay over the distinct pieces of many documents at once.
 
-The distinct pieces of many documents form one symbol array with links to the left and right neighbour. An inverted
+The distinct pieces of all documents that a worker holds at a time (some megabytes of text; pieces met before come from a
+cache) form one symbol array with links to the left and right neighbour. An inverted
 index maps each mergeable pair's rank to the positions where it stands; ranks are taken in ascending order from a
 heap, all positions of a rank merge at once (vectorised), and only the pairs at the touched neighbours are looked up
 again and filed under their new rank. The ids equal those of the tiktoken library: within a piece the pair of lowest
 rank merges first, of equal ones the leftmost.
 
-Texts: null and empty give no ids; any length is taken whole. Works for any bytes.
+Texts: null and empty give no ids; any length is taken whole. Works for any bytes. Null ids and repeated rows each keep a
+row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ equal scores the path whose last piece begins first stays; a character without a
 score less 10; unknown characters count as their UTF-8 bytes where the vocabulary has all byte pieces (else a run of
 them is one token). Texts are cut before each space, which becomes the meta symbol in front of every word.
 
-Null and empty texts have no token; a text of any length is counted whole; repeated rows and null ids are kept.
+Null and empty texts have no token; a text of any length is counted whole; repeated rows and null ids are kept. An empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

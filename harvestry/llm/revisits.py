@@ -81,8 +81,10 @@ def resolve(records: DataFrame, ranges: int | None = None) -> DataFrame:
     before = before.select("target", "span", F.last("carried", True).over(earlier).alias("carried"))
 
     # within a range: revisits stand before responses of the same time, so that a response found is an earlier one
-    inside = Window.partitionBy("target", "span").orderBy("ts", F.when(is_full, 1).otherwise(0), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = own.withColumn("found", F.last(F.when(is_full & F.col("ts").isNotNull(), response), True).over(inside)).where("status = 304")
+    # records without a url refer to nothing: each is a group of its own, or all of them would meet in one task
+    alone = F.when(F.col("target").isNull(), F.monotonically_increasing_id())
+    inside = Window.partitionBy("target", "alone", "span").orderBy("ts", F.when(is_full, 1).otherwise(0), "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = own.withColumn("alone", alone).withColumn("found", F.last(F.when(is_full & F.col("ts").isNotNull(), response), True).over(inside)).drop("alone").where("status = 304")
     rows = rows.join(before, ["target", "span"], "left").withColumn("found", F.when(F.col("ts").isNotNull() & F.col("target").isNotNull(), F.coalesce("found", "carried")))
 
     weak = lambda c: F.regexp_replace(F.trim(c), "^[Ww]/", "")

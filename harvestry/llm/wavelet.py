@@ -6,7 +6,7 @@ number of ones before it, so that a token, a count over a range or an occurrence
 plane. Plane k orders the tokens by the bits above k (stably, zeros first), as a wavelet matrix does.
 
 Texts: null and empty give the end id alone. Repeated document ids keep one entry each, in the order of their texts.
-Null document ids stand first. An empty table makes no file and no row.
+Null document ids stand first. An empty table makes no file and no row. Other columns are ignored.
 """
 
 from __future__ import annotations

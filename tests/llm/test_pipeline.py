@@ -54,6 +54,27 @@ def test_planted_cases(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(left)
 
 
+def test_clashing_columns_and_repeated_ids(spark, tmp_path):
+    """Columns named like the stages' own stay as they are; rows that share an id are judged by their texts."""
+    rng = random.Random(13)
+    text = lambda n: " ".join("".join(rng.choice("aeioustrnl") for _ in range(rng.randint(2, 8))) for _ in range(n)) + "."
+    a, b, item = text(60), text(60), text(24)
+    rows = [(1, a, 0, "x"), (1, b, 1, "y"), (1, b, 1, "y"), (2, a + " more", 2, "z"), (3, text(50) + " " + item, 3, "w"), (None, a, 4, "v"), (5, None, 5, None), (6, "", 6, None)]
+    clash = ["score", "text_hash"], ["statistics", "kept_id"], ["item_id", "hash"]
+    for k, names in enumerate(clash):
+        where = tmp_path / str(k)
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, {names[0]} int, {names[1]} string")
+        docs.write.parquet(str(where / "documents.parquet"))
+        spark.createDataFrame([(k, 1, 0) for k in range(9)], "doc_id long, quality int, toxic int").write.parquet(str(where / "labels.parquet"))
+        spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(str(where / "benchmark.parquet"))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            stage(spark, docs, str(where)).write.parquet(str(where / name))
+            docs = spark.read.parquet(str(where / name))
+            assert docs.columns == ["doc_id", "text", *names]
+        left = sorted((str(r.doc_id), r.text or "", r[2], r[3]) for r in docs.collect())
+        assert left == sorted([("1", a, 0, "x"), ("1", b, 1, "y"), ("None", a, 4, "v"), ("5", "", 5, None), ("6", "", 6, None)])
+
+
 def test_empty_corpus(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
