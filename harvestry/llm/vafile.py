@@ -4,11 +4,11 @@ Components become integers floor(64 * x). Vectors are written in blocks: a byte
 block's range of that dimension in 2**CELL_BITS equal cells), the exact integers lie in a column of their own.
 
 1. Each block of queries meets each block of cells, never of exact vectors: the centre product plus and minus the cells'
-   half widths weighted by the query bounds every inner product. A pair of blocks yields, for each query, the vectors
-   whose upper bound reaches the k-th best lower bound there.
+   half widths weighted by the query bounds every inner product. A task reads the cells from their files for some blocks
+   of queries, and keeps for each query the vectors whose upper bound reaches the k-th best lower bound so far.
    Of equal vectors a block holds only those that can be among the k best, so a vector that a third of all rows share
    costs k + 1 candidates a block and query, not as many as it has rows.
-2. The k-th best lower bound over all blocks is the query's floor; vectors whose upper bound lies below it go.
+2. The k-th best lower bound over all tasks is the query's floor; vectors whose upper bound lies below it go.
 3. Exact vectors are read in the order of their bounds: the first k of each query, whose k-th score is then certain to
    be reached, and after them only those whose upper bound reaches that score. What is left out can't be in the result.
 
@@ -25,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ CELL_BITS = 8
 K = 20
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
+GROUP = 16  # blocks of queries that read the cells together
+HELD = 1_000_000  # candidates that a task holds
 SAFE = 1 << 53
 LONGEST = (1 << 63) - 1
 
@@ -110,53 +114,114 @@ def _products(a: np.ndarray, b: np.ndarray) -> list[int] | np.ndarray:
     return [max(-LONGEST - 1, min(LONGEST, v)) for v in exact]
 
 
-def scan(row: dict, k: int) -> list[np.ndarray]:
-    """q_row, row, lower and upper bound of the vectors of a block that may be among a query's k best there."""
-    dim = row["dim"]
-    qids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-    queries = np.frombuffer(row["q_exact"], float).reshape(len(qids), dim)
-    low, width = np.frombuffer(row["low"], float), np.frombuffer(row["width"], float)
-    centre = low + (np.frombuffer(row["cells"], np.uint8).reshape(len(ids), dim) + 0.5) * width
+def _stored(paths: list[str], dim: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number, ids, cells' centres and widths of the blocks of one vector length, read block by block from their files."""
+    for path in paths:
+        where, name = fs.FileSystem.from_uri(path)
+        with where.open_input_file(name) as f:
+            for batch in pq.ParquetFile(f).iter_batches(1, columns=["block", "dim", "ids", "low", "width", "cells"]):
+                block, wide, ids, low, width, cells = (batch[c][0].as_py() for c in ("block", "dim", "ids", "low", "width", "cells"))
+                if wide == dim:
+                    ids, low, width = np.frombuffer(ids, np.int64), np.frombuffer(low, float), np.frombuffer(width, float)
+                    yield block, ids, low + (np.frombuffer(cells, np.uint8).reshape(len(ids), dim) + 0.5) * width, width
+
+
+def _near(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, centre: np.ndarray, width: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Query, row, lower and upper bound of the vectors of a block that may be among a query's k best. ``best`` holds the
+    k highest lower bounds of each query so far, the least of them first, and is brought up to date."""
+    k = best.shape[1]
     with np.errstate(over="ignore", invalid="ignore"):
         middle = queries @ centre.T
         # half a cell each way, and room for rounding of the sums
-        slack = np.abs(queries) @ (width / 2) + 1e-9 * (np.abs(queries) @ np.abs(centre).max(0, initial=0) + 1)
-    out = []
-    for j, (q, spare) in enumerate(zip(qids.tolist(), slack.tolist(), strict=True)):
-        near = middle[j]
-        own = ids == q
-        if not np.isfinite(spare) or not np.isfinite(near).all():  # bounds beyond a double's range tell nothing
-            some = np.flatnonzero(~own)
-            lower, upper = np.full(len(some), -np.inf), np.full(len(some), np.inf)
-        else:
-            if own.any():
-                near = np.where(own, -np.inf, near)
-            floor = np.partition(near, len(near) - k)[-k] if len(near) > k else -np.inf
-            some = np.flatnonzero((near >= floor - 2 * spare) & ~own)
-            lower, upper = near[some] - spare, near[some] + spare
-        out.append((np.full(len(some), j), some, lower, upper))
-    return [np.concatenate(x) for x in zip(*out, strict=True)]
+        spare = np.abs(queries) @ (width / 2) + 1e-9 * (np.abs(queries) @ np.abs(centre).max(0, initial=0) + 1)
+        vague = ~(np.isfinite(spare) & np.isfinite(middle.sum(1)))  # bounds beyond a double's range tell nothing
+    first, last = np.searchsorted(ids, qids), np.searchsorted(ids, qids, "right")
+    own = [(j, slice(first[j], last[j])) for j in np.flatnonzero(last > first).tolist()]
+    middle[vague], spare[vague] = 0.0, np.inf
+    for at in own:
+        middle[at] = -np.inf
+    floor = best[:, 0].copy()
+    if len(ids) > k and (new := np.flatnonzero((floor == -np.inf) & ~vague)).size:  # the block's own k best serve then
+        floor[new] = np.partition(middle[new], len(ids) - k, axis=1)[:, len(ids) - k] - spare[new]
+    hit = middle >= np.where(vague, -np.inf, floor - spare)[:, None]
+    for at in own:
+        hit[at] = False
+    j, row = np.nonzero(hit)
+    near, room = middle[j, row], spare[j]
+    lower = near - room
+    if len(j):
+        order = np.lexsort((-lower, j))
+        some, begin = np.unique(j, return_index=True)
+        place = np.arange(len(j)) - np.repeat(begin, np.diff(np.append(begin, len(j))))
+        order, place = order[place < k], place[place < k]
+        more = np.full((len(some), k), -np.inf)
+        more[np.searchsorted(some, j[order]), place] = lower[order]
+        best[some] = np.partition(np.concatenate((best[some], more), axis=1), k, axis=1)[:, k:]
+    return j, row, lower, near + room
 
 
 def _bounds(blocks: DataFrame, asked: DataFrame, k: int, parts: int) -> DataFrame:
-    """q_block, q_row, block, row, lower, upper: what is left of each query and vector block by their cells."""
-    salts = max(1, min(parts, 64))  # one length of vectors is one key: its blocks are dealt over several
-    named = asked.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    where = blocks.select("block", F.col("dim").alias("dim"), F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
-    pairs = named.join(where, ["dim", "salt"]).select("block", "q_block", "q_ids", "q_exact")
-    both = pairs.join(blocks.select("block", "dim", "ids", "low", "width", "cells"), "block").repartition(parts, "block", "q_block")
+    """q_block, q_row, block, row, lower, upper: what is left of each query and vector block by their cells.
+
+    A task holds up to GROUP blocks of queries and reads the cells from the blocks' files, one block at a time, so that
+    neither is multiplied in a shuffle or sent by the driver. What it found falls away as the queries' floors rise. Where
+    there are fewer blocks of queries than tasks, each is given to several tasks with a part of the files.
+    """
+    paths = sorted(blocks.inputFiles())
+    count = asked.count()
+    slices = max(1, min(len(paths), parts // max(1, count)))
+    tasks = max(1, min(parts, count * slices), -(-count // GROUP))
+    named = asked.select(F.col("block").alias("q_block"), F.col("dim"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
     names = ["q_block", "q_row", "block", "row", "lower", "upper"]
 
+    def search(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        dim = rows[0]["dim"]
+        qids = [np.frombuffer(r["q_ids"], np.int64) for r in rows]
+        queries = [np.frombuffer(r["q_exact"], float).reshape(len(i), dim) for r, i in zip(rows, qids, strict=True)]
+        best = [np.full((len(i), k), -np.inf) for i in qids]
+        held: list[list[tuple]] = [[] for _ in rows]
+        n = 0
+
+        def kept(at: int) -> tuple:
+            block, j, row, lower, upper = (np.concatenate(x) for x in zip(*held[at], strict=True))
+            some = upper >= best[at][j, 0]
+            return block[some], j[some], row[some], lower[some], upper[some]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for at, r in enumerate(rows):
+                if held[at]:
+                    block, j, row, lower, upper = kept(at)
+                    columns = (np.full(len(j), r["q_block"]), j, block, row, lower, upper)
+                    held[at] = []
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
+        for block, ids, centre, width in _stored(paths[rows[0]["slice"] :: slices], dim):
+            for at in range(len(rows)):
+                j, row, lower, upper = _near(qids[at], queries[at], ids, centre, width, best[at])
+                if len(j):
+                    held[at].append((np.full(len(j), block), j.astype(np.int32), row.astype(np.int32), lower, upper))
+                    n += len(j)
+                if n > HELD:
+                    held = [[kept(x)] if held[x] else [] for x in range(len(rows))]
+                    n = sum(len(x[0][0]) for x in held if x)
+                    if 2 * n > HELD:
+                        yield from out()
+                        n = 0
+        yield from out()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, list[dict]] = {}
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                q_row, place, lower, upper = scan(row, k)
-                if len(place):
-                    columns = [pa.array(np.full(len(place), row["q_block"])), pa.array(q_row.astype(np.int32)), pa.array(np.full(len(place), row["block"])), pa.array(place.astype(np.int32)), pa.array(lower), pa.array(upper)]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                group = groups.setdefault((row["dim"], row["slice"]), [])
+                group.append(row)
+                if len(group) == GROUP:
+                    yield from search(groups.pop((row["dim"], row["slice"])))
+        for key in sorted(groups):
+            yield from search(groups.pop(key))
 
-    return both.mapInArrow(run, "q_block bigint, q_row int, block bigint, row int, lower double, upper double")
+    return named.repartition(tasks, "q_block", "slice").mapInArrow(run, "q_block bigint, q_row int, block bigint, row int, lower double, upper double")
 
 
 def _vectors(blocks: DataFrame, prefix: str = "") -> DataFrame:
@@ -176,7 +241,7 @@ def _vectors(blocks: DataFrame, prefix: str = "") -> DataFrame:
 
 def _scores(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """q_block, q_row, query_id, vec_id and the exact score of pairs (q_block, q_row, block, row)."""
-    both = pairs.select("q_block", "q_row", "block", "row").join(vectors, ["block", "row"]).join(queries, ["q_block", "q_row"])
+    both = pairs.select("q_block", "q_row", "block", "row").join(vectors.hint("merge"), ["block", "row"]).join(queries.hint("merge"), ["q_block", "q_row"])
     names = ["q_block", "q_row", "query_id", "vec_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +261,9 @@ def _scores(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFra
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products among the other vectors.
 
-    What is moved for every pair of blocks is a block of cells, an eighth of its vectors, and 512 queries; exact vectors
-    are moved once for each of the two reads, whatever the number of queries.
+    Every GROUP blocks of queries read all cells, an eighth of the vectors, from the shared folder; exact vectors are moved
+    once for each of the two reads, whatever the number of queries. No join broadcasts: Spark judges a table by its
+    compressed files, and what it takes for a small one may be many times as large on the driver.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "vafile")
@@ -216,13 +282,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     floors = kth(left.select(*key, "lower"), "lower", [F.desc("lower")])
     ordered = of_query.orderBy(F.desc("upper"), "block", "row")
-    some = left.join(floors, key).where(F.col("upper") >= F.col("floor")).drop("floor")
+    some = left.join(floors.hint("merge"), key).where(F.col("upper") >= F.col("floor")).drop("floor")
     some = work.write(some.withColumn("place", F.row_number().over(ordered)), "candidates")
     work.drop(left)
     exact, wanted = _vectors(blocks), _vectors(asked, "q_")
     first = work.write(_scores(some.where(F.col("place") <= k), exact, wanted), "first")
     certain = kth(first.select(*key, "score"), "score", [F.desc("score")])
-    rest = some.where(F.col("place") > k).join(certain, key).where(F.col("upper") >= F.col("floor"))
+    rest = some.where(F.col("place") > k).join(certain.hint("merge"), key).where(F.col("upper") >= F.col("floor"))
     found = first.union(_scores(rest, exact, wanted))
     ranked = found.withColumn("rank", F.row_number().over(of_query.orderBy(F.desc("score"), "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

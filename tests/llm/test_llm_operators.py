@@ -589,6 +589,46 @@ def test_few_exact_vectors_are_read(spark, monkeypatch):
     assert read[0] == 400 and sum(read) < 20 * 2000 * 0.05
 
 
+def test_search_sends_no_rows_through_the_driver(spark, monkeypatch):
+    """No plan broadcasts, and candidates don't grow with the number of blocks."""
+    monkeypatch.setattr(vafile, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(vafile, "QUERY_ROWS", 10)
+    plans, left = [], []
+    real = vafile.Workspace.write
+
+    def write(self, df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        out = real(self, df, label)
+        left.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(vafile.Workspace, "write", write)
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(0, 0.2, 16).tolist()) for k in range(4000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = vafile.top_k(frame, frame.where("vec_id % 20 = 0"))
+    got = defaultdict(list)
+    for r in out.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert dict(got) == brute_search(rows, set(range(0, 4000, 20)), 20)
+    assert not [p for p in [*plans, out._jdf.queryExecution().executedPlan().toString()] if "Broadcast" in p]
+    assert dict(left)["bounds"] < 200 * 20 * 4  # 80 blocks
+
+
+def test_search_gives_away_what_it_can_not_hold(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(vafile, "QUERY_ROWS", 4)
+    monkeypatch.setattr(vafile, "GROUP", 2)
+    monkeypatch.setattr(vafile, "HELD", 100)
+    rng = np.random.default_rng(9)
+    rows = [(k, [0.5] * 4 if k % 3 else rng.normal(0, 0.2, 4).tolist()) for k in range(600)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in vafile.top_k(frame, frame.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert dict(got) == brute_search(rows, set(range(0, 600, 20)), 20)
+
+
 # ---- pages -----------------------------------------------------------------------------------------------------
 
 PAGE = (
