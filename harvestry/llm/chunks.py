@@ -49,7 +49,7 @@ def gather(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarra
 
 
 class Store:
-    """String -> run of uint32 ids, for strings met before; emptied when full.
+    """String -> run of uint32 ids, for strings met before; when full, only those of the last call are kept.
 
     ``encode`` gives the ids of many strings one after another, and each one's number of ids.
     """
@@ -62,13 +62,22 @@ class Store:
         self._at: dict[str, int] = {}
         self._flat, self._starts, self._sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def _keep(self, strings: list[str], at: np.ndarray) -> None:
+        """Forgets all but these strings' runs, whose places (-1: none) are brought up to date: what is asked for again is
+        mostly what was asked for before."""
+        found = np.flatnonzero(at >= 0)
+        old, first, at[found] = np.unique(at[found], return_index=True, return_inverse=True)
+        self._at = dict(zip([strings[k] for k in found[first].tolist()], range(len(old)), strict=True))
+        sizes = self._sizes[old]
+        self._flat = gather(self._starts[old], sizes, self._flat)
+        self._starts, self._sizes = np.cumsum(sizes) - sizes, sizes
+
     def runs(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, sizes and the ids that they point into; a string may stand more than once."""
         at = np.fromiter(map(self._at.get, strings, repeat(-1)), np.int64, len(strings))
         missing = np.flatnonzero(at < 0)
         if len(self._at) + len(missing) > self._limit:
-            self.clear()
-            missing = np.arange(len(strings))
+            self._keep(strings, at)
         if len(missing):
             absent = [strings[k] for k in missing.tolist()]
             new = list(dict.fromkeys(absent))
@@ -107,10 +116,10 @@ class Encoder:
         found = list(map(self._findall, strings))
         return self._encode_found([x for pieces in found for x in pieces], np.fromiter(map(len, found), np.int64, len(found)))
 
-    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_parts(self, parts: list[str], mixed: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Of strings before each of which a space stands. No piece runs over the border of two such, where a non-space
         follows the space, so they are cut as one text."""
-        if self._uncut:
+        if self._uncut and mixed:
             plain = [k for k, p in enumerate(parts) if _PLAIN(p)]
             if len(plain) * 2 > len(parts):
                 return self._encode_plain(parts, plain)
@@ -128,7 +137,7 @@ class Encoder:
         mask = np.ones(len(parts), bool)
         mask[plain] = False
         other = np.flatnonzero(mask)
-        more, others = self._encode_parts([parts[k] for k in other.tolist()]) if len(other) else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        more, others = self._encode_parts([parts[k] for k in other.tolist()], False) if len(other) else (np.empty(0, np.uint32), np.empty(0, np.int64))
         sizes, starts = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
         sizes[plain], sizes[other] = counts, others
         starts[plain], starts[other] = np.cumsum(counts) - counts, len(flat) + np.cumsum(others) - others

@@ -524,6 +524,20 @@ def test_item_words_are_the_same_in_columns_and_python(spark):
     assert [r.w for r in rows] == [[decontaminate.bare(w).decode() for w in common.words(t)] for t in texts]
 
 
+def test_a_full_store_keeps_what_is_asked_for_again():
+    asked = []
+
+    def encode(strings):
+        asked.extend(strings)
+        return np.array([ord(c) for x in strings for c in x], np.uint32), np.array([len(x) for x in strings], np.int64)
+
+    store = chunks.Store(encode, 4)
+    for strings in (["a", "bb", "c"], ["bb", "dd", "a", "bb", "e"], ["e", "bb", "a", "dd"], list("vwxyz"), ["z", "a", "v", "a"]):
+        starts, sizes, flat = store.runs(strings)
+        assert ["".join(map(chr, flat[a : a + n])) for a, n in zip(starts, sizes, strict=True)] == strings
+    assert asked == ["a", "bb", "c", "dd", "e", *"vwxyz", "a"]
+
+
 # ---- search ----------------------------------------------------------------------------------------------------
 
 
