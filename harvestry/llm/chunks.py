@@ -10,8 +10,8 @@ one are handled whole. Splitting, counting and gathering run vectorised over a b
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -145,20 +145,29 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All rows' ids one after another (uint32) and each row's number of ids; null is the empty text."""
+        return next(self.encode_slices(column, [0, len(column)]))
+
+    def encode_slices(self, column: pa.Array, cuts: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for the rows from each cut to the next. The words of all slices are looked up together, ids are
+        gathered slice by slice."""
         column = pc.fill_null(column, "")
         bounds, index, dictionary = distinct(column, by_space)
         words = dictionary.to_pylist()
+        starts, sizes, flat = self._parts.runs(words)
+        initials = pc.unique(pc.utf8_slice_codeunits(dictionary, 0, 1)).to_pylist()
+        odd = [k for k, w in enumerate(words) if not w or w[0].isspace()] if any(not c or c.isspace() for c in initials) else []
+        flag = np.zeros(len(words), bool)
+        flag[odd] = True
+        for a, b in pairwise(cuts):
+            yield self._encode_slice(column.slice(a, b - a), bounds[a : b + 1] - bounds[a], index[bounds[a] : bounds[b]], words, starts, sizes, flat, flag if odd else None)
+
+    def _encode_slice(self, column: pa.Array, bounds: np.ndarray, index: np.ndarray, words: list[str], starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, odd: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         begin = bounds[:-1]
         firsts = [words[k] for k in index[begin].tolist()]  # no space in front
-        starts, sizes, flat = self._parts.runs(words)
         per_word = sizes[index]
         first_word = starts[index]
-        initials = pc.unique(pc.utf8_slice_codeunits(dictionary, 0, 1)).to_pylist()
-        odd = [k for k, w in enumerate(words) if not w or w[0].isspace()] if any(not c or c.isspace() for c in initials) else []
-        if odd:  # a space before white space: the rows where that is no safe cut are taken whole
-            flag = np.zeros(len(words), bool)
-            flag[odd] = True
-            hit = flag[index]
+        if odd is not None:  # a space before white space: the rows where that is no safe cut are taken whole
+            hit = odd[index]
             hit[begin] = False
             for row in np.unique(np.searchsorted(bounds, np.flatnonzero(hit), side="right") - 1).tolist():
                 if not safe(text := column[row].as_py()):

@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -37,7 +38,8 @@ BLOCK_BITS = 1 << 16
 #: Tokens after which a shard's file is closed (at a document's end) and the next one begins.
 FILE_TOKENS = 4_000_000
 END_ID = 0
-SLICE_BYTES = 10_000_000  # of texts that are encoded together
+SLICE_BYTES = 10_000_000  # of texts whose ids are held together
+ARROW_BYTES = 1 << 26  # of texts whose words are looked up together: Spark's own bound of an Arrow batch
 CACHE_PARTS = 400_000
 FILES = "shard bigint, seq bigint, path string, n_tokens bigint, n_docs bigint"
 SCHEMA = "doc_id bigint, shard bigint, seq bigint, at bigint, n_tokens bigint, ids_crc32 bigint"
@@ -236,17 +238,22 @@ class LibraryEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another and each text's number of ids."""
+        return next(self.encode_slices(column, [0, len(column)]))
+
+    def encode_slices(self, column: pa.Array, cuts: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for the rows from each cut to the next; the words of all slices are looked up together."""
         column = pc.fill_null(column, "")
         mask = np.zeros(len(column), bool)
         for s in self._added:
             mask |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
-        if not mask.any():
-            return self._encoder.encode(column)
-        flat, counts = self._encoder.encode(pc.if_else(pa.array(mask), "", column))
-        at = np.flatnonzero(mask)
-        extra = {k: np.array(e.ids, np.uint32) for k, e in zip(at.tolist(), self._whole.encode_batch_fast(column.take(pa.array(at)).to_pylist(), add_special_tokens=False), strict=True)}
-        runs = [extra.get(k, x) for k, x in enumerate(np.split(flat, np.cumsum(counts)[:-1]))]
-        return np.concatenate(runs), np.array([len(x) for x in runs], np.int64)
+        found = self._encoder.encode_slices(pc.if_else(pa.array(mask), "", column) if mask.any() else column, cuts)
+        for (a, b), (flat, counts) in zip(pairwise(cuts), found, strict=True):
+            at = np.flatnonzero(mask[a:b])
+            if len(at):
+                extra = {k: np.array(e.ids, np.uint32) for k, e in zip(at.tolist(), self._whole.encode_batch_fast(column.take(pa.array(a + at)).to_pylist(), add_special_tokens=False), strict=True)}
+                runs = [extra.get(k, x) for k, x in enumerate(np.split(flat, np.cumsum(counts)[:-1]))]
+                flat, counts = np.concatenate(runs), np.array([len(x) for x in runs], np.int64)
+            yield flat, counts
 
 
 @functools.lru_cache(maxsize=2)
@@ -292,9 +299,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, work: Workspace, n_shards
 
         coder = _tokenizer(tokenizer_path)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
-            for part in sub_batches(batch, "text", SLICE_BYTES):
-                flat, counts = coder.encode(part["text"])
+        for batch in (x for whole in batches for x in sub_batches(whole, "text", ARROW_BYTES)):
+            parts = list(sub_batches(batch, "text", SLICE_BYTES))
+            cuts = [0, *accumulate(p.num_rows for p in parts)]
+            for part, (flat, counts) in zip(parts, coder.encode_slices(batch["text"], cuts), strict=True):
                 at = 0
                 for s, d, size in zip(part["shard"].to_pylist(), part["doc_id"].to_pylist(), counts.tolist(), strict=True):
                     if held and (s != place[0] or n >= FILE_TOKENS):

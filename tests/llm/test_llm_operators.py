@@ -538,6 +538,20 @@ def test_a_full_store_keeps_what_is_asked_for_again():
     assert asked == ["a", "bb", "c", "dd", "e", *"vwxyz", "a"]
 
 
+def test_words_of_all_slices_are_looked_up_together():
+    coder = wavelet.LibraryEncoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    asked = []
+    real = coder._encoder._parts.runs
+    coder._encoder._parts.runs = lambda strings: asked.append(len(strings)) or real(strings)
+    texts = pa.array(["one two three", None, " two  words \n x", "", "l'été two", "a <|endoftext|> b one", "  ", "three two one"])
+    found = list(coder.encode_slices(texts, [0, 3, 3, 6, 8]))
+    assert len(asked) == 1
+    library = coder._whole
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert [counts.tolist() for _, counts in found] == [[len(x) for x in want[a:b]] for a, b in ((0, 3), (3, 3), (3, 6), (6, 8))]
+    assert [k for flat, _ in found for k in flat.tolist()] == [k for x in want for k in x]
+
+
 # ---- search ----------------------------------------------------------------------------------------------------
 
 
