@@ -38,6 +38,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lets Spark send Python workers Arrow batches of SUB_BATCH_CHARS bytes at most (one row at least), instead of up to
+    10,000 rows or 64 MB, of which a worker holds two and the JVM one that it grows by doubling. Plans run after they are
+    returned, so this stays set in the session; a smaller bound that is set already is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < held <= SUB_BATCH_CHARS:
+        spark.conf.set(name, SUB_BATCH_CHARS)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -75,6 +75,33 @@ def test_clashing_columns_and_repeated_ids(spark, tmp_path):
         assert left == sorted([("1", a, 0, "x"), ("1", b, 1, "y"), ("None", a, 4, "v"), ("5", "", 5, None), ("6", "", 6, None)])
 
 
+def test_batches_are_bounded(spark, tmp_path):
+    """What a stage's workers get at once is bounded by bytes, not by 10,000 rows; a smaller bound is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.range(0, 9000, 1, 1).selectExpr("id doc_id", "repeat('some words ', 150) text")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    before = spark.conf.get(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(name)
+            stage(spark, docs, str(tmp_path))
+            rows, most = docs.mapInArrow(sizes, "n long, size long").agg(F.sum("n"), F.max("size")).first()
+            assert rows == 9000 and most <= 4_100_000
+            spark.conf.set(name, 1_000_000)
+            stage(spark, docs, str(tmp_path))
+            assert int(spark.conf.get(name).rstrip("b")) == 1_000_000
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_empty_corpus(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
