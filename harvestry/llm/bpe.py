@@ -27,9 +27,10 @@ from pyspark.sql import DataFrame
 from . import chunks
 from .common import map_arrow
 
-NONE = np.int64(1 << 40)  # the rank of a pair that doesn't merge
+NONE = np.int32(1 << 30)  # the rank of a pair that doesn't merge
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 CACHE_PARTS = 200_000
+DECODED = 1 << 16  # ids gathered at once; every byte they stand for takes 12 bytes meanwhile
 SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded binary"
 DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -48,7 +49,7 @@ class Bpe:
         self.token_sizes = size
         self.token_bytes = np.frombuffer(b"".join(self.bytes_of.get(r, b"") for r in range(width)), np.uint8)
         self.encoder = chunks.Encoder(self.pattern.findall, self.replay_strings, CACHE_PARTS)
-        self.byte_id = np.array([ranks[bytes([k])] for k in range(256)], np.int64)
+        self.byte_id = np.array([ranks[bytes([k])] for k in range(256)], np.int32)
         self.width = np.int64(width)
         pairs: dict[int, int] = {}
         cautious = np.zeros(width, bool)
@@ -64,7 +65,7 @@ class Bpe:
         keys = np.fromiter(pairs, np.int64, len(pairs))
         order = np.argsort(keys)
         self.pair_keys = keys[order]
-        self.pair_ranks = np.fromiter(pairs.values(), np.int64, len(pairs))[order]
+        self.pair_ranks = np.fromiter(pairs.values(), np.int32, len(pairs))[order]
         #: Ranks whose result may next merge at a lower rank: their positions merge one a piece at a time.
         self.cautious = cautious
 
@@ -75,7 +76,7 @@ class Bpe:
         return cls(ranks, pattern)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.width + b
+        key = a.astype(np.int64) * self.width + b
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
 
@@ -90,14 +91,15 @@ class Bpe:
         ends = np.cumsum(sizes)
         n = int(ends[-1])
         token = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
-        piece = np.repeat(np.arange(len(pieces)), sizes)
-        right = np.arange(1, n + 1)
-        left = np.arange(-1, n - 1)
+        place = np.int32 if n < 1 << 31 else np.int64
+        piece = np.repeat(np.arange(len(pieces), dtype=place), sizes)
+        right = np.arange(1, n + 1, dtype=place)
+        left = np.arange(-1, n - 1, dtype=place)
         right[ends - 1] = -1
         left[ends - sizes] = -1
         alive = np.ones(n, bool)
         rank = np.full(n + 1, NONE)  # of the pair that begins at a position
-        inner = np.flatnonzero(right >= 0)
+        inner = np.flatnonzero(right >= 0).astype(place)
         rank[inner] = self._rank(token[inner], token[inner + 1])
         index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
@@ -164,8 +166,8 @@ class Bpe:
 
     def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes that the ids stand for, and each id's number of bytes."""
-        sizes = self.token_sizes[ids]
-        return chunks.gather(self.token_starts[ids], sizes, self.token_bytes).tobytes(), sizes
+        sizes, runs = self.token_sizes[ids], [ids[k : k + DECODED] for k in range(0, len(ids), DECODED)]
+        return b"".join(chunks.gather(self.token_starts[x], self.token_sizes[x], self.token_bytes).tobytes() for x in runs), sizes
 
 
 @functools.lru_cache(maxsize=2)

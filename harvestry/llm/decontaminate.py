@@ -131,7 +131,7 @@ class Index:
         n, blocks = len(self.items), -(-len(self.items) // BLOCK)
         out: list[tuple] = []
         wins, at = np.unique(window, return_inverse=True)
-        group = max(1, 400_000 // max(blocks, 1))  # passages scored at once; bounds the blocks held
+        group = max(1, 50_000 // max(blocks, 1))  # passages scored at once; bounds the blocks and their postings held
         for a in range(0, len(wins), group):
             lo, hi = np.searchsorted(window, [wins[a], wins[min(a + group, len(wins)) - 1] + 1])
             w, t = at[lo:hi] - a, term[lo:hi]

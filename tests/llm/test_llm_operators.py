@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -849,3 +850,32 @@ def test_revisits_equal_brute_force(spark):
         got = {r.record_id: (r.refers_to, r.outcome, r.headers, r.digest) for r in revisits.resolve(frame, ranges).collect()}
         assert got == want
     assert revisits.resolve(frame.where("false")).count() == 0
+
+
+def _peak(work) -> float:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_worker_memory_of_one_slice():
+    """What a worker holds beside 4 MB of text, in MB: passages of common words (decontamination), new pieces (byte BPE)."""
+    rng = random.Random(5)
+    common_words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    items = [(k, " ".join(rng.sample(common_words, 30)) + ". " + " ".join(rng.sample(common_words, 6))) for k in range(400)]
+    index = decontaminate.Index.build(items)
+    rows = [" ".join(rng.choices(common_words, k=570)) for _ in range(1000)]
+    rows[7] += " " + items[3][1]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1000), pa.int64()), "text": pa.array(rows, pa.string())})
+    found = []
+    assert _peak(lambda: found.extend(decontaminate.find(batch, index))) < 500  # 1,992 before, 320 now
+    assert (7, 3) in {r[:2] for r in found}
+    coder = bpe.Bpe.from_file(P.path(bpe.RANKS_FILE), P.PATTERN)
+    pieces = ["".join(rng.choices("etaoinshrdlu", k=8)).encode() for _ in range(150_000)]
+    got = []
+    assert _peak(lambda: got.extend(coder.replay(pieces))) < 85  # 111 before, 66 now
+    assert coder.decode(got[0])[0] == b"".join(pieces)
+    assert _peak(lambda: coder.decode(got[0])) < 15  # 24 before, 8 now
