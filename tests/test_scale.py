@@ -34,3 +34,16 @@ def test_pages_held_at_once_are_bounded_by_their_source():
     big = diagnose.SOURCE_AT_ONCE
     assert list(diagnose.slices([1] * 300)) == [(0, 256), (256, 44)] and list(diagnose.slices([])) == []
     assert list(diagnose.slices([big * 2, 1, big, 5, 5])) == [(0, 1), (1, 1), (2, 1), (3, 2)]
+
+
+def test_robots_meet_only_rules_that_a_path_begins_with(spark):
+    n = 3000
+    rules = "\n".join(f"Disallow: /c/{k}$" for k in range(n)) + "\nAllow: /c/7*\nDisallow: *.pdf\nDisallow: /x.y\nAllow: /a$b"
+    files = spark.createDataFrame([("h", f"User-agent: *\n{rules}")], "host string, text string")
+    paths = spark.createDataFrame([("h", f"/c/{k}") for k in range(n)] + [("h", p) for p in ("/c/12/e.pdf", "/x.y/z", "/xzy", "/a$bc", "/", "/c/7z.pdf")], "host string, path string")
+    found = diagnose.robots(files, paths)
+    got = {r.path: (r.disallowed, r.matched_rule) for r in found.collect()}
+    assert all(got[f"/c/{k}"] == (True, f"/c/{k}$") for k in range(10, n)) and len(got) == n + 6
+    assert [got[p] for p in ("/c/12/e.pdf", "/x.y/z", "/xzy", "/a$bc", "/", "/c/7z.pdf")] == [(True, "*.pdf"), (True, "/x.y"), (False, None), (False, "/a$b"), (False, None), (False, "/c/7*")]
+    plan = found._jdf.queryExecution().toString()
+    assert "head" in plan and "NestedLoop" not in plan
