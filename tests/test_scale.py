@@ -47,3 +47,13 @@ def test_robots_meet_only_rules_that_a_path_begins_with(spark):
     assert [got[p] for p in ("/c/12/e.pdf", "/x.y/z", "/xzy", "/a$bc", "/", "/c/7z.pdf")] == [(True, "*.pdf"), (True, "/x.y"), (False, None), (False, "/a$b"), (False, None), (False, "/c/7*")]
     plan = found._jdf.queryExecution().toString()
     assert "head" in plan and "NestedLoop" not in plan
+
+
+def test_relative_times_keep_the_clock_of_now(spark):
+    from pyspark.sql import functions as F
+
+    from harvestry.functions import values
+
+    cells = spark.createDataFrame([("13894 days ago",), ("90000 days ago",), ("740300 days ago",), ("900000 days ago",), ("700000시간 전",), ("99999999999 days ago",)], "c string")
+    got = [r[0] for r in cells.select(values.date(F.col("c"), now=F.timestamp_seconds(F.lit(1_792_724_400)))).collect()]
+    assert got == ["1988-10-08 12:00:00", "1780-05-25 12:00:00", "-1-12-09 12:00:00", "-438-09-11 12:00:00", "1946-12-15 20:00:00", "99999999999 days ago"]
