@@ -57,3 +57,27 @@ def test_relative_times_keep_the_clock_of_now(spark):
     cells = spark.createDataFrame([("13894 days ago",), ("90000 days ago",), ("740300 days ago",), ("900000 days ago",), ("700000시간 전",), ("99999999999 days ago",)], "c string")
     got = [r[0] for r in cells.select(values.date(F.col("c"), now=F.timestamp_seconds(F.lit(1_792_724_400)))).collect()]
     assert got == ["1988-10-08 12:00:00", "1780-05-25 12:00:00", "-1-12-09 12:00:00", "-438-09-11 12:00:00", "1946-12-15 20:00:00", "99999999999 days ago"]
+
+
+def test_chains_without_a_bound_are_followed_to_their_end(spark, monkeypatch):
+    from harvestry.operators import paging
+
+    monkeypatch.setattr(paging, "LOCAL", 4)
+    edges = spark.createDataFrame([(f"p{k}", f"p{k + 1}") for k in range(37)], "url string, next string")
+    for most in (paging.ALL, 38, 20, 16, 4, 3):
+        got = sorted(tuple(r) for r in paging.follow(edges, "p0", most).collect())
+        assert got == [(k, f"p{k}") for k in range(int(min(most, 38)))]
+    circle = edges.union(spark.createDataFrame([("p37", "p9")], edges.schema))
+    assert sorted(tuple(r) for r in paging.follow(circle, "p0", paging.ALL).collect()) == [(k, f"p{k}") for k in range(38)]
+
+
+def test_numbered_pages_are_read_from_their_addresses(spark):
+    from harvestry.operators import paging
+
+    urls = [f"https://x.test/a.b?p={n}&q={n}" for n in range(30)] + ["https://x.test/a.b?p=7&q=9", "https://x.test/a.b?p=07&q=07", "https://x.test/axb?p=5&q=5", "https://x.test/a.b?p=-3&q=-3"]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    for start, step, most in ((1, 2, paging.ALL), (1, 2, 5), (0, 1, 3), (20, -4, paging.ALL), (3, -6, 2)):
+        template = "https://x.test/a.b?p={n}&q={n}"
+        wanted = {u: k for k, u in enumerate(paging.numbered(template, start, step, 50 if most == paging.ALL else most))}
+        got = {r.url: r.page_ord for r in paging.by_number(pages, template, start, step, most).collect()}
+        assert got == {u: wanted[u] for u in urls if u in wanted}
