@@ -6,6 +6,7 @@ import pytest
 
 from harvestry.operators import diagnose
 from harvestry.plans import queries
+from harvestry.plans.run import run as queries_run
 from harvestry.sources import dom
 
 DATA = Path("/root/testdata/sf0.001")
@@ -81,3 +82,15 @@ def test_numbered_pages_are_read_from_their_addresses(spark):
         wanted = {u: k for k, u in enumerate(paging.numbered(template, start, step, 50 if most == paging.ALL else most))}
         got = {r.url: r.page_ord for r in paging.by_number(pages, template, start, step, most).collect()}
         assert got == {u: wanted[u] for u in urls if u in wanted}
+
+
+@tables
+def test_scrolled_snapshots_grow_with_their_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    drawn = []
+    monkeypatch.setattr(queries, "run", lambda _recipe, sources: drawn.append(sources.pages) or queries_run(_recipe, sources))
+    found = queries.run_idle_scroll(spark, str(DATA))
+    rows = queries.table(spark, str(DATA), "supplier").count()
+    shown = drawn[0].select(F.sum(F.size(F.split("html", "<li ")) - 1)).first()[0]
+    assert shown == 4 * rows and found.count() == rows  # three rounds of each, and the late ones
