@@ -1,5 +1,6 @@
 """Steps whose work must grow no faster than their input."""
 
+import json
 from pathlib import Path
 
 import pytest
@@ -94,3 +95,19 @@ def test_scrolled_snapshots_grow_with_their_rows(spark, monkeypatch):
     rows = queries.table(spark, str(DATA), "supplier").count()
     shown = drawn[0].select(F.sum(F.size(F.split("html", "<li ")) - 1)).first()[0]
     assert shown == 4 * rows and found.count() == rows  # three rounds of each, and the late ones
+
+
+def test_driven_pages_end_where_a_cursor_ends_or_stays(spark):
+    from harvestry.operators import paging
+
+    def read(cursors, most=paging.ALL):
+        own = spark.createDataFrame([(k * 3, json.dumps({"next": c})) for k, c in enumerate(cursors)], "seq bigint, json string").repartition(3)
+        return sorted((r.seq // 3, r.following) for r in paging.until_cursor_ends(own, "next", most).collect())
+
+    many = [f"c{k}" for k in range(200)]
+    walked = list(enumerate(many))
+    assert read(many, 7) == walked[:7] and read([]) == []
+    assert read([*many[:100], None, *many[100:]]) == [*walked[:100], (100, None)]
+    assert read([*many[:50], many[49], *many[50:]]) == [*walked[:50], (50, None)]
+    plan = paging.until_cursor_ends(spark.range(9).selectExpr("id AS seq", "'{}' AS json"), "next")._jdf.queryExecution().toString()
+    assert "Window" not in plan
