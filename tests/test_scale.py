@@ -111,3 +111,13 @@ def test_driven_pages_end_where_a_cursor_ends_or_stays(spark):
     assert read([*many[:50], many[49], *many[50:]]) == [*walked[:50], (50, None)]
     plan = paging.until_cursor_ends(spark.range(9).selectExpr("id AS seq", "'{}' AS json"), "next")._jdf.queryExecution().toString()
     assert "Window" not in plan
+
+
+def test_documents_are_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from harvestry.plans.recipe import Sources, documents_of
+
+    found = spark.range(31).select(F.concat(F.lit("https://x.test/o?page="), "id").alias("url"), F.lit(200).alias("status"), F.lit("{}").alias("body")).coalesce(1)
+    tasks = documents_of(queries.LISTED, Sources(responses=found), 40).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 31 and len(tasks) == 2 * spark.sparkContext.defaultParallelism
